@@ -137,10 +137,9 @@ def repair_stored(df: DataFrame, as_of: Column) -> DataFrame:
     """
     df = df.toDF(*[c.strip() for c in df.columns])
     present = [c for c in df.columns if c in STORED_FIELDS]
-    header = blank = F.lit(True)
-    for name in present:
-        header = header & (F.trim(F.coalesce(F.col(name), F.lit(""))) == name)
-        blank = blank & (F.coalesce(F.col(name), F.lit("")) == "")
+    cells = [F.coalesce(F.col(name), F.lit("")) for name in present]
+    header = F.concat_ws("\x01", *[F.trim(c) for c in cells]) == "\x01".join(present)
+    blank = F.concat_ws("", *cells) == ""
 
     def raw(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) if name in present else F.lit("")

@@ -2,7 +2,8 @@
 
 from loghelm.plans import (  # noqa: F401
     clean_plans,
+    detect_plans,
     parse_plans,
 )
 
-FLAGSHIP = "parse_syslog_table"
+FLAGSHIP = "live_detection"
