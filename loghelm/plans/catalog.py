@@ -4,6 +4,7 @@ from loghelm.plans import (  # noqa: F401
     clean_plans,
     detect_plans,
     parse_plans,
+    query_plans,
 )
 
 FLAGSHIP = "live_detection"

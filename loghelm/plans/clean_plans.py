@@ -7,6 +7,8 @@ from loghelm.operators import clean, dedup, label, normalize
 from loghelm.plans import sqltext as q
 from loghelm.plans.registry import query
 from loghelm.plans.views import table, with_views
+from loghelm.session import scratch_path
+from loghelm.sources import readers
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -177,7 +179,10 @@ SELECT event_id, coalesce({q.iso('t')}, '') AS timestamp, {q.iso('d')} AS detect
   coalesce(TRY_CAST(pid AS INT), -1) AS pid, '' AS model, source, coalesce(nullif(severity, ''), 'LOW') AS severity
 FROM typed WHERE NOT (m = '' AND trim(host) = '')""")
 def repair_stored_table(spark, sf):
-    fixed = normalize.repair_stored(table(spark, sf, "v_stored"), as_of())
+    path = scratch_path(spark, "stored")
+    table(spark, sf, "v_stored").write.option("header", True).option("escape", '"').csv(path)
+    fixed = normalize.repair_stored(readers.csv_strings(spark, path), as_of())
+    fixed = fixed.withColumn("event_id", F.col("event_id").cast("long"))
     return (fixed.orderBy(F.desc("detected_at"))
             .withColumn("timestamp", normalize.json_text(F.col("timestamp"), "timestamp"))
             .withColumn("detected_at", text.iso(F.col("detected_at")))

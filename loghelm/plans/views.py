@@ -129,6 +129,26 @@ SELECT 'blk_' || CAST(event_id AS STRING) AS `BlockId`, event_id + 1000000000 AS
 FROM v_logs WHERE event_type = 'view' AND k < 5
 """
 
+# An anomaly table that fills every severity, source, count and rule.
+V_ANOMS = """
+SELECT event_id, timestamp, detected_at, host, CASE WHEN k < 5 THEN '  ' ELSE service END AS service, message, prob_anomaly,
+       CASE WHEN prob_anomaly >= 0.1 THEN 1 ELSE 0 END AS is_anomaly_pred, pid, 'loghelm' AS model,
+       CASE WHEN source = 'upload' AND k < 50 THEN ' Uploads' ELSE source END AS source,
+       CASE WHEN k >= 85 THEN 'CRITICAL' WHEN prob_anomaly >= 0.75 THEN 'HIGH' WHEN prob_anomaly >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       CAST(k % 8 AS BIGINT) AS active_event_count, (k % 8) >= 3 AND k >= 20 AS correlation_triggered,
+       CASE WHEN (k % 8) >= 3 AND k >= 20 THEN 'Repeated behavioral correlation detected' WHEN k < 10 THEN '' ELSE 'ML semantic anomaly' END AS escalation_reason,
+       CASE WHEN k >= 85 THEN 100 WHEN prob_anomaly >= 0.75 THEN 75 WHEN prob_anomaly >= 0.35 THEN 50 ELSE 25 END AS threat_score
+FROM v_logs
+"""
+
+# One retraining run per day, measured on that day's scores.
+V_HISTORY = """
+SELECT {day} || '_120000' AS timestamp, count(*) AS dataset_size, count(CASE WHEN event_type = 'view' THEN 1 END) AS feedback_samples,
+       CAST(0.55 AS DOUBLE) AS threshold, round(avg(prob_anomaly), 6) AS f1_score,
+       CASE WHEN avg(prob_anomaly) >= 0.3 THEN 'DEPLOYED' ELSE 'FAILED' END AS deployment_status
+FROM v_logs GROUP BY 1
+"""
+
 # An all-string copy of the anomaly table with the damage such files collect.
 V_STORED = """
 SELECT event_id,
@@ -162,16 +182,20 @@ _NEEDS = {
     "v_actions": (V_ACTIONS, ["v_logs"]),
     "v_scored": (V_SCORED, ["v_logs"]),
     "v_block_labels": (V_BLOCK_LABELS, ["v_logs"]),
+    "v_anoms": (V_ANOMS, ["v_logs"]),
+    "v_history": (V_HISTORY, ["v_logs"]),
     "v_stored": (V_STORED, ["v_logs"]),
     "v_text": (V_TEXT, ["documents", "conversations", "pages", "v_logs"]),
 }
 
 _SPARK = {
     "iso": "date_format(detected_at, 'yyyy-MM-dd HH:mm:ss')",
+    "day": "date_format(detected_at, 'yyyyMMdd')",
     "syslog_time": "date_format(detected_at, 'MMM dd HH:mm:ss')",
 }
 _DUCK = {
     "iso": "strftime(detected_at, '%Y-%m-%d %H:%M:%S')",
+    "day": "strftime(detected_at, '%Y%m%d')",
     "syslog_time": "strftime(detected_at, '%b %d %H:%M:%S')",
 }
 
