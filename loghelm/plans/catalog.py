@@ -3,6 +3,8 @@
 from loghelm.plans import (  # noqa: F401
     clean_plans,
     detect_plans,
+    evaluate_plans,
+    feature_plans,
     parse_plans,
     query_plans,
 )
