@@ -7,6 +7,7 @@ from loghelm.plans import (  # noqa: F401
     feature_plans,
     parse_plans,
     query_plans,
+    triage_plans,
 )
 
 FLAGSHIP = "live_detection"
