@@ -5,6 +5,7 @@ from loghelm.plans import (  # noqa: F401
     detect_plans,
     evaluate_plans,
     feature_plans,
+    model_plans,
     parse_plans,
     query_plans,
     triage_plans,
