@@ -50,10 +50,16 @@ def classifier(name: str, rows: float = 1.0, **params):
 
 
 def fit(train: DataFrame, name: str, **params):
-    """Fit on (features, label); class weights are balanced."""
-    weighted = split.with_weights(train, "label")
-    rows = float(train.count()) if name != "random_forest" else 1.0
-    return classifier(name, rows, **params).fit(weighted)
+    """Fit on (features, label); class weights are balanced.
+
+    The rows are kept for the fit, whose passes would otherwise redo the text
+    features every time.
+    """
+    kept = train.select("label", "features").persist()
+    rows = float(kept.count()) if name != "random_forest" else 1.0
+    model = classifier(name, rows, **params).fit(split.with_weights(kept, "label"))
+    kept.unpersist()
+    return model
 
 
 def raw_score(df: DataFrame) -> Column:
@@ -91,10 +97,8 @@ class CalibratedModel:
         return out.withColumn("score", mean).drop(*[f"_s{i}" for i in range(len(self.parts))])
 
     def save(self, path: str) -> None:
-        spark = None
-        for i, (base, slope, shift) in enumerate(self.parts):
+        for i, (base, _, _) in enumerate(self.parts):
             base.write().save(f"{path}/base={i}")
-            spark = spark or base._java_obj and _session()
         rows = [(i, type(b).__module__, type(b).__name__, s, t) for i, (b, s, t) in enumerate(self.parts)]
         _session().createDataFrame(rows, "i int, module string, kind string, slope double, shift double").coalesce(1).write.json(
             f"{path}/sigmoids")
@@ -131,10 +135,13 @@ def _f1() -> MulticlassClassificationEvaluator:
 
 
 def _search(train: DataFrame, id_col: str, grid: list[dict], k: int, parallelism: int):
-    folded = split.folds(split.with_weights(train, "label"), "label", id_col, k)
+    kept = train.select(id_col, "label", "features").persist()
+    folded = split.folds(split.with_weights(kept, "label"), "label", id_col, k).persist()
     model = CrossValidator(
         estimator=classifier("random_forest"), estimatorParamMaps=grid, evaluator=_f1(), foldCol="fold",
-        numFolds=split.fold_count(train, "label", k), parallelism=parallelism, seed=SEED).fit(folded)
+        numFolds=split.fold_count(kept, "label", k), parallelism=parallelism, seed=SEED).fit(folded)
+    folded.unpersist()
+    kept.unpersist()
     best = max(range(len(grid)), key=lambda i: model.avgMetrics[i])
     return model.bestModel, {p.name: str(v) for p, v in grid[best].items()}, list(model.avgMetrics)
 
@@ -164,7 +171,7 @@ def random_search(train: DataFrame, id_col: str, space: dict | None = None, draw
 
 def cross_predict(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5) -> DataFrame:
     """Out-of-fold (id, label, score, model, fold) of every model."""
-    folded = split.folds(df, "label", id_col, k).persist()
+    folded = split.folds(df.select(id_col, "label", "features"), "label", id_col, k).persist()
     parts = []
     for name, params in names.items():
         for fold in [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]:

@@ -106,9 +106,9 @@ def fit_features(
     current = df
     for stage in stages:
         current = stage.transform(current)
+    current = current.persist()
     counter = CountVectorizer(inputCol=words, outputCol="f_tf", vocabSize=max_features, minDF=min_df, maxDF=max_df).fit(current)
-    current = counter.transform(current)
-    idf = IDF(inputCol="f_tf", outputCol="f_idf").fit(current)
+    idf = IDF(inputCol="f_tf", outputCol="f_idf").fit(counter.transform(current))
     stages.append(counter)
     tf = "f_tf"
     if sublinear:
@@ -118,19 +118,19 @@ def fit_features(
     stages.append(Normalizer(inputCol="f_weighted", outputCol="f_tfidf", p=2.0))
     blocks = ["f_tfidf"]
     for name in categories:
-        index = StringIndexer(inputCol=name, outputCol=f"f_i_{name}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
-        hot = OneHotEncoder(inputCol=f"f_i_{name}", outputCol=f"f_h_{name}", dropLast=True).fit(index.transform(df))
+        index = StringIndexer(inputCol=name, outputCol=f"f_i_{name}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(current)
+        hot = OneHotEncoder(inputCol=f"f_i_{name}", outputCol=f"f_h_{name}", dropLast=True).fit(index.transform(current))
         stages += [index, hot]
         blocks.append(f"f_h_{name}")
     if numeric != "none":
         parts = VectorAssembler(inputCols=[f"f_{n}" for n in SETS[numeric]], outputCol="f_numbers")
-        numbers = parts.transform(stages[0].transform(df))
-        scaler = StandardScaler(inputCol="f_numbers", outputCol="f_sample", withMean=True, withStd=True).fit(numbers)
-        n = df.count()
+        scaler = StandardScaler(inputCol="f_numbers", outputCol="f_sample", withMean=True, withStd=True).fit(parts.transform(current))
+        n = current.count()
         widen = math.sqrt(n / (n - 1)) if n > 1 else 1.0
         stages += [parts, scaler, ElementwiseProduct(
             inputCol="f_sample", outputCol="f_scaled", scalingVec=Vectors.dense([widen] * len(SETS[numeric])))]
         blocks.append("f_scaled")
+    current.unpersist()
     stages.append(VectorAssembler(inputCols=blocks, outputCol="features"))
     return PipelineModel(stages)
 

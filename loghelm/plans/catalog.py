@@ -8,6 +8,7 @@ from loghelm.plans import (  # noqa: F401
     model_plans,
     parse_plans,
     query_plans,
+    stream_plans,
     triage_plans,
 )
 

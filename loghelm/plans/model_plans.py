@@ -90,7 +90,7 @@ def model_cross_validation(spark, sf):
 @query("forest_grid_search")
 def forest_grid_search(spark, sf):
     train, _, _ = _sides(spark, sf)
-    space = {"numTrees": [5, 10], "maxDepth": [4, 8], "minInstancesPerNode": [1, 2]}
+    space = {"numTrees": [5, 10], "maxDepth": [4, 8]}
     _, best, f1 = models.grid_search(train.select("id", "label", "features"), "id", space)
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
@@ -99,7 +99,7 @@ def forest_grid_search(spark, sf):
 def forest_random_search(spark, sf):
     train, _, _ = _sides(spark, sf)
     space = {"numTrees": [5, 10, 15], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}
-    _, best, f1 = models.random_search(train.select("id", "label", "features"), "id", space, draws=5)
+    _, best, f1 = models.random_search(train.select("id", "label", "features"), "id", space, draws=3)
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
 
