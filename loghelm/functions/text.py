@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 NON_WS = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
 
+# The same characters as a set, for trimming without a regex.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # Patterns the results depend on.
 IPV4 = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
 BLOCK_ID = r"(blk_-?\d+)"
@@ -69,7 +73,7 @@ TRUNCATION_MARK = " ...[truncated]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:

@@ -61,7 +61,7 @@ NOT_ESCALATED = "ML semantic anomaly"
 
 def matched_pattern(message: Column, rule: CorrelationRule) -> Column:
     """First pattern of the rule found in the lower-cased message, else NULL."""
-    folded = F.lower(text.strip(message))
+    folded = F.lower(message)
     return F.coalesce(*[F.when(folded.contains(p), p) for p in rule.patterns])
 
 
@@ -215,7 +215,9 @@ def accepted_events(matched: DataFrame, gap_seconds: int, block_micros: int) ->
         .withColumn("block", blocks)
         .repartition("sig", "block")
     )
-    summary = firsts.select("sig", "block", "us").sortWithinPartitions("sig", "block", "us").mapInPandas(
+    # Both passes read all columns of ``firsts``, so Spark plans the shuffle once
+    # and reuses it; a narrower first pass would scan the source a second time.
+    summary = firsts.sortWithinPartitions("sig", "block", "us").mapInPandas(
         _summarise(block_micros, gap), "sig binary, block long, above long, exit_us long")
     carries = summary.repartition("sig").sortWithinPartitions("sig", "block", "above").mapInPandas(
         _carry(block_micros, gap), "sig binary, block long, carry_us long")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loghelm.operators.ranking import range_bucket, running_totals
+from loghelm.session import checked_broadcast
 
 # Threshold grids (first, steps of 0.05), gate and defaults.
 GRIDS = {
@@ -102,7 +103,7 @@ def score_steps(df: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     return running_totals(
         points, by, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")},
-        range_bucket(df, "score", descending=True), {"all_pos": "tp", "all_neg": "fp"})
+        range_bucket(points, "score", descending=True), {"all_pos": "tp", "all_neg": "fp"})
 
 
 def pr_curve(df: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
@@ -218,7 +219,8 @@ def histogram(df: DataFrame, by: list[str], bins: int) -> DataFrame:
     ends = df.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     width = F.col("hi") - F.col("lo")
     number = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
-    counted = df.join(ends, by).groupBy(*by, number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    # A plain join would move every row to the task of its group.
+    counted = df.join(checked_broadcast(ends), by).groupBy(*by, number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
     every = ends.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
                         F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
     return every.join(counted, [*by, "bin"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
@@ -231,9 +233,9 @@ def percentiles(df: DataFrame, by: list[str], points: list[int] | None = None, d
     one row; nothing is sorted as a whole.
     """
     points = points or PERCENTILES
+    points_n = df.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"))
     steps = running_totals(
-        df.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n")), by, [F.col("score")], {"upto": F.col("n")},
-        range_bucket(df, "score"), {"total": "upto"})
+        points_n, by, [F.col("score")], {"upto": F.col("n")}, range_bucket(points_n, "score"), {"total": "upto"})
     wanted = F.explode(F.array(*[F.lit(p) for p in points])).alias("percentile")
     ranked = steps.select(*by, "score", "n", "upto", "total", wanted)
     place = F.col("percentile") / 100 * (F.col("total") - 1)

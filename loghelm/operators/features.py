@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loghelm.session import checked_broadcast
+
 # Token pattern and term weighting presets.
 WORD = r"[\p{L}\p{N}_]{2,}"
 NUMBER = r"\b\d+\b"
@@ -35,6 +37,11 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
     return values.withColumn("code", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(column)) - 1)
 
 
+def with_codes(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the alphabetical index of a category column."""
+    return df.join(checked_broadcast(category_codes(df, column)), column, "left").withColumnRenamed("code", name)
+
+
 def one_hot(df: DataFrame, id_col: str, column: str, known: list[str]) -> DataFrame:
     """One 0/1 column per known category; an unknown value sets none."""
     return df.select(id_col, *[

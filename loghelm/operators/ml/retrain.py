@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +16,18 @@ TEST_SHARE = 0.3
 
 
 def training_rows(original: DataFrame, feedback: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
-    """(all usable rows with an id, cleaned feedback).
+    """(all usable rows with a unique id, cleaned feedback).
 
-    Feedback keeps one label per message; dumped vectors are set aside.
+    ``original`` brings its own ids. Feedback keeps one label per message, so
+    the message identifies it; dumped vectors are set aside.
     """
     clean = drop_missing(dedup.resolve_feedback(feedback, seq), "message", "true_label")
-    clean = clean.withColumn("message", F.trim("message"))
-    both = original.select("message", F.col("true_label").cast("int").alias("true_label")).unionByName(
-        clean.select("message", F.col("true_label").cast("int").alias("true_label")))
-    usable, _ = split_vector_like(drop_missing(both, "message", "true_label"))
-    # Equal rows get different ids by counting copies, so the split is repeatable.
-    copies = usable.groupBy("message", "true_label").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = copies.select("message", F.col("true_label").alias("label"), F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
-    return numbered.select(F.sha2(F.concat_ws("|", "message", F.col("label").cast("string"), F.col("_i").cast("string")), 256).alias("id"),
-                           "message", "label"), clean
+    clean = clean.withColumn("message", F.trim("message")).dropDuplicates(["message"])
+    label = F.col("true_label").cast("int").alias("label")
+    both = original.select(F.concat(F.lit("o:"), F.col("id").cast("string")).alias("id"), "message", label).unionByName(
+        clean.select(F.concat(F.lit("f:"), F.sha2("message", 256)).alias("id"), "message", label))
+    usable, _ = split_vector_like(drop_missing(both, "message", "label"))
+    return usable, clean
 
 
 def retrain(
@@ -79,7 +78,7 @@ def deployed_version(spark: SparkSession, root: str) -> str | None:
     """Version in use, or none before the first success."""
     try:
         return spark.read.parquet(f"{root}/models/pointer").agg(F.max_by("version", "set_at").alias("v")).first()["v"]
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return None
-        raise
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

@@ -107,7 +107,9 @@ def fit_features(
     for stage in stages:
         current = stage.transform(current)
     current = current.persist()
-    counter = CountVectorizer(inputCol=words, outputCol="f_tf", vocabSize=max_features, minDF=min_df, maxDF=max_df).fit(current)
+    # From 1 upward the limit is a number of documents, not a share of them.
+    most = max_df if max_df < 1.0 else float(2**62)
+    counter = CountVectorizer(inputCol=words, outputCol="f_tf", vocabSize=max_features, minDF=min_df, maxDF=most).fit(current)
     idf = IDF(inputCol="f_tf", outputCol="f_idf").fit(counter.transform(current))
     stages.append(counter)
     tf = "f_tf"

@@ -122,8 +122,7 @@ SELECT event_id, level, has_ip, CAST(dense_rank() OVER (ORDER BY level) - 1 AS I
 def features_level_code(spark, sf):
     from loghelm.operators import parse
     parsed = parse.parse_bracketed(table(spark, sf, "v_bracketed"))
-    codes = ops.category_codes(parsed, "level").withColumnRenamed("code", "level_code")
-    return parsed.join(codes, "level").select("event_id", "level", (F.col("ip") != "N/A").cast("int").alias("has_ip"), "level_code")
+    return ops.with_codes(parsed, "level", "level_code").select("event_id", "level", (F.col("ip") != "N/A").cast("int").alias("has_ip"), "level_code")
 
 
 @query("features_rare_categories", with_views("v_logs") + """, c AS (SELECT *, service || CASE WHEN k > 97 THEN '-' || CAST(user_id AS VARCHAR) ELSE '' END AS name FROM v_logs),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loghelm.session import spread
+
 _EVENT_PARTS = """
 SELECT event_id, ts, user_id, event_type, value,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
@@ -203,7 +205,7 @@ _DUCK = {
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a log-shaped view over them."""
     if name not in _NEEDS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     text, needs = _NEEDS[name]
     inputs = {need: table(spark, sf_dir, need) for need in needs}
     for need in needs:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,22 +11,24 @@ from pyspark.sql import types as T
 TRAINING_LABELS = ["label", "is_anomaly"]
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-
-
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, empty cells as empty text, lines of the wrong width skipped."""
-    names = _header(spark, path)
-    bad = "_malformed_line"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        .option("enforceSchema", True).option("columnNameOfCorruptRecord", bad)
-        .option("quote", '"').option("escape", '"').csv(path)
-    )
-    return raw.where(F.col(bad).isNull()).select(
-        *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    """All columns as text, empty cells as empty text, lines of the wrong width skipped.
+
+    One record per line. Lines are parsed in a projection: a CSV scan that is
+    asked for some of its columns no longer sees which lines are too wide.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    lines = spark.read.text(path)
+    header = lines.first()
+    if header is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    slots = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{s} string" for s in [*slots, "_bad"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"'}
+    rows = lines.where((F.col("value") != header["value"]) & (F.trim("value") != "")).select(
+        F.from_csv("value", schema, options).alias("r"))
+    return rows.where(F.col("r._bad").isNull()).select(
+        *[F.coalesce(F.col(f"r.{s}"), F.lit("")).alias(n) for s, n in zip(slots, names)])
 
 
 def csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -58,15 +61,14 @@ def trace_files(spark: SparkSession, root: str) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Array or object files; missing, empty or broken ones give no rows."""
-    full = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
     try:
-        df = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option(
-            "columnNameOfCorruptRecord", "_broken").json(path)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return df.where(F.col("_broken").isNull()).drop("_broken")
+    entries = F.from_json("value", T.ArrayType(schema), {"mode": "PERMISSIVE"})
+    return files.select(F.explode(entries).alias("e")).where(F.col("e").isNotNull()).select("e.*")
 
 
 def last_lines(lines: DataFrame, order: str, n: int, column: str = "value", newest_first: bool = False) -> DataFrame:

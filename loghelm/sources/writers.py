@@ -9,14 +9,15 @@ from loghelm.operators.dedup import first_timed_records
 from loghelm.operators.normalize import fill_canonical
 
 
-def append_anomalies(df: DataFrame, path: str) -> None:
+def append_anomalies(df: DataFrame, path: str, files_per_day: int = 32) -> None:
     """Append canonical records, one directory per day of detection.
 
-    Rows are spread over each day's writers by content, so a single busy day
-    is not written by one task.
+    A day goes to a fixed number of writers by content: few files per day, and
+    no single task for a busy one.
     """
     out = fill_canonical(df).withColumn("detected_date", F.to_date("detected_at"))
-    out.write.mode("append").partitionBy("detected_date").parquet(path)
+    writer = F.pmod(F.xxhash64("host", "message", "detected_at"), F.lit(files_per_day))
+    out.repartition("detected_date", writer).write.mode("append").partitionBy("detected_date").parquet(path)
 
 
 def batch_sink(path: str):
