@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 from pyspark.ml import PipelineModel
@@ -30,6 +31,7 @@ RANDOM_SPACE = {
 }
 RANDOM_DRAWS = 10
 SEED = 42
+ROWS_PER_TASK = 20_000
 
 
 def classifier(name: str, rows: float = 1.0, **params):
@@ -49,6 +51,16 @@ def classifier(name: str, rows: float = 1.0, **params):
     raise ValueError(f"unknown model {name}")
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """No more partitions than the rows need.
+
+    An iterative solver runs a job per step, and on a small table the tasks
+    cost more than the arithmetic. Large tables keep their partitions.
+    """
+    wanted = max(1, math.ceil(rows / ROWS_PER_TASK))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def fit(train: DataFrame, name: str, **params):
     """Fit on (features, label); class weights are balanced.
 
@@ -56,8 +68,8 @@ def fit(train: DataFrame, name: str, **params):
     features every time.
     """
     kept = train.select("label", "features").persist()
-    rows = float(kept.count()) if name != "random_forest" else 1.0
-    model = classifier(name, rows, **params).fit(split.with_weights(kept, "label"))
+    rows = kept.count()
+    model = classifier(name, float(rows), **params).fit(split.with_weights(packed(kept, rows), "label"))
     kept.unpersist()
     return model
 
@@ -123,7 +135,7 @@ def calibrate(train: DataFrame, name: str, id_col: str, k: int = 3, **params) ->
     for fold in [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]:
         base = fit(folded.where(F.col("fold") != fold).drop("fold"), name, **params)
         held = score(base, folded.where(F.col("fold") == fold))
-        one = VectorAssembler(inputCols=["score"], outputCol="_x").transform(held.select("label", "score"))
+        one = VectorAssembler(inputCols=["score"], outputCol="_x").transform(packed(held.select("label", "score"), held.count()))
         sigmoid = LogisticRegression(featuresCol="_x", labelCol="label", standardization=False).fit(one)
         parts.append((base, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
     folded.unpersist()
@@ -139,7 +151,7 @@ def _search(train: DataFrame, id_col: str, grid: list[dict], k: int, parallelism
     folded = split.folds(split.with_weights(kept, "label"), "label", id_col, k).persist()
     model = CrossValidator(
         estimator=classifier("random_forest"), estimatorParamMaps=grid, evaluator=_f1(), foldCol="fold",
-        numFolds=split.fold_count(kept, "label", k), parallelism=parallelism, seed=SEED).fit(folded)
+        numFolds=split.fold_count(kept, "label", k), parallelism=parallelism, seed=SEED).fit(packed(folded, kept.count()))
     folded.unpersist()
     kept.unpersist()
     best = max(range(len(grid)), key=lambda i: model.avgMetrics[i])
