@@ -60,26 +60,27 @@ def running_totals(
     that receive the grand total of a sum within its part.
     """
     keys = [*parts, "_bucket"]
+    totals = totals or {}
     tagged = df.withColumn("_bucket", bucket)
     for name, value in sums.items():
         tagged = tagged.withColumn(f"_v_{name}", value)
     earlier = W.partitionBy(*[F.col(p) for p in parts]).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*[F.col(p) for p in parts])
     per_bucket = tagged.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
-    offsets = per_bucket.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_s_{src}").over(whole).alias(name) for name, src in (totals or {}).items()],
+    # One leading row per bucket brings in what came before it. It rides along
+    # in the shuffle the window needs anyway, so there is no join.
+    leading = per_bucket.select(
+        *keys, F.lit(0).alias("_row"),
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_v_{n}") for n in sums],
+        *[F.sum(f"_s_{source}").over(whole).alias(f"_t_{name}") for name, source in totals.items()],
     )
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = tagged.join(offsets, _null_safe(tagged, offsets, keys), "inner").drop(*[offsets[k] for k in keys])
-    for name in sums:
-        joined = joined.withColumn(name, F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}"))
-    return joined.drop("_bucket", *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
+    both = tagged.withColumn("_row", F.lit(1)).unionByName(leading, allowMissingColumns=True)
+    inside = W.partitionBy(*keys).orderBy("_row", *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = both.withColumns({
+        **{f"_r_{n}": F.sum(f"_v_{n}").over(inside) for n in sums},
+        **{f"_g_{n}": F.first(f"_t_{n}").over(inside) for n in totals},
+    })
+    named = [*sums, *totals]
+    return summed.where("_row = 1").select(
+        *[c for c in df.columns if c not in named],
+        *[F.col(f"_r_{n}").alias(n) for n in sums], *[F.col(f"_g_{n}").alias(n) for n in totals])
