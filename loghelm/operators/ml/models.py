@@ -69,7 +69,8 @@ def fit(train: DataFrame, name: str, **params):
     """
     kept = train.select("label", "features").persist()
     rows = kept.count()
-    model = classifier(name, float(rows), **params).fit(split.with_weights(packed(kept, rows), "label"))
+    ready = kept if name == "random_forest" else packed(kept, rows)
+    model = classifier(name, float(rows), **params).fit(split.with_weights(ready, "label"))
     kept.unpersist()
     return model
 
@@ -151,14 +152,14 @@ def _search(train: DataFrame, id_col: str, grid: list[dict], k: int, parallelism
     folded = split.folds(split.with_weights(kept, "label"), "label", id_col, k).persist()
     model = CrossValidator(
         estimator=classifier("random_forest"), estimatorParamMaps=grid, evaluator=_f1(), foldCol="fold",
-        numFolds=split.fold_count(kept, "label", k), parallelism=parallelism, seed=SEED).fit(packed(folded, kept.count()))
+        numFolds=split.fold_count(kept, "label", k), parallelism=parallelism, seed=SEED).fit(folded)
     folded.unpersist()
     kept.unpersist()
     best = max(range(len(grid)), key=lambda i: model.avgMetrics[i])
     return model.bestModel, {p.name: str(v) for p, v in grid[best].items()}, list(model.avgMetrics)
 
 
-def grid_search(train: DataFrame, id_col: str, space: dict | None = None, k: int = 3, parallelism: int = 2):
+def grid_search(train: DataFrame, id_col: str, space: dict | None = None, k: int = 3, parallelism: int = 4):
     """(best model, best parameters, mean F1 of every setting) over the full grid."""
     rf = RandomForestClassifier()
     builder = ParamGridBuilder()
@@ -168,7 +169,7 @@ def grid_search(train: DataFrame, id_col: str, space: dict | None = None, k: int
     return _search(train, id_col, grid, k, parallelism)
 
 
-def random_search(train: DataFrame, id_col: str, space: dict | None = None, draws: int = RANDOM_DRAWS, k: int = 3, parallelism: int = 2):
+def random_search(train: DataFrame, id_col: str, space: dict | None = None, draws: int = RANDOM_DRAWS, k: int = 3, parallelism: int = 4):
     """As ``grid_search`` over a seeded draw of distinct settings."""
     space = space or RANDOM_SPACE
     rng = random.Random(SEED)

@@ -11,6 +11,7 @@ from loghelm.operators import evaluate as ev
 from loghelm.operators.clean import drop_missing, split_vector_like
 from loghelm.operators.ml import models, stages
 from loghelm.schemas import RETRAIN_SCHEMA
+from loghelm.session import cut_lineage
 
 TEST_SHARE = 0.3
 
@@ -41,14 +42,14 @@ def retrain(
     that is in use.
     """
     rows, clean = training_rows(original, feedback, seq)
-    sides = split.train_test(rows, "label", "id", TEST_SHARE)
+    sides = cut_lineage(split.train_test(rows, "label", "id", TEST_SHARE))
     train, test = sides.where("is_train"), sides.where("is_test")
     features = stages.fit_features(train, max_features=max_features, min_df=2, max_df=0.95, sublinear=True)
-    prepared = stages.featurise(train, features).select("id", "label", "features").persist()
+    # Written once: the search and the calibration go over it many times.
+    prepared = cut_lineage(stages.featurise(train, features).select("id", "label", "features"))
     _, best, _ = models.grid_search(prepared, "id", space, folds)
     typed = {k: (int(v) if v.isdigit() else v) for k, v in best.items()}
     model = models.calibrate(prepared, "random_forest", "id", folds, **typed)
-    prepared.unpersist()
     scored = model.transform(stages.featurise(test, features)).select("id", "label", "score").withColumn("model", F.lit("candidate"))
     scored = scored.persist()
     sweep = ev.threshold_sweep(scored, ["model"], ev.grid("deployment"))

@@ -7,7 +7,7 @@ from loghelm.operators import split
 from loghelm.operators.ml import isolation, models, retrain, stages
 from loghelm.plans.registry import query
 from loghelm.plans.views import table
-from loghelm.session import scratch_path
+from loghelm.session import cut_lineage, scratch_path
 
 _RF = {"numTrees": 20, "maxDepth": 8}
 _SETS = {"random_forest": _RF, "logreg": {"maxIter": 50}, "linear_svm": {"maxIter": 30}}
@@ -41,11 +41,17 @@ def stop_word_vectors(spark, sf):
     return stages.featurise(rows, model).select("id", F.col("features").cast("string").alias("features"))
 
 
-def _sides(spark, sf):
+def _prepared(rows, features, *keep):
+    """Feature rows written once: training goes over them many times."""
+    return cut_lineage(stages.featurise(rows, features).select("id", "label", "features", *keep))
+
+
+def _sides(spark, sf, width=500):
     rows = _labelled(spark, sf)
     sides = split.train_test(rows, "label", "id", 0.2)
-    features = _features(sides.where("is_train"))
-    return stages.featurise(sides.where("is_train"), features), stages.featurise(sides.where("is_test"), features), features
+    features = _features(sides.where("is_train"), max_features=width)
+    prepared = _prepared(sides, features, "is_train", "is_test")
+    return prepared.where("is_train"), prepared.where("is_test"), features
 
 
 @query("random_forest_scores")
@@ -83,22 +89,22 @@ def model_report(spark, sf):
 @query("model_cross_validation")
 def model_cross_validation(spark, sf):
     rows = _labelled(spark, sf)
-    prepared = stages.featurise(rows, _features(rows, max_features=200)).select("id", "label", "features")
+    prepared = _prepared(rows, _features(rows, max_features=200))
     return models.compare_cross_validated(prepared, "id", _SETS, 3)
 
 
 @query("forest_grid_search")
 def forest_grid_search(spark, sf):
-    train, _, _ = _sides(spark, sf)
-    space = {"numTrees": [5, 10], "maxDepth": [4, 8]}
+    train, _, _ = _sides(spark, sf, 60)
+    space = {"numTrees": [5, 10], "maxDepth": [3, 5]}
     _, best, f1 = models.grid_search(train.select("id", "label", "features"), "id", space)
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
 
 @query("forest_random_search")
 def forest_random_search(spark, sf):
-    train, _, _ = _sides(spark, sf)
-    space = {"numTrees": [5, 10, 15], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}
+    train, _, _ = _sides(spark, sf, 60)
+    space = {"numTrees": [3, 5, 10], "maxDepth": [3, 4, 5], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}
     _, best, f1 = models.random_search(train.select("id", "label", "features"), "id", space, draws=3)
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
@@ -106,7 +112,7 @@ def forest_random_search(spark, sf):
 @query("isolation_forest_scores")
 def isolation_forest_scores(spark, sf):
     rows = _labelled(spark, sf)
-    prepared = stages.featurise(rows, _features(rows, max_features=50))
+    prepared = _prepared(rows, _features(rows, max_features=50))
     share = rows.agg(F.avg("label")).first()[0]
     forest = isolation.fit_isolation(prepared, "id", trees=100)
     return isolation.flag_share(forest.score(prepared), share).select("id", "label", F.round("score", 6).alias("score"), "is_anomaly_pred")
@@ -116,7 +122,7 @@ def isolation_forest_scores(spark, sf):
 def cross_dataset_transfer(spark, sf):
     corpus = table(spark, sf, "v_corpus").withColumnRenamed("true_label", "label")
     features = stages.fit_features(corpus, max_features=1000, min_df=2, max_df=0.95, numeric="structured_20", cleaner="identity")
-    moved = models.transfer(stages.featurise(corpus, features), "source_dataset", **_RF)
+    moved = models.transfer(_prepared(corpus, features, "source_dataset"), "source_dataset", **_RF)
     return ev.metrics(ev.confusion_counts(moved, ["train_set", "test_set"], F.col("score") >= 0.5))
 
 
@@ -140,5 +146,5 @@ def retraining_run(spark, sf):
     original = table(spark, sf, "v_corpus")
     feedback = table(spark, sf, "v_feedback").select("seq", F.col("fb_message").alias("message"), F.col("fb_label").alias("true_label"))
     out = retrain.retrain(spark, original, feedback, "seq", scratch_path(spark, "retrain"), "20240201_000000",
-                          space={"numTrees": [10], "maxDepth": [6, 10]}, max_features=500)
+                          space={"numTrees": [10], "maxDepth": [4, 6]}, max_features=100)
     return out.withColumn("best_params", F.to_json("best_params"))
