@@ -5,19 +5,19 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loghelm.functions.scoring import keyword_score
 from loghelm.operators import split
-from loghelm.operators.evaluate import cross_validated
+from loghelm.operators.evaluate import confusion_counts, cross_validated, metrics
 from loghelm.operators.ml.stages import feature_names
 
 # Search spaces. Depth "none" and 40 become 30, the deepest tree
@@ -143,30 +143,32 @@ def calibrate(train: DataFrame, name: str, id_col: str, k: int = 3, **params) ->
     return CalibratedModel(parts)
 
 
-def _f1() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)
+def _search(train: DataFrame, id_col: str, settings: list[dict], k: int, parallelism: int):
+    """Mean held-out F1 of every setting; a few fits run side by side."""
+    folded = split.folds(train.select(id_col, "label", "features"), "label", id_col, k).persist()
+    numbers = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
 
+    def held_out(task: tuple[dict, int]) -> float:
+        setting, fold = task
+        model = fit(folded.where(F.col("fold") != fold), "random_forest", **setting)
+        held = score(model, folded.where(F.col("fold") == fold))
+        return metrics(confusion_counts(held, [], F.col("score") >= 0.5), 12).first()["f1"]
 
-def _search(train: DataFrame, id_col: str, grid: list[dict], k: int, parallelism: int):
-    kept = train.select(id_col, "label", "features").persist()
-    folded = split.folds(split.with_weights(kept, "label"), "label", id_col, k).persist()
-    model = CrossValidator(
-        estimator=classifier("random_forest"), estimatorParamMaps=grid, evaluator=_f1(), foldCol="fold",
-        numFolds=split.fold_count(kept, "label", k), parallelism=parallelism, seed=SEED).fit(folded)
+    tasks = [(s, n) for s in settings for n in numbers]
+    with ThreadPool(parallelism) as pool:
+        f1 = pool.map(held_out, tasks)
+    means = [sum(f1[i * len(numbers):(i + 1) * len(numbers)]) / len(numbers) for i in range(len(settings))]
+    best = max(range(len(settings)), key=lambda i: means[i])
+    model = fit(folded, "random_forest", **settings[best])
     folded.unpersist()
-    kept.unpersist()
-    best = max(range(len(grid)), key=lambda i: model.avgMetrics[i])
-    return model.bestModel, {p.name: str(v) for p, v in grid[best].items()}, list(model.avgMetrics)
+    return model, {n: str(v) for n, v in settings[best].items()}, means
 
 
 def grid_search(train: DataFrame, id_col: str, space: dict | None = None, k: int = 3, parallelism: int = 4):
     """(best model, best parameters, mean F1 of every setting) over the full grid."""
-    rf = RandomForestClassifier()
-    builder = ParamGridBuilder()
-    for name, values in (space or GRID).items():
-        builder = builder.addGrid(getattr(rf, name), values)
-    grid = [{classifier("random_forest").getParam(p.name): v for p, v in m.items()} for m in builder.build()]
-    return _search(train, id_col, grid, k, parallelism)
+    space = space or GRID
+    settings = [dict(zip(space, values)) for values in product(*space.values())]
+    return _search(train, id_col, settings, k, parallelism)
 
 
 def random_search(train: DataFrame, id_col: str, space: dict | None = None, draws: int = RANDOM_DRAWS, k: int = 3, parallelism: int = 4):
@@ -174,12 +176,11 @@ def random_search(train: DataFrame, id_col: str, space: dict | None = None, draw
     space = space or RANDOM_SPACE
     rng = random.Random(SEED)
     chosen: list[dict] = []
-    while len(chosen) < draws:
+    while len(chosen) < min(draws, math.prod(len(v) for v in space.values())):
         setting = {name: rng.choice(values) for name, values in space.items()}
         if setting not in chosen:
             chosen.append(setting)
-    rf = classifier("random_forest")
-    return _search(train, id_col, [{rf.getParam(n): v for n, v in s.items()} for s in chosen], k, parallelism)
+    return _search(train, id_col, chosen, k, parallelism)
 
 
 def cross_predict(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5) -> DataFrame:
