@@ -10,6 +10,13 @@ from loghelm.llm.common import documents, saved
 from loghelm.llm.exact_dedup import keep_one
 from loghelm.llm.mixing import mixed_documents
 from loghelm.llm.packing import pack_documents
+from loghelm.llm.quality_model import keep_good
+from loghelm.llm.simhash import keep_one_near
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +24,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return keep_one_near(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the sources' target shares; a row for each epoch that takes words of a document."""
     return mixed_documents(docs)
@@ -28,7 +40,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
 ]

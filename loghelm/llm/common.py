@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def write_scratch(df: DataFrame, label: str) -> str:
     """Write a table below the shared folder, so that no executor's loss undoes it; returns its path."""
     path = scratch_path(df.sparkSession, label)
@@ -37,6 +41,30 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def text_keys() -> list[Column]:
+    """crc and hash of the text: with the doc_id, they name a row and its equals."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.crc32(text).alias("crc"), F.xxhash64(text).alias("hash")]
+
+
+def matching(docs: DataFrame, stay: DataFrame, once: bool) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, named by (doc_id, crc, hash) in ``stay``; if ``once``, one of equals."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), *text_keys())
+    keyed = keyed.withColumnsRenamed({"crc": "_crc", "hash": "_hash"})
+    same = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_crc") == F.col("crc"), F.col("_hash") == F.col("hash")]
+    met = keyed.join(stay.select("doc_id", "crc", "hash"), same, "left_semi")
+    if once:
+        keys = ["_id", "_crc", "_hash"]
+        met = met.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*keys))).where("_n = 1")
+    return met.select("_row.*")
+
+
+def one_label(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label): one row a document; 0 wins where rows disagree, rows without either are left out."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy(
+        F.col("doc_id").cast("long").alias("_labelled")).agg(F.min(column).cast("int").alias("_label"))
+
+
 def numbered(df: DataFrame, parts: list[str], order: list[Column], weight: Column, rows_each: int = 1_000_000) -> DataFrame:
     """Add ``before``: the total weight of the rows ahead of each row within ``parts``.
 

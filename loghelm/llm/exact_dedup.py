@@ -12,10 +12,9 @@ Long texts are read where they lie: only hashes and identifiers move.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import drop_scratch, write_scratch
+from loghelm.llm.common import drop_scratch, matching, text_keys, write_scratch
 
 WHITE = " \t\n\x0b\f\r"
 CHUNK = r"(?s).{512,4095}?[.!?](?=\p{Lu})|.{1,4096}"
@@ -31,11 +30,11 @@ def without_white(text: Column) -> Column:
 def _rows(docs: DataFrame) -> DataFrame:
     norm = docs.select(
         F.col("doc_id").cast("long"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
-        without_white(F.col("text")).alias("norm"))
+        without_white(F.col("text")).alias("norm"), *text_keys())
     chunks = F.transform(F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)), lambda c: F.struct(
         F.xxhash64(c).alias("hash"), F.octet_length(c).alias("bytes"), F.unhex(F.sha2(c, 256)).alias("digest")))
     return norm.select(
-        F.monotonically_increasing_id().alias("row_no"), "doc_id", "n_points",
+        F.monotonically_increasing_id().alias("row_no"), "doc_id", "n_points", "crc", "hash",
         F.sha2("norm", 256).alias("text_sha256"), chunks.alias("chunks"))
 
 
@@ -54,7 +53,7 @@ def _recipes(rows: DataFrame) -> DataFrame:
 
 def find_copies(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are not read): doc_id, keep_id, group_size, kept,
-    text_sha256, n_points.
+    text_sha256, n_points, and crc and hash of the original text.
 
     Of rows with equal texts (white space 09-0D and 20 deleted) the one with the most code points in its
     original text stays, then the smallest doc_id (null last); of rows that tie in both, exactly one.
@@ -69,16 +68,9 @@ def find_copies(docs: DataFrame) -> DataFrame:
     groups = recipes.groupBy("recipe").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
     return recipes.join(groups, "recipe").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256", "n_points")
+        (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256", "n_points", "crc", "hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are."""
-    stay = find_copies(docs).where("kept").select(
-        F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_points"))
-    keys = {"_k0": F.col("doc_id").cast("long"), "_k1": F.sha2(without_white(F.col("text")), 256),
-            "_k2": F.char_length(F.coalesce("text", F.lit(""))).cast("long")}
-    same = [F.col("_k0").eqNullSafe(F.col("_doc")), F.col("_k1") == F.col("_sha"), F.col("_k2") == F.col("_points")]
-    met = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(k) for k, c in keys.items()]).join(stay, same, "left_semi")
-    order = W.partitionBy(*keys).orderBy(*keys)
-    return met.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
+    return matching(docs, find_copies(docs).where("kept"), once=True)

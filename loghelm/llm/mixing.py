@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import drop_scratch, numbered, write_scratch
+from loghelm.llm.common import drop_scratch, numbered, text_keys, write_scratch
 from loghelm.llm.sharding import grid_of, permuted, sides
 
 WEIGHTS = [5, 2, 1]
@@ -99,10 +99,8 @@ def draw_blocks(targets: DataFrame, block: int, shards: int, seed: int) -> DataF
 def _streams(docs: DataFrame) -> tuple[str, str]:
     """Paths of the sized rows, each at its place in its source's stream, and of the targets."""
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
     sized = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"),
-        F.crc32(text).alias("crc"), F.xxhash64(text).alias("hash"))
+        F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), *text_keys())
     sized_path = write_scratch(sized, "mixing-sizes")
     sized = spark.read.parquet(sized_path)
     targets_path = write_scratch(source_targets(sized), "mixing-targets")
@@ -166,10 +164,9 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, shards: int = 64, se
     same = W.partitionBy(*keys)
     side = by_row.withColumn("_copy", F.row_number().over(same.orderBy("before"))).select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_copy").alias("_r_copy"), F.col("size").alias("_size"), F.col("epochs").alias("_epochs"))
-    text = F.coalesce("text", F.lit(""))
     left = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.col("source").cast("string").alias("_source"),
-        F.crc32(text).alias("_crc"), F.xxhash64(text).alias("_hash"))
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"),
+        F.col("source").cast("string").alias("_source"), *text_keys()).withColumnsRenamed({"crc": "_crc", "hash": "_hash"})
     left = left.withColumn("_copy", F.row_number().over(W.partitionBy("_doc_id", "_source", "_crc", "_hash").orderBy("_doc_id")))
     met = left.join(side, [*[F.col(f"_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.col("_copy") == F.col("_r_copy")])
     each = met.withColumn("_spans", F.explode("_epochs"))

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loghelm.llm.common import documents
+from loghelm.llm.common import documents, labels
 from loghelm.llm.exact_dedup import find_copies
 from loghelm.llm.mixing import mix_sources
 from loghelm.llm.packing import pack_documents
+from loghelm.llm.quality_model import score_quality
+from loghelm.llm.quality_rules import judge_quality
 from loghelm.llm.secret_scan import find_secrets
 from loghelm.llm.sharding import shard_rows
 from loghelm.llm.simhash import near_copies
 from loghelm.llm.substring_dedup import remove_repeats
+from loghelm.llm.toxicity import score_toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -30,10 +33,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir)).drop("crc", "hash")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir))
 
@@ -43,14 +58,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_copies(documents(spark, sf_dir))
+    return find_copies(documents(spark, sf_dir)).drop("crc", "hash")
 
 
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_sharding": op3_sharding,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import drop_scratch, write_scratch
+from loghelm.llm.common import drop_scratch, matching, text_keys, write_scratch
 
 MAX_PAIRS = 1 << 21
 ENTRIES = "bucket int, anchor binary, fp binary, home binary"
@@ -50,7 +50,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         fps = [fingerprint(t.as_py().lower().split()) for t in batch.column("text").cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            [*(batch.column(c) for c in ("doc_id", "crc", "hash")), pa.array(np.array(fps, np.uint64).view(np.int64))],
+            names=["doc_id", "crc", "hash", "fp"])
 
 
 class Block:
@@ -221,28 +222,39 @@ def components(links: DataFrame) -> DataFrame:
         path = after
 
 
-def near_copies(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text; other columns are not read): doc_id, fingerprint, component_id, n_same.
-
-    Fingerprints of at most ``threshold`` differing bits are linked; component_id is the least doc_id
-    reachable, n_same the number of rows of the same fingerprint. Null and empty texts have fingerprint
-    zero and link like others. A null doc_id never is a component_id unless all of its component are null.
-    No rows give no rows.
-    """
+def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
+    """doc_id, crc and hash of the text, fp, the root fingerprint of its component, component_id, n_same."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows_path = write_scratch(texts.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-rows")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *text_keys())
+    rows_path = write_scratch(texts.mapInArrow(_fingerprints, "doc_id long, crc long, hash long, fp long"), "simhash-rows")
     rows = spark.read.parquet(rows_path)
     prints_path = write_scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "simhash-prints")
     prints = spark.read.parquet(prints_path)
     n = prints.count()
     n_blocks = 2 if n < 1 << 28 else 3
-    buckets = max(16, -(-n // 16_384))
+    buckets = max(64, -(-n // 16_384))
     entries = prints.select("fp").mapInArrow(_replicate(n_blocks, threshold, buckets), ENTRIES)
     found = components(entries.groupBy("bucket").applyInArrow(_linked(threshold), "u long, v long"))
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", "n_same", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = write_scratch(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "n_same", "component_id"), "simhash-named")
+    named = write_scratch(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "n_same", "root", "component_id"), "simhash-named")
     drop_scratch(spark, prints_path)
-    met = rows.join(spark.read.parquet(named), F.col("fp") == F.col("_fp"))
-    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
+    return rows.join(spark.read.parquet(named), F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_copies(docs: DataFrame, threshold: int = 2) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text; other columns are not read): doc_id, fingerprint, component_id, n_same.
+
+    Fingerprints of at most ``threshold`` differing bits are linked; component_id is the least doc_id
+    reachable, n_same the number of rows of the same fingerprint. Null and empty texts have fingerprint
+    zero and link like others. A null doc_id never is a component_id unless all of its component are null.
+    No rows give no rows.
+    """
+    return _grouped(docs, threshold).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
+
+
+def keep_one_near(docs: DataFrame, threshold: int = 2) -> DataFrame:
+    """One row of each component, all columns as they are: the least doc_id (null last), then the least crc and hash."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc", "hash")
+    stay = _grouped(docs, threshold).groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.crc", "first.hash")
+    return matching(docs, stay, once=True)

@@ -68,22 +68,27 @@ class Texts:
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return total[self.text_at[1:]] - total[self.text_at[:-1]]
 
-    def codes(self, seed: int = 0, values: np.ndarray | None = None, keep: np.ndarray | None = None) -> np.ndarray:
-        """A code for each word; ``values`` replaces the bytes, ``keep`` names those that count."""
-        out = np.empty(len(self.starts), np.uint64)
+    def codes(
+        self, seed: int = 0, values: np.ndarray | None = None, keep: np.ndarray | None = None,
+        spans: tuple[np.ndarray, np.ndarray] | None = None,
+    ) -> np.ndarray:
+        """A code for each word; ``values`` replaces the bytes, ``keep`` names those that count, ``spans`` replaces
+        starts and ends, one span in each word."""
+        starts, ends = spans or (self.starts, self.ends)
+        out = np.empty(len(starts), np.uint64)
         raw = self.buf if values is None else values
         at = 0
         while at < len(out):
-            low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, low + BLOCK, "right")))
-            high = self.ends[to - 1]
+            low = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+            high = ends[to - 1]
             if high - low > 2 * BLOCK:  # one very long word: no tables of its length
                 word = raw[low:high] if keep is None else raw[low:high][keep[low:high]]
                 out[at] = int.from_bytes(blake2b(word.tobytes(), digest_size=8, person=bytes([seed])).digest(), "little")
                 at = to
                 continue
             part = _table(seed)[raw[low:high]]
-            s, e = self.starts[at:to] - low, self.ends[at:to] - low
+            s, e = starts[at:to] - low, ends[at:to] - low
             if keep is None:
                 part = part * _powers(seed, high - low, False)[: high - low]
                 begun, ended = s, e
