@@ -15,8 +15,8 @@ NON_WS = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
 WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-# Patterns the results depend on.
-IPV4 = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
+# Patterns the results depend on. Digits are those of any script.
+IPV4 = r"\b\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}\b"
 BLOCK_ID = r"(blk_-?\d+)"
 PID_FIELD = r"pid=(\d+)"
 
@@ -24,7 +24,7 @@ PID_FIELD = r"pid=(\d+)"
 CLEAN_RULES = [
     (IPV4, " <IP> "),
     (r"(/[A-Za-z0-9._-]+)+", " <PATH> "),
-    (r"\b\d{4,}\b", " <NUM> "),
+    (r"\b\p{Nd}{4,}\b", " <NUM> "),
     (r"\buser=[A-Za-z0-9._-]+\b", " user=<USER> "),
     (r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", " <MAC> "),
 ]
@@ -33,12 +33,12 @@ CLEAN_RULES = [
 MASK_RULES_V1 = [
     (IPV4, "<IP>"),
     (r"\b[a-fA-F0-9]{8,}\b", "<ID>"),
-    (r"\b(?=[A-Za-z0-9]{8,})(?=.*[A-Za-z])(?=.*\d)[A-Za-z0-9]+\b", "<ID>"),
-    (r"\(\d+\)", "(<PID>)"),
-    (r"(?i)\b(pid|uid)=\d+\b", "$1=<PID>"),
-    (r"(?i)\bPID[:=]?\s*\d+\b", "PID=<PID>"),
-    (r"\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "<TS>"),
-    (r"(/[A-Za-z0-9_\-./]+)+", "<PATH>"),
+    (r"\b(?=[A-Za-z0-9]{8,})(?=.*[A-Za-z])(?=.*\p{Nd})[A-Za-z0-9]+\b", "<ID>"),
+    (r"\(\p{Nd}+\)", "(<PID>)"),
+    (r"(?i)\b(pid|uid)=\p{Nd}+\b", "$1=<PID>"),
+    (r"(?i)\bPID[:=]?\s*\p{Nd}+\b", "PID=<PID>"),
+    (r"\b\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}T\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}(?:\.\p{Nd}+)?(?:Z|[+-]\p{Nd}{2}:?\p{Nd}{2})?\b", "<TS>"),
+    (r"/[A-Za-z0-9_\-./]+", "<PATH>"),
     (r"[A-Za-z]:\\[^\s]+", "<PATH>"),
 ]
 
@@ -47,12 +47,12 @@ MASK_RULES_V2 = [
     (IPV4, "<IP>"),
     (r"\b(?:0x)?[A-Fa-f0-9]{8,}\b", "<ID>"),
     (r"\b[A-Za-z0-9]{24,}\b", "<ID>"),
-    (r"\[(\d+)\]", "[<PID>]"),
-    (r"\bpid=\d+\b", "pid=<PID>"),
-    (r"\bpids?\b[:=]?\d+\b", "pid=<PID>"),
-    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?", "<TS>"),
-    (r"\d{2}:\d{2}:\d{2}", "<TS>"),
-    (r"(/[A-Za-z0-9_\-./]+)+", "<PATH>"),
+    (r"\[(\p{Nd}+)\]", "[<PID>]"),
+    (r"\bpid=\p{Nd}+\b", "pid=<PID>"),
+    (r"\bpids?\b[:=]?\p{Nd}+\b", "pid=<PID>"),
+    (r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}T\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}(?:\.\p{Nd}+)?Z?", "<TS>"),
+    (r"\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}", "<TS>"),
+    (r"/[A-Za-z0-9_\-./]+", "<PATH>"),
     (r"[A-Za-z]:\\[^ \n\r\t]+", "<PATH>"),
     (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>"),
     (r"\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b", "<HOST>"),
@@ -61,13 +61,28 @@ MASK_RULES_V2 = [
 # Tokens that give away the data set, in this order. Digits go
 # before node ids, so "node-12" ends as "node-NUM".
 IDENTITY_RULES = [
-    (r"blk_-?\d+", "BLOCK_ID"),
+    (r"blk_-?\p{Nd}+", "BLOCK_ID"),
     (r"0x[a-fA-F0-9]+", "HEX_ID"),
-    (r"\b\d+\b", "NUM"),
-    (r"node-\d+", "NODE_ID"),
+    (r"\b\p{Nd}+\b", "NUM"),
+    (r"node-\p{Nd}+", "NODE_ID"),
     (r"\b[a-f0-9]{8,}\b", "HASH_ID"),
 ]
 
+# The JVM's engine recurses once for each turn of a repeated group, and tries a
+# failed run again from each of its places. These forms match the same texts
+# without either: a run is tried once, from its first word boundary on, and what
+# it has before that boundary is kept as group 1.
+FLAT_FORMS = {
+    r"(/[A-Za-z0-9._-]+)+": r"()(?:/[A-Za-z0-9._-]++)++",
+    r"\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b":
+        r"(?:\G|(?<![A-Za-z0-9.-])|(?<=\.\.))((?:(?!\b[A-Za-z0-9-])[A-Za-z0-9.-])*+)"
+        r"\b[A-Za-z0-9-](?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}\b",
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b":
+        r"(?:\G|(?<![A-Za-z0-9._%+-]))((?:(?!\b)[A-Za-z0-9._%+-])*+)"
+        r"\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+}
+LINE_ENDS = "(?<=[\\n\\r\\x85\\u2028\\u2029])"
+
 MESSAGE_LIMIT = 8000
 TRUNCATION_MARK = " ...[truncated]"
 
@@ -82,7 +97,26 @@ def collapse(c: Column) -> Column:
 
 
 def apply_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], rule[1]), rules, c)
+    """Rules one after another; word boundaries and classes are Unicode's."""
+    for pattern, replacement in rules:
+        flat = FLAT_FORMS.get(pattern)
+        c = F.regexp_replace(c, "(?U)" + (flat or pattern), "$1" + replacement if flat else replacement)
+    return c
+
+
+def mask_mixed_tokens(c: Column, mask: str) -> Column:
+    """Mask tokens of eight or more ASCII letters and digits with both a letter and a digit at or after their start in the line.
+
+    Looking ahead from every token reads a line once a token. Here each line is cut behind the word that
+    holds its last digit, or its last letter if that comes first: tokens before the cut have both ahead.
+    """
+    def line(x: Column) -> Column:
+        heads = [F.regexp_extract(x, f"(?U)^(.*{last}\\w*)", 1) for last in (r"\p{Nd}", "[A-Za-z]")]
+        head = F.when(F.char_length(heads[0]) <= F.char_length(heads[1]), heads[0]).otherwise(heads[1])
+        masked = F.regexp_replace(head, r"(?U)\b[A-Za-z0-9]{8,}\b", mask)
+        return F.concat(masked, F.substr(x, F.char_length(head) + 1))
+
+    return F.array_join(F.transform(F.split(c, LINE_ENDS), line), "")
 
 
 def text_or_empty(c: Column) -> Column:
@@ -94,7 +128,8 @@ def clean_message(c: Column) -> Column:
 
 
 def mask_v1(c: Column) -> Column:
-    return collapse(apply_rules(text_or_empty(c), MASK_RULES_V1))
+    before, (_, mask), after = MASK_RULES_V1[:2], MASK_RULES_V1[2], MASK_RULES_V1[3:]
+    return collapse(apply_rules(mask_mixed_tokens(apply_rules(text_or_empty(c), before), mask), after))
 
 
 def mask_v2(c: Column) -> Column:
@@ -148,6 +183,12 @@ def ipv4(c: Column) -> Column:
     return first_group(c, IPV4)
 
 
+def utc(c: Column) -> Column:
+    """Time of a text: one with an offset is the instant in UTC, one without is taken as it stands; NULL if unreadable."""
+    instant = F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    return F.when(c.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})\s*$") & c.contains(":"), instant).otherwise(c.try_cast("timestamp_ntz"))
+
+
 def iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

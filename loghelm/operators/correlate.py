@@ -37,7 +37,7 @@ class CorrelationRule:
 
     @property
     def block_micros(self) -> int:
-        seconds = self.block_seconds or max(3600, 8 * max(self.window_seconds, self.dedup_seconds))
+        seconds = self.block_seconds or 8 * max(self.window_seconds, self.dedup_seconds, 1)
         return seconds * MICROS
 
 
@@ -204,14 +204,15 @@ def accepted_events(matched: DataFrame, gap_seconds: int, block_micros: int) ->
     last accepted event of its signature lies at most ``gap_seconds`` back, so
     the answer depends on the whole chain. Each (signature, block) is solved on
     its own for every way the block before it may end; a pass over the block
-    ends of each signature then settles which one is true.
+    ends of each signature then settles which one is true. Events without a
+    time are on no chain and are left out.
     """
     gap = gap_seconds * MICROS
     if block_micros <= gap:
         raise ValueError("a block has to be longer than the gap")
     blocks = F.floor(F.col("us") / F.lit(block_micros)).cast("long")
     firsts = (
-        matched.groupBy("sig", "rule", "ip", "us").agg(F.min("id").alias("id"))
+        matched.where(F.col("us").isNotNull()).groupBy("sig", "rule", "ip", "us").agg(F.min("id").alias("id"))
         .withColumn("block", blocks)
         .repartition("sig", "block")
     )
@@ -255,11 +256,13 @@ def correlate(logs: DataFrame, rule: CorrelationRule = SSH_BRUTEFORCE, id_col: s
     """Add src_ip, matched_rule, active_event_count, correlation_triggered.
 
     Suppressed repeats are removed. Rows that match no pattern never enter a
-    shuffle: only matching rows are joined to their counts.
+    shuffle: only matching rows are joined to their counts. A matching row
+    without a time is neither suppressed nor counted.
     """
     message = F.lower(text.strip(F.coalesce(F.col(message_col), F.lit(""))))
     tagged = logs.withColumn("src_ip", source_ip(message)).withColumn("matched_rule", matched_pattern(message, rule))
-    hits = tagged.where(F.col("matched_rule").isNotNull())
+    timed = F.col("matched_rule").isNotNull() & F.col(ts_col).isNotNull()
+    hits = tagged.where(timed)
     narrow = hits.select(
         F.unhex(F.md5(F.concat_ws(":", "src_ip", message))).alias("sig"),
         F.lit(rule.name).alias("rule"), F.col("src_ip").alias("ip"),
@@ -267,6 +270,6 @@ def correlate(logs: DataFrame, rule: CorrelationRule = SSH_BRUTEFORCE, id_col: s
     kept = accepted_events(narrow, rule.dedup_seconds, rule.block_micros)
     counts = sliding_counts(kept, rule.window_seconds, rule.block_micros).withColumnRenamed("id", id_col)
     seen = hits.join(counts, id_col, "inner")
-    rest = tagged.where(F.col("matched_rule").isNull()).withColumn("active_event_count", F.lit(0).cast("long"))
+    rest = tagged.where(~timed).withColumn("active_event_count", F.lit(0).cast("long"))
     return rest.unionByName(seen).withColumn(
         "correlation_triggered", F.col("active_event_count") >= rule.correlation_threshold)

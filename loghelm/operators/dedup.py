@@ -1,8 +1,7 @@
 """Duplicate removal.
 
-Every operator is an aggregate by key, so copies meet in map-side partial
-results first and a key that holds a third of the table costs one row per
-task in the shuffle.
+Keys are aggregated in map-side partial results first, so a key that holds a
+third of the table costs one row per task in that shuffle.
 """
 
 from __future__ import annotations
@@ -27,16 +26,18 @@ def timed_key(seen: Column, host: Column, service: Column, message: Column) -> C
 
 
 def keep_first(df: DataFrame, key: Column, order: list[str], key_name: str = "row_key") -> DataFrame:
-    """First row per key by ``order``.
+    """First row per key by ``order``, which has to tell rows of one key apart.
 
     Rows are compared on the whole digest; the stored short key is its prefix,
-    too short to tell rows apart at trillions of them.
+    too short to tell rows apart at trillions of them. Only digest and order are
+    aggregated; whole rows move once, to meet the winners.
     """
-    return (
-        df.groupBy(key.alias("_key"))
-        .agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
-        .select("_row.*", F.substring("_key", 1, KEY_LENGTH).alias(key_name))
-    )
+    keyed = df.withColumn("_key", F.unhex(key))
+    least = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    winners = keyed.groupBy("_key").agg(least.alias("_least")).withColumnRenamed("_key", "_won")
+    firsts = keyed.join(winners, (F.col("_key") == F.col("_won")) & place.eqNullSafe(F.col("_least")), "left_semi")
+    return firsts.withColumn(key_name, F.substring(F.lower(F.hex("_key")), 1, KEY_LENGTH)).drop("_key")
 
 
 def first_records(df: DataFrame, order: list[str]) -> DataFrame:

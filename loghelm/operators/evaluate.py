@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loghelm.operators.ranking import range_bucket, running_totals
-from loghelm.session import checked_broadcast
 
 # Threshold grids (first, steps of 0.05), gate and defaults.
 GRIDS = {
@@ -97,9 +96,10 @@ def score_steps(df: DataFrame, by: list[str]) -> DataFrame:
 
     Rows of equal score are counted first, then the distinct scores are summed
     bucket by bucket, so the curve of any number of rows never meets one task.
+    Rows without a score take part in no measure.
     Adds pos and neg (own counts) and all_pos and all_neg (of the group).
     """
-    points = df.groupBy(*by, "score").agg(
+    points = df.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     return running_totals(
         points, by, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")},
@@ -220,7 +220,7 @@ def histogram(df: DataFrame, by: list[str], bins: int) -> DataFrame:
     width = F.col("hi") - F.col("lo")
     number = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
     # A plain join would move every row to the task of its group.
-    counted = df.join(checked_broadcast(ends), by).groupBy(*by, number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = df.join(ends, by).groupBy(*by, number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
     every = ends.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
                         F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
     return every.join(counted, [*by, "bin"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))

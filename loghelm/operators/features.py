@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loghelm.session import checked_broadcast
-
 # Token pattern and term weighting presets.
 WORD = r"[\p{L}\p{N}_]{2,}"
-NUMBER = r"\b\d+\b"
+NUMBER = r"\b\p{Nd}+\b"
 PRESETS = {
     "train": {"max_features": 3000, "min_df": 2, "max_df": 0.95, "sublinear": True},
     "corpus": {"max_features": 4000, "min_df": 2, "max_df": 0.95, "sublinear": False},
@@ -39,7 +37,7 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
 
 def with_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the alphabetical index of a category column."""
-    return df.join(checked_broadcast(category_codes(df, column)), column, "left").withColumnRenamed("code", name)
+    return df.join(category_codes(df, column), column, "left").withColumnRenamed("code", name)
 
 
 def one_hot(df: DataFrame, id_col: str, column: str, known: list[str]) -> DataFrame:

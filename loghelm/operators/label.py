@@ -43,7 +43,7 @@ def lookup_block_labels(messages: DataFrame, labels: DataFrame, order: str, mess
     """
     last = labels.groupBy("block_id").agg(F.max_by("true_label", order).alias("true_label"))
     found = block_id(F.col(message))
-    scattered = F.concat(F.lit("none-"), (F.abs(F.xxhash64(F.col(message))) % 4096).cast("string"))
+    scattered = F.concat(F.lit("none-"), (F.pmod(F.xxhash64(F.col(message)), F.lit(4096))).cast("string"))
     keyed = messages.withColumn("block_id", found).withColumn("_join", F.coalesce(found, scattered))
     return (
         keyed.join(last.withColumnRenamed("block_id", "_join"), "_join", "left")

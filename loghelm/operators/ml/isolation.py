@@ -89,10 +89,10 @@ def fit_isolation(df: DataFrame, id_col: str, features: str = "features", trees:
     pool = min(1.0, 4.0 * trees * each)
     share = each / pool
     spread = F.lit(float(2**62))
-    picked = df.where((F.abs(F.xxhash64(F.lit(seed), F.col(id_col))) % F.lit(2**62)) / spread < pool).select(
+    picked = df.where((F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(2**62))) / spread < pool).select(
         vector_to_array(F.col(features)).alias("x"),
         F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (
-            F.abs(F.xxhash64(F.lit(seed + 1), F.col(id_col), t)) % F.lit(2**62)) / spread < share)).alias("tree"))
+            F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), t), F.lit(2**62))) / spread < share)).alias("tree"))
     limit = max(1, math.ceil(math.log2(max(2, min(sample, n)))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -31,7 +31,6 @@ RANDOM_SPACE = {
 }
 RANDOM_DRAWS = 10
 SEED = 42
-ROWS_PER_TASK = 20_000
 
 
 def classifier(name: str, rows: float = 1.0, **params):
@@ -51,16 +50,6 @@ def classifier(name: str, rows: float = 1.0, **params):
     raise ValueError(f"unknown model {name}")
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """No more partitions than the rows need.
-
-    An iterative solver runs a job per step, and on a small table the tasks
-    cost more than the arithmetic. Large tables keep their partitions.
-    """
-    wanted = max(1, math.ceil(rows / ROWS_PER_TASK))
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
-
-
 def fit(train: DataFrame, name: str, **params):
     """Fit on (features, label); class weights are balanced.
 
@@ -69,8 +58,7 @@ def fit(train: DataFrame, name: str, **params):
     """
     kept = train.select("label", "features").persist()
     rows = kept.count()
-    ready = kept if name == "random_forest" else packed(kept, rows)
-    model = classifier(name, float(rows), **params).fit(split.with_weights(ready, "label"))
+    model = classifier(name, float(rows), **params).fit(split.with_weights(kept, "label"))
     kept.unpersist()
     return model
 
@@ -136,7 +124,7 @@ def calibrate(train: DataFrame, name: str, id_col: str, k: int = 3, **params) ->
     for fold in [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]:
         base = fit(folded.where(F.col("fold") != fold).drop("fold"), name, **params)
         held = score(base, folded.where(F.col("fold") == fold))
-        one = VectorAssembler(inputCols=["score"], outputCol="_x").transform(packed(held.select("label", "score"), held.count()))
+        one = VectorAssembler(inputCols=["score"], outputCol="_x").transform(held.select("label", "score"))
         sigmoid = LogisticRegression(featuresCol="_x", labelCol="label", standardization=False).fit(one)
         parts.append((base, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
     folded.unpersist()

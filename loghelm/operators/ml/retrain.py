@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loghelm.functions import text
 from loghelm.operators import dedup, split
 from loghelm.operators import evaluate as ev
 from loghelm.operators.clean import drop_missing, split_vector_like
@@ -19,14 +20,15 @@ TEST_SHARE = 0.3
 def training_rows(original: DataFrame, feedback: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
     """(all usable rows with a unique id, cleaned feedback).
 
-    ``original`` brings its own ids. Feedback keeps one label per message, so
-    the message identifies it; dumped vectors are set aside.
+    ``original`` brings its own ids. Feedback keeps one label per message as
+    written, so that message identifies it; messages equal but for the white
+    space around them all stay. Dumped vectors are set aside.
     """
     clean = drop_missing(dedup.resolve_feedback(feedback, seq), "message", "true_label")
-    clean = clean.withColumn("message", F.trim("message")).dropDuplicates(["message"])
+    clean = clean.withColumn("feedback_id", F.sha2("message", 256)).withColumn("message", text.strip(F.col("message")))
     label = F.col("true_label").cast("int").alias("label")
     both = original.select(F.concat(F.lit("o:"), F.col("id").cast("string")).alias("id"), "message", label).unionByName(
-        clean.select(F.concat(F.lit("f:"), F.sha2("message", 256)).alias("id"), "message", label))
+        clean.select(F.concat(F.lit("f:"), "feedback_id").alias("id"), "message", label))
     usable, _ = split_vector_like(drop_missing(both, "message", "label"))
     return usable, clean
 

@@ -112,8 +112,8 @@ def normalize_upload(df: DataFrame, source_tag: str, ingest_ts: Column) -> DataF
     if source_tag.startswith("upload"):
         at = seen = ingest_ts
     else:
-        at = F.coalesce(F.col("timestamp").try_cast("timestamp_ntz"), ingest_ts)
-        seen = F.coalesce(F.col("detected_at").try_cast("timestamp_ntz"), ingest_ts)
+        at = F.coalesce(text.utc(F.col("timestamp")), ingest_ts)
+        seen = F.coalesce(text.utc(F.col("detected_at")), ingest_ts)
     extra = [c for c in df.columns if c not in (
         "anomaly_id", "detected_at", "timestamp", "host", "service", "message", "prob_anomaly",
         "is_anomaly_pred", "true_label", "model", "pid", "source")]
@@ -145,8 +145,8 @@ def repair_stored(df: DataFrame, as_of: Column) -> DataFrame:
         return F.coalesce(F.col(name), F.lit("")) if name in present else F.lit("")
 
     message = text.truncate(text.collapse(raw("message")))
-    at = raw("timestamp").try_cast("timestamp_ntz")
-    seen = F.coalesce(raw("detected_at").try_cast("timestamp_ntz"), at, as_of)
+    at = text.utc(raw("timestamp"))
+    seen = F.coalesce(text.utc(raw("detected_at")), at, as_of)
     extra = [c for c in df.columns if c not in STORED_FIELDS]
     return (
         df.where(~header & ~blank)

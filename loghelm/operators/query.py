@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,8 @@ def _instant(value: str | None) -> Column | None:
     if not value:
         return None
     try:
-        at = datetime.fromisoformat(value.replace("Z", "+00:00")).replace(tzinfo=None)
+        at = datetime.fromisoformat(value.replace("Z", "+00:00"))
+        at = at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
     except ValueError:
         return None
     return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -11,7 +11,7 @@ from loghelm.plans import sqltext as q
 from loghelm.plans.registry import query
 from loghelm.plans.views import table, with_views
 
-_C = with_views("v_corpus")
+_C = with_views("v_messages")
 _NW = fx.TOKEN
 
 
@@ -56,32 +56,32 @@ def _ints(df):
 
 
 def _frame_20(spark, sf):
-    return table(spark, sf, "v_corpus").select("id", "source_dataset", "true_label", *fx.structured_20(F.col("message")))
+    return table(spark, sf, "v_messages").select("id", "source_dataset", "true_label", *fx.structured_20(F.col("message")))
 
 
-@query("features_structured_20", _C + f"SELECT id, {SQL_20} FROM v_corpus")
+@query("features_structured_20", _C + f"SELECT id, {SQL_20} FROM v_messages")
 def features_structured_20(spark, sf):
-    return _ints(table(spark, sf, "v_corpus").select("id", *_rounded(fx.structured_20(F.col("message")), fx.STRUCTURED_20)))
+    return _ints(table(spark, sf, "v_messages").select("id", *_rounded(fx.structured_20(F.col("message")), fx.STRUCTURED_20)))
 
 
-_MASKED = _C.rstrip() + f", raw_ AS (SELECT id, {q.replaced('lower(message)', text.IDENTITY_RULES)} AS message FROM v_corpus)\n"
+_MASKED = _C.rstrip() + f", raw_ AS (SELECT id, {q.replaced('lower(message)', text.IDENTITY_RULES)} AS message FROM v_messages)\n"
 
 
 @query("features_structured_20_masked", _MASKED + f"SELECT id, {SQL_20} FROM raw_")
 def features_structured_20_masked(spark, sf):
     masked = text.mask_identity(F.lower("message"))
-    return _ints(table(spark, sf, "v_corpus").select("id", masked.alias("message")).select(
+    return _ints(table(spark, sf, "v_messages").select("id", masked.alias("message")).select(
         "id", *_rounded(fx.structured_20(F.col("message")), fx.STRUCTURED_20)))
 
 
 @query("features_structured_10", _C + f"""SELECT id, length(message) AS message_length,
  round({_cnt(_M, chr(92) + 'p{Nd}')} / {_LEN}, 6) AS digit_ratio, round({_cnt(_M, chr(92) + 'p{Lu}')} / {_LEN}, 6) AS uppercase_ratio,
  CAST({_cnt(_M, fx.SPECIAL)} AS INT) AS special_char_count, {_rx(_M, fx.IP)} AS contains_ip,
- {', '.join(f"{_has(_L, w)} AS contains_{w}" for w in ('failed', 'error', 'warning', 'admin', 'login'))} FROM v_corpus""")
+ {', '.join(f"{_has(_L, w)} AS contains_{w}" for w in ('failed', 'error', 'warning', 'admin', 'login'))} FROM v_messages""")
 def features_structured_10(spark, sf):
     names = ["message_length", "digit_ratio", "uppercase_ratio", "special_char_count", "contains_ip"]
     names += [f"contains_{w}" for w in ("failed", "error", "warning", "admin", "login")]
-    return _ints(table(spark, sf, "v_corpus").select("id", *_rounded(fx.structured_10(F.col("message")), names)))
+    return _ints(table(spark, sf, "v_messages").select("id", *_rounded(fx.structured_10(F.col("message")), names)))
 
 
 @query("features_live_9", with_views("v_text") + f"""SELECT kind, id, length(text) AS length, CAST({_cnt('text', chr(92) + 'p{Nd}')} AS INT) AS digits,
@@ -152,7 +152,7 @@ def features_scaled(spark, sf):
     return ops.scaled(raw, _SCALED).select("event_id", *[F.round(c, 6).alias(c) for c in _SCALED])
 
 
-@query("features_described", _C.rstrip() + f", f AS (SELECT id, {SQL_20} FROM v_corpus)\n" + " UNION ALL ".join(
+@query("features_described", _C.rstrip() + f", f AS (SELECT id, {SQL_20} FROM v_messages)\n" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count({c}) AS rows, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
     f"round(CAST(max({c}) AS DOUBLE), 4) AS max, count(*) FILTER ({c} IS NULL) AS missing FROM f" for c in fx.STRUCTURED_20))
 def features_described(spark, sf):
@@ -164,7 +164,7 @@ def features_described(spark, sf):
 _CORR = ["message_length", "token_count", "digit_ratio", "special_char_count", "unique_token_ratio", "error_keyword_count", "average_token_length"]
 
 
-@query("features_correlation", _C.rstrip() + f", f AS (SELECT id, {SQL_20} FROM v_corpus)\n" + " UNION ALL ".join(
+@query("features_correlation", _C.rstrip() + f", f AS (SELECT id, {SQL_20} FROM v_messages)\n" + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 3) AS corr FROM f" for a, b in combinations(_CORR, 2)))
 def features_correlation(spark, sf):
     return ops.correlations(_frame_20(spark, sf), _CORR).withColumn("corr", F.round("corr", 3))
@@ -172,7 +172,7 @@ def features_correlation(spark, sf):
 
 def _terms_sql(pattern=ops.WORD, bigrams=True):
     words = f"regexp_extract_all(lower(coalesce(message, '')), {q.quoted(pattern)})"
-    tokens = f"toks AS (SELECT id, {words} AS w FROM v_corpus)"
+    tokens = f"toks AS (SELECT id, {words} AS w FROM v_messages)"
     both = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))" if bigrams else "w"
     return _C.rstrip() + f""", {tokens}, ex AS (SELECT id, unnest({both}) AS term FROM toks),
 tf AS (SELECT id, term, count(*) AS tf FROM ex GROUP BY 1, 2)
@@ -180,12 +180,12 @@ tf AS (SELECT id, term, count(*) AS tf FROM ex GROUP BY 1, 2)
 
 
 def _counts(spark, sf, pattern=ops.WORD, bigrams=True):
-    return ops.term_counts(table(spark, sf, "v_corpus"), "id", "message", pattern, bigrams)
+    return ops.term_counts(table(spark, sf, "v_messages"), "id", "message", pattern, bigrams)
 
 
 def _tfidf_sql(max_features, min_df, max_df, sublinear):
     tf = "1 + ln(tf)" if sublinear else "tf"
-    return _terms_sql() + f""", n AS (SELECT count(*) AS n FROM v_corpus),
+    return _terms_sql() + f""", n AS (SELECT count(*) AS n FROM v_messages),
 vocab AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf, n GROUP BY term, n HAVING count(*) >= {min_df} AND count(*) <= {max_df} * n
   ORDER BY cf DESC, term LIMIT {max_features}),
 raw_ AS (SELECT id, term, ({tf}) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n)
@@ -197,7 +197,7 @@ def term_counts(spark, sf):
     return _counts(spark, sf)
 
 
-@query("number_tokens", _terms_sql("\\b\\d+\\b", False) + "SELECT * FROM tf")
+@query("number_tokens", _terms_sql(ops.NUMBER, False) + "SELECT * FROM tf")
 def number_tokens(spark, sf):
     return _counts(spark, sf, ops.NUMBER, False)
 
@@ -205,14 +205,14 @@ def number_tokens(spark, sf):
 @query("vocabulary", _tfidf_sql(**ops.PRESETS["corpus"]) + "SELECT * FROM vocab")
 def vocabulary(spark, sf):
     p = ops.PRESETS["corpus"]
-    n = table(spark, sf, "v_corpus").count()
+    n = table(spark, sf, "v_messages").count()
     return ops.vocabulary(_counts(spark, sf), n, p["max_features"], p["min_df"], p["max_df"])
 
 
 def _weights(spark, sf, preset):
     p = ops.PRESETS[preset]
     counts = _counts(spark, sf)
-    n = table(spark, sf, "v_corpus").count()
+    n = table(spark, sf, "v_messages").count()
     vocab = ops.vocabulary(counts, n, p["max_features"], p["min_df"], p["max_df"])
     return ops.tf_idf(counts, vocab, "id", n, p["sublinear"]).withColumn("weight", F.round("weight", 6))
 

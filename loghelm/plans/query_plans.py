@@ -192,10 +192,10 @@ def anomaly_samples(spark, sf):
     return table(spark, sf, "v_corpus").where("true_label = 1").select("id", "message").orderBy("id").limit(10)
 
 
-@query("longest_messages", _C + """SELECT id, length(message) AS message_length, substr(message, 1, 1000) AS preview FROM v_corpus
+@query("longest_messages", with_views("v_messages") + """SELECT id, length(message) AS message_length, substr(message, 1, 1000) AS preview FROM v_messages
 ORDER BY message_length DESC, id LIMIT 5""")
 def longest_messages(spark, sf):
-    return ops.longest_messages(table(spark, sf, "v_corpus"), "id")
+    return ops.longest_messages(table(spark, sf, "v_messages"), "id")
 
 
 @query("split_distribution", """SELECT CASE WHEN lang = 'en' THEN 'TRAINING' WHEN lang = 'de' THEN 'VALIDATE' WHEN lang = 'fr' THEN 'ATTACK' ELSE 'OTHER' END AS split,
@@ -214,6 +214,6 @@ def union_with_feedback(spark, sf):
     return table(spark, sf, "v_corpus").drop("id").unionByName(fb, allowMissingColumns=True)
 
 
-@query("uniform_sample", _C + "SELECT id, source_dataset FROM v_corpus ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT 300")
+@query("uniform_sample", with_views("v_messages") + "SELECT id, source_dataset FROM v_messages ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT 300")
 def uniform_sample(spark, sf):
-    return ops.uniform_sample(table(spark, sf, "v_corpus"), "id", 300).select("id", "source_dataset")
+    return ops.uniform_sample(table(spark, sf, "v_messages"), "id", 300).select("id", "source_dataset")

@@ -14,14 +14,13 @@ from loghelm.session import scratch_path
 from loghelm.sources import readers, writers
 from loghelm.streaming import jobs
 
-_WEEKS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "2025-01-01"]
-
-
 def _staged(df, path, ts="timestamp"):
-    """Write a table as four arrivals in time order."""
-    for lo, hi in zip(_WEEKS, _WEEKS[1:]):
-        df.where(F.col(ts).between(F.lit(lo).cast("timestamp_ntz"), F.expr(f"TIMESTAMP_NTZ '{hi}' - INTERVAL 1 MICROSECOND"))).write.mode(
-            "append").parquet(path)
+    """Write a table as four arrivals in time order, cut at the quartiles; rows without a time come first."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = df.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01) or [0.0]
+    arrival = sum(((at > F.lit(int(c))).cast("int") for c in cuts), F.lit(0))
+    for part in range(len(cuts) + 1):
+        df.where(F.coalesce(arrival, F.lit(0)) == part).write.mode("append").parquet(path)
 
 
 @query("stream_parse_tail", with_views("v_syslog") + _FIELDS + _TIME + """
@@ -60,7 +59,8 @@ def stream_detection(spark, sf):
     src, out, state = (scratch_path(spark, n) for n in ("logs", "anomalies", "checkpoint"))
     logs = table(spark, sf, "v_logs").select("event_id", "timestamp", "host", "service", "message", "prob_anomaly", "pid", "source")
     _staged(logs, src)
-    last = logs.limit(1).withColumn("timestamp", F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'")).withColumn(
+    end = logs.agg((F.max("timestamp") + F.expr("INTERVAL 400 DAYS")).alias("end")).first()["end"]
+    last = logs.limit(1).withColumn("timestamp", F.lit(end)).withColumn(
         "message", F.lit("end")).withColumn("prob_anomaly", F.lit(0.0))
     last.write.mode("append").parquet(src)
     jobs.live_job(jobs.new_rows(spark, src, logs.schema), out, state, dp.WIDE_RULE, "1 hour")

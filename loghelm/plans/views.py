@@ -88,6 +88,9 @@ SELECT 1000000000000 + d.doc_id AS id, d.text AS message, l.toxic AS true_label,
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
 
+# The same texts, labelled or not, for what needs no label.
+V_MESSAGES = V_CORPUS.replace("d JOIN labels", "d LEFT JOIN labels")
+
 V_FEEDBACK = """
 SELECT event_id AS seq, event_id, message, prob_anomaly,
        CASE event_type WHEN 'error' THEN 'closed' WHEN 'view' THEN 'false_positive'
@@ -180,6 +183,7 @@ _NEEDS = {
     "v_bracketed": (V_BRACKETED, ["v_logs"]),
     "v_upload": (V_UPLOAD, ["v_logs"]),
     "v_corpus": (V_CORPUS, ["v_logs", "documents", "labels"]),
+    "v_messages": (V_MESSAGES, ["v_logs", "documents", "labels"]),
     "v_feedback": (V_FEEDBACK, ["v_logs"]),
     "v_actions": (V_ACTIONS, ["v_logs"]),
     "v_scored": (V_SCORED, ["v_logs"]),

@@ -62,21 +62,11 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 100_000
-
-
-def checked_broadcast(df, rows: int = BROADCAST_ROWS):
-    """Broadcast a table found to be small; leave a larger one to the planner."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df):
-    """Use all cores on a scan that yields fewer splits than there are cores.
+    """Use the cores on a scan that yields far fewer splits than there are cores.
 
-    A file of a single row group is one split. Tables of any size have more
-    splits than cores and pass through untouched.
+    A file of a single row group is one split, whatever its size. Only a table
+    with less than one split for every four cores is dealt out.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if 4 * df.rdd.getNumPartitions() > cores else df.repartition(cores)

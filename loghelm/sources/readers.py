@@ -12,23 +12,27 @@ TRAINING_LABELS = ["label", "is_anomaly"]
 
 
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, empty cells as empty text, lines of the wrong width skipped.
+    """All columns as text, empty cells as empty text.
 
-    One record per line. Lines are parsed in a projection: a CSV scan that is
-    asked for some of its columns no longer sees which lines are too wide.
+    Short rows are padded, rows wider than the header are skipped, quoted line breaks stay in their cell,
+    blank lines go. A file is read by one task, as a line break may be inside a cell.
     """
-    names = spark.read.option("header", True).csv(path).columns
-    lines = spark.read.text(path)
-    header = lines.first()
-    if header is None:
-        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+    names = spark.read.options(**options).csv(path).columns
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
     slots = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{s} string" for s in [*slots, "_bad"])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"'}
-    rows = lines.where((F.col("value") != header["value"]) & (F.trim("value") != "")).select(
-        F.from_csv("value", schema, options).alias("r"))
-    return rows.where(F.col("r._bad").isNull()).select(
-        *[F.coalesce(F.col(f"r.{s}"), F.lit("")).alias(n) for s, n in zip(slots, names)])
+    rows = spark.read.schema(schema).options(**options, columnNameOfCorruptRecord="_bad").csv(path)
+    # A row of another width comes with its text. Behind a short row a mark still
+    # lands inside one column more than the header has, behind a wide one it does not.
+    mark = "\x01"
+    marked = F.from_csv(
+        F.concat(F.regexp_replace("_bad", "[\r\n]+$", ""), F.lit("," + mark)),
+        ", ".join(f"m{i} string" for i in range(len(names) + 1)), {"quote": '"', "escape": '"', "multiLine": "true"})
+    short = F.coalesce(F.array_contains(F.array(*[marked[f"m{i}"] for i in range(len(names) + 1)]), mark), F.lit(False))
+    return rows.where(F.col("_bad").isNull() | short).select(
+        *[F.coalesce(F.col(s), F.lit("")).alias(n) for s, n in zip(slots, names)])
 
 
 def csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
