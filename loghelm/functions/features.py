@@ -47,6 +47,7 @@ URL = r"https?://|www\."
 PATH = r"[a-zA-Z]:\\|/var/|/home/|/tmp/"
 PORT = r"port\s+\d+"
 SPECIAL = r"[^a-zA-Z0-9" + text.WS[1:]
+# Limits on four counts, applied on request.
 CAPS = {"message_length": 10000, "special_char_count": 5000, "token_count": 2000, "numeric_token_count": 1000}
 THREE_DIGITS = r"\b\d{3}\b"
 EARLY_WORDS = ["block", "packet", "namenode", "replica", "storage"]
@@ -63,8 +64,9 @@ def _has(c: Column, word: str) -> Column:
     return c.contains(word).cast("int")
 
 
-def structured_20(message: Column) -> list[Column]:
-    """The full set, from raw or from masked text as the caller chooses."""
+def structured_20(message: Column, caps: dict[str, int] | None = None) -> list[Column]:
+    """The full set, from raw or from masked text as the caller chooses; ``caps`` limits counts, by default none."""
+    caps = caps or {}
     body = text.text_or_empty(message)
     low = F.lower(body)
     tokens = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
@@ -94,7 +96,7 @@ def structured_20(message: Column) -> list[Column]:
         "average_token_length": _ratio(token_chars, count),
     }
     return [
-        F.least(values[n], F.lit(CAPS[n])).alias(n) if n in CAPS else values[n].alias(n) for n in STRUCTURED_20]
+        F.least(values[n], F.lit(caps[n])).alias(n) if n in caps else values[n].alias(n) for n in STRUCTURED_20]
 
 
 def structured_10(message: Column) -> list[Column]:

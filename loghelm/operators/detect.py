@@ -10,10 +10,15 @@ from loghelm.operators import clean
 from loghelm.operators.correlate import ESCALATED, NOT_ESCALATED, SSH_BRUTEFORCE, CorrelationRule, correlate
 from loghelm.operators.parse import canonical_service
 
+# Lengths of the message in an alert and in a notice, applied on request.
 ALERT_LENGTH = 200
 NOTICE_LENGTH = 140
 
 
+def _shown(message: Column, length: int | None) -> Column:
+    return F.substring(message, 1, length) if length else message
+
+
 def escalate(df: DataFrame, rule: CorrelationRule = SSH_BRUTEFORCE, scale: str = "live",
              strict_reference: bool = False) -> DataFrame:
     """Severity, threshold, forced decision, reason and threat score of correlated rows."""
@@ -55,16 +60,23 @@ def detect(logs: DataFrame, rule: CorrelationRule = SSH_BRUTEFORCE, id_col: str
     )
 
 
-def alert_lines(anomalies: DataFrame) -> DataFrame:
+def judge_json(events: DataFrame) -> DataFrame:
+    """Decision and severity of JSON events, which bring their own probability and one threshold for all services."""
+    return events.withColumns({
+        "is_anomaly_pred": (F.col("prob_anomaly") >= scoring.JSON_THRESHOLD).cast("int"),
+        "severity": scoring.severity(F.col("prob_anomaly"), "tail")})
+
+
+def alert_lines(anomalies: DataFrame, length: int | None = None) -> DataFrame:
     line = F.format_string(
         "[ALERT] Anomaly detected: time=%s host=%s service=%s prob=%.3f severity=%s\n  msg: %s",
         text.iso(F.col("detected_at")), F.coalesce("host", F.lit("")), F.coalesce("service", F.lit("")),
         F.coalesce("prob_anomaly", F.lit(0.0)), F.coalesce("severity", F.lit("")),
-        F.substring(F.coalesce("message", F.lit("")), 1, ALERT_LENGTH))
+        _shown(F.coalesce("message", F.lit("")), length))
     return anomalies.withColumn("alert", line)
 
 
-def new_anomaly_notice(anomalies: DataFrame, notified: DataFrame, key: str, since: Column) -> DataFrame:
+def new_anomaly_notice(anomalies: DataFrame, notified: DataFrame, key: str, since: Column, length: int | None = None) -> DataFrame:
     """One row: how many unseen anomalies after ``since``, a sample, the highest severity.
 
     ``notified`` holds the keys already announced. The sample is the first row
@@ -73,7 +85,7 @@ def new_anomaly_notice(anomalies: DataFrame, notified: DataFrame, key: str, sinc
     rank = scoring.severity_rank(F.col("severity"))
     fresh = anomalies.where(F.col("detected_at") > since).join(notified.select(key), key, "left_anti")
     order = F.struct(rank, F.col("detected_at"), F.col(key))
-    sample = F.concat(F.coalesce("service", F.lit("system")), F.lit(": "), F.substring("message", 1, NOTICE_LENGTH))
+    sample = F.concat(F.coalesce("service", F.lit("system")), F.lit(": "), _shown(F.col("message"), length))
     top = F.max(rank)
     return fresh.agg(
         F.count(F.lit(1)).alias("new_anomalies"),

@@ -253,6 +253,15 @@ def score_range(df: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     return ends.join(percentiles(df, by, [50], digits).select(*by, F.col("score").alias("median_score")), by)
 
 
+def validation_run(df: DataFrame, threshold: float, name: Column, at: Column) -> DataFrame:
+    """One row for a second labelled set of scored rows: precision, recall and F1 of the anomaly class, and the four cells."""
+    cells = metrics(confusion_counts(df, [], F.col("score") >= threshold))
+    return cells.select(
+        name.alias("data_set"), at.alias("validated_at"), F.lit(threshold).alias("threshold"),
+        F.col("precision").alias("precision_anomaly"), F.col("recall").alias("recall_anomaly"), F.col("f1").alias("f1_anomaly"),
+        "tn", "fp", "fn", "tp")
+
+
 def compare_models(df: DataFrame, threshold: float, by: str = "model") -> DataFrame:
     """Accuracy, precision, recall, F1 and ROC AUC of every model, best F1 first."""
     m = metrics(confusion_counts(df, [by], F.col("score") >= threshold))

@@ -41,7 +41,7 @@ def classifier(name: str, rows: float = 1.0, **params):
     """
     shared = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if name == "random_forest":
-        merged = {"numTrees": 200, "maxDepth": 20, "featureSubsetStrategy": "sqrt", "seed": SEED, **params}
+        merged = {"numTrees": 200, "maxDepth": 30, "featureSubsetStrategy": "sqrt", "seed": SEED, **params}
         return RandomForestClassifier(**shared, **merged)
     if name == "logreg":
         return LogisticRegression(**shared, **{"maxIter": 500, "standardization": False, "regParam": 1.0 / rows, **params})

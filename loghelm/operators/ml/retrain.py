@@ -35,20 +35,22 @@ def training_rows(original: DataFrame, feedback: DataFrame, seq: str) -> tuple[D
 
 def retrain(
     spark: SparkSession, original: DataFrame, feedback: DataFrame, seq: str, root: str, version: str,
-    space: dict | None = None, max_features: int = 3000, folds: int = 3,
+    space: dict | None = None, max_features: int = 3000, folds: int = 3, fit_rows: int | None = None,
 ) -> DataFrame:
     """Run one retraining; returns its history row.
 
     The whole version (features and model) is saved under its own name and the
     pointer moves only when the gate passes, so a failed run changes nothing
-    that is in use.
+    that is in use. ``fit_rows`` bounds the training rows that the search and the
+    calibration read, the first in seeded order; the hold-out is scored whole.
     """
     rows, clean = training_rows(original, feedback, seq)
     sides = cut_lineage(split.train_test(rows, "label", "id", TEST_SHARE))
     train, test = sides.where("is_train"), sides.where("is_test")
     features = stages.fit_features(train, max_features=max_features, min_df=2, max_df=0.95, sublinear=True)
     # Written once: the search and the calibration go over it many times.
-    prepared = cut_lineage(stages.featurise(train, features).select("id", "label", "features"))
+    prepared = stages.featurise(train, features).select("id", "label", "features")
+    prepared = cut_lineage(split.bounded(prepared, "id", fit_rows) if fit_rows else prepared)
     _, best, _ = models.grid_search(prepared, "id", space, folds)
     typed = {k: (int(v) if v.isdigit() else v) for k, v in best.items()}
     model = models.calibrate(prepared, "random_forest", "id", folds, **typed)

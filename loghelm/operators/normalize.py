@@ -128,8 +128,8 @@ def normalize_upload(df: DataFrame, source_tag: str, ingest_ts: Column) -> DataF
     )
 
 
-def repair_stored(df: DataFrame, as_of: Column) -> DataFrame:
-    """Clean an all-string copy of the anomaly table.
+def repair_stored(df: DataFrame, as_of: Column, message_limit: int | None = None) -> DataFrame:
+    """Clean an all-string copy of the anomaly table; messages are whole unless ``message_limit`` cuts them.
 
     Repeated header rows, blank rows and rows without message and host go;
     missing columns come back with defaults; times, numbers and messages are
@@ -144,7 +144,8 @@ def repair_stored(df: DataFrame, as_of: Column) -> DataFrame:
     def raw(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) if name in present else F.lit("")
 
-    message = text.truncate(text.collapse(raw("message")))
+    message = text.collapse(raw("message"))
+    message = text.truncate(message, message_limit) if message_limit else message
     at = text.utc(raw("timestamp"))
     seen = F.coalesce(text.utc(raw("detected_at")), at, as_of)
     extra = [c for c in df.columns if c not in STORED_FIELDS]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loghelm.functions import scoring, text
+from loghelm.operators.ranking import running_totals
 
 DEFAULT_LIMIT = 200
 TOP_ROWS = 5
@@ -125,6 +126,16 @@ def severity_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc(scoring.severity_rank(F.col("severity"))), F.desc("detected_at"))
 
 
+def severity_positions(df: DataFrame, tie: str) -> DataFrame:
+    """Add ``position`` in severity order: highest severity, newest, then ``tie``. Rows are numbered by severity and day."""
+    rank = scoring.severity_rank(F.col("severity"))
+    day = F.coalesce(F.unix_date(F.to_date("detected_at")), F.lit(0))
+    placed = df.withColumn("_rank", rank)
+    bucket = -(F.col("_rank") * 10_000_000 + day).cast("long")
+    return running_totals(
+        placed, [], [F.desc("_rank"), F.desc("detected_at"), F.col(tie)], {"position": F.lit(1)}, bucket).drop("_rank")
+
+
 def threat_order(df: DataFrame, limit: int = TOP_ROWS, tie: str | None = None) -> DataFrame:
     out = df.orderBy(F.desc(F.coalesce("threat_score", F.lit(0))), F.desc("timestamp"), *([F.desc(tie)] if tie else []))
     return out.limit(limit) if limit > 0 else out

@@ -41,9 +41,12 @@ def range_bucket(df: DataFrame, column: str, buckets: int | None = None, descend
     return pick(0, len(cuts))
 
 
-def hash_bucket(hex_digest: Column) -> Column:
-    """256 equal buckets, in the order of a hexadecimal digest."""
-    return F.conv(F.substring(hex_digest, 1, 2), 16, 10).cast("int")
+def hash_bucket(hex_digest: Column, rows: int = 0, rows_each: int = 1_000_000) -> Column:
+    """Equal buckets in the order of a hexadecimal digest: 256, or as many times 16 as keep ``rows_each`` rows a bucket."""
+    digits = 2
+    while 16**digits * rows_each < rows:
+        digits += 1
+    return F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("long")
 
 
 def running_totals(

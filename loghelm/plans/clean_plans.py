@@ -181,7 +181,7 @@ FROM typed WHERE NOT (m = '' AND trim(host) = '')""")
 def repair_stored_table(spark, sf):
     path = scratch_path(spark, "stored")
     table(spark, sf, "v_stored").write.option("header", True).option("escape", '"').csv(path)
-    fixed = normalize.repair_stored(readers.csv_strings(spark, path), as_of())
+    fixed = normalize.repair_stored(readers.csv_strings(spark, path), as_of(), text.MESSAGE_LIMIT)
     fixed = fixed.withColumn("event_id", F.col("event_id").cast("long"))
     return (fixed.orderBy(F.desc("detected_at"))
             .withColumn("timestamp", normalize.json_text(F.col("timestamp"), "timestamp"))

@@ -138,7 +138,7 @@ def live_detection(spark, sf):
 SELECT event_id, '[ALERT] Anomaly detected: time=' || detected_at || ' host=' || host || ' service=' || service || ' prob='
   || printf('%.3f', prob_anomaly) || ' severity=' || severity || chr(10) || '  msg: ' || substr(message, 1, 200) AS alert FROM records""")
 def alert_lines(spark, sf):
-    return detect.alert_lines(records(spark, sf)).select("event_id", "alert")
+    return detect.alert_lines(records(spark, sf), detect.ALERT_LENGTH).select("event_id", "alert")
 
 
 @query("new_anomaly_notice", RECORDS_SQL + """, fresh AS (SELECT *, CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS r
@@ -148,4 +148,4 @@ SELECT count(*) AS new_anomalies, (SELECT service || ': ' || substr(message, 1,
 def new_anomaly_notice(spark, sf):
     told = table(spark, sf, "events").where("value > 300").select("event_id")
     since = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
-    return detect.new_anomaly_notice(records(spark, sf), told, "event_id", since)
+    return detect.new_anomaly_notice(records(spark, sf), told, "event_id", since, detect.NOTICE_LENGTH)

@@ -56,12 +56,12 @@ def _ints(df):
 
 
 def _frame_20(spark, sf):
-    return table(spark, sf, "v_messages").select("id", "source_dataset", "true_label", *fx.structured_20(F.col("message")))
+    return table(spark, sf, "v_messages").select("id", "source_dataset", "true_label", *fx.structured_20(F.col("message"), fx.CAPS))
 
 
 @query("features_structured_20", _C + f"SELECT id, {SQL_20} FROM v_messages")
 def features_structured_20(spark, sf):
-    return _ints(table(spark, sf, "v_messages").select("id", *_rounded(fx.structured_20(F.col("message")), fx.STRUCTURED_20)))
+    return _ints(table(spark, sf, "v_messages").select("id", *_rounded(fx.structured_20(F.col("message"), fx.CAPS), fx.STRUCTURED_20)))
 
 
 _MASKED = _C.rstrip() + f", raw_ AS (SELECT id, {q.replaced('lower(message)', text.IDENTITY_RULES)} AS message FROM v_messages)\n"
@@ -71,7 +71,7 @@ _MASKED = _C.rstrip() + f", raw_ AS (SELECT id, {q.replaced('lower(message)', te
 def features_structured_20_masked(spark, sf):
     masked = text.mask_identity(F.lower("message"))
     return _ints(table(spark, sf, "v_messages").select("id", masked.alias("message")).select(
-        "id", *_rounded(fx.structured_20(F.col("message")), fx.STRUCTURED_20)))
+        "id", *_rounded(fx.structured_20(F.col("message"), fx.CAPS), fx.STRUCTURED_20)))
 
 
 @query("features_structured_10", _C + f"""SELECT id, length(message) AS message_length,

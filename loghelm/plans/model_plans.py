@@ -9,8 +9,14 @@ from loghelm.plans.registry import query
 from loghelm.plans.views import table
 from loghelm.session import cut_lineage, scratch_path
 
-_RF = {"numTrees": 20, "maxDepth": 8}
-_SETS = {"random_forest": _RF, "logreg": {"maxIter": 50}, "linear_svm": {"maxIter": 30}}
+# Models run at their full settings, the operators' defaults. What is bounded is
+# the number of labelled rows a fit may read, and how many each of the many fits
+# of a search may; every test row is scored.
+FIT_ROWS = 20_000
+SEARCH_ROWS = 2_000
+SETS = {"random_forest": {}, "logreg": {}, "linear_svm": {}}
+FOLDS = 5
+TERMS = 3_000
 
 
 def _labelled(spark, sf):
@@ -21,7 +27,7 @@ def _labelled(spark, sf):
 
 
 def _features(df, **over):
-    args = {"max_features": 500, "numeric": "behaviour", "cleaner": "clean", "categories": ("host",), **over}
+    args = {"max_features": TERMS, "numeric": "behaviour", "cleaner": "clean", "categories": ("host",), **over}
     return stages.fit_features(df, **args)
 
 
@@ -46,75 +52,82 @@ def _prepared(rows, features, *keep):
     return cut_lineage(stages.featurise(rows, features).select("id", "label", "features", *keep))
 
 
-def _sides(spark, sf, width=500):
+def _sides(spark, sf, fit_rows=FIT_ROWS):
     rows = _labelled(spark, sf)
     sides = split.train_test(rows, "label", "id", 0.2)
-    features = _features(sides.where("is_train"), max_features=width)
+    features = _features(sides.where("is_train"))
     prepared = _prepared(sides, features, "is_train", "is_test")
-    return prepared.where("is_train"), prepared.where("is_test"), features
+    return split.bounded(prepared.where("is_train"), "id", fit_rows), prepared.where("is_test"), features
 
 
 @query("random_forest_scores")
 def random_forest_scores(spark, sf):
     train, test, _ = _sides(spark, sf)
-    return models.score(models.fit(train, "random_forest", **_RF), test).select("id", "label", F.round("score", 6).alias("score"))
+    return models.score(models.fit(train, "random_forest"), test).select("id", "label", F.round("score", 6).alias("score"))
 
 
 @query("logistic_scores")
 def logistic_scores(spark, sf):
     train, test, _ = _sides(spark, sf)
-    return models.score(models.fit(train, "logreg", maxIter=50), test).select("id", "label", F.round("score", 6).alias("score"))
+    return models.score(models.fit(train, "logreg"), test).select("id", "label", F.round("score", 6).alias("score"))
+
+
+@query("scores_with_fallback")
+def scores_with_fallback(spark, sf):
+    """Model scores, and the keyword score where a row has no message."""
+    train, test, _ = _sides(spark, sf)
+    texts = _labelled(spark, sf).select("id", F.expr("CASE WHEN id % 10 = 0 THEN NULL ELSE message END").alias("message"))
+    scored = models.score_with_fallback(models.fit(train, "logreg"), test.join(texts, "id"))
+    return scored.select("id", F.col("message").isNotNull().alias("by_model"), F.round("prob_anomaly", 6).alias("prob_anomaly"))
 
 
 @query("linear_svm_margins")
 def linear_svm_margins(spark, sf):
     train, test, _ = _sides(spark, sf)
-    return models.score(models.fit(train, "linear_svm", maxIter=30), test).select("id", "label", F.round("score", 6).alias("score"))
+    return models.score(models.fit(train, "linear_svm"), test).select("id", "label", F.round("score", 6).alias("score"))
 
 
 @query("calibrated_svm_scores")
 def calibrated_svm_scores(spark, sf):
     train, test, _ = _sides(spark, sf)
-    model = models.calibrate(train.select("id", "label", "features"), "linear_svm", "id", 3, maxIter=30)
+    model = models.calibrate(train.select("id", "label", "features"), "linear_svm", "id", 3)
     return model.transform(test).select("id", "label", F.round("score", 6).alias("score"))
 
 
 @query("model_report")
 def model_report(spark, sf):
     train, test, _ = _sides(spark, sf)
-    scored = models.score(models.fit(train, "random_forest", **_RF), test).withColumn("model", F.lit("random_forest"))
+    scored = models.score(models.fit(train, "random_forest"), test).withColumn("model", F.lit("random_forest"))
     return ev.classification_report(scored, ["model"], F.col("score") >= 0.5)
 
 
 @query("model_cross_validation")
 def model_cross_validation(spark, sf):
     rows = _labelled(spark, sf)
-    prepared = _prepared(rows, _features(rows, max_features=200))
-    return models.compare_cross_validated(prepared, "id", _SETS, 3)
+    prepared = _prepared(rows, _features(rows))
+    return models.compare_cross_validated(split.bounded(prepared, "id", FIT_ROWS), "id", SETS, FOLDS)
 
 
 @query("forest_grid_search")
 def forest_grid_search(spark, sf):
-    train, _, _ = _sides(spark, sf, 60)
-    space = {"numTrees": [5, 10], "maxDepth": [3, 5]}
-    _, best, f1 = models.grid_search(train.select("id", "label", "features"), "id", space)
+    train, _, _ = _sides(spark, sf, SEARCH_ROWS)
+    _, best, f1 = models.grid_search(train.select("id", "label", "features"), "id")
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
 
 @query("forest_random_search")
 def forest_random_search(spark, sf):
-    train, _, _ = _sides(spark, sf, 60)
-    space = {"numTrees": [3, 5, 10], "maxDepth": [3, 4, 5], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}
-    _, best, f1 = models.random_search(train.select("id", "label", "features"), "id", space, draws=3)
+    train, _, _ = _sides(spark, sf, SEARCH_ROWS)
+    _, best, f1 = models.random_search(train.select("id", "label", "features"), "id")
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
 
 @query("isolation_forest_scores")
 def isolation_forest_scores(spark, sf):
     rows = _labelled(spark, sf)
-    prepared = _prepared(rows, _features(rows, max_features=50))
+    prepared = _prepared(rows, _features(rows, max_features=500))
     share = rows.agg(F.avg("label")).first()[0]
-    forest = isolation.fit_isolation(prepared, "id", trees=100)
+    forest = isolation.fit_isolation(prepared, "id")
     return isolation.flag_share(forest.score(prepared), share).select("id", "label", F.round("score", 6).alias("score"), "is_anomaly_pred")
 
 
@@ -122,14 +135,14 @@ def isolation_forest_scores(spark, sf):
 def cross_dataset_transfer(spark, sf):
     corpus = table(spark, sf, "v_corpus").withColumnRenamed("true_label", "label")
     features = stages.fit_features(corpus, max_features=1000, min_df=2, max_df=0.95, numeric="structured_20", cleaner="identity")
-    moved = models.transfer(_prepared(corpus, features, "source_dataset"), "source_dataset", **_RF)
+    moved = models.transfer(_prepared(corpus, features, "source_dataset"), "source_dataset")
     return ev.metrics(ev.confusion_counts(moved, ["train_set", "test_set"], F.col("score") >= 0.5))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     train, _, features = _sides(spark, sf)
-    return models.importances(models.fit(train, "random_forest", **_RF), features, 30)
+    return models.importances(models.fit(train, "random_forest"), features, 30)
 
 
 @query("principal_components")
@@ -146,5 +159,5 @@ def retraining_run(spark, sf):
     original = table(spark, sf, "v_corpus")
     feedback = table(spark, sf, "v_feedback").select("seq", F.col("fb_message").alias("message"), F.col("fb_label").alias("true_label"))
     out = retrain.retrain(spark, original, feedback, "seq", scratch_path(spark, "retrain"), "20240201_000000",
-                          space={"numTrees": [10], "maxDepth": [4, 6]}, max_features=100)
+                          fit_rows=SEARCH_ROWS)
     return out.withColumn("best_params", F.to_json("best_params"))

@@ -119,6 +119,18 @@ SELECT event_id, json_extract_string(value, '$.timestamp') AS timestamp, json_ex
   CAST(json_extract_string(value, '$.prob_anomaly') AS DOUBLE) AS prob_anomaly, json_extract_string(value, '$.source') AS source
 FROM fed WHERE starts_with(value, '{') AND ends_with(value, '}')""")
 def parse_json_events(spark, sf):
+    return _json_rows(spark, sf)
+
+
+@query("judged_json_events", with_views("v_logs") + _JSON_DUCK + """, j AS (
+SELECT event_id, CAST(json_extract_string(value, '$.prob_anomaly') AS DOUBLE) AS p FROM fed WHERE starts_with(value, '{') AND ends_with(value, '}'))
+SELECT event_id, CAST(p >= 0.60 AS INT) AS is_anomaly_pred, CASE WHEN p >= 0.85 THEN 'HIGH' WHEN p >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM j""")
+def judged_json_events(spark, sf):
+    from loghelm.operators.detect import judge_json
+    return judge_json(_json_rows(spark, sf)).select("event_id", "is_anomaly_pred", "severity")
+
+
+def _json_rows(spark, sf):
     fed = table(spark, sf, "v_logs").select("event_id", F.expr("""
         CASE WHEN k < 20 THEN message WHEN k < 25 THEN '{broken' || message
         ELSE to_json(named_struct('timestamp', date_format(timestamp, 'yyyy-MM-dd HH:mm:ss'), 'host', host, 'service', service,

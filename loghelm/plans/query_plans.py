@@ -1,5 +1,6 @@
 """Anomaly list, counter and report queries."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loghelm.functions import text
@@ -87,9 +88,10 @@ def hourly_activity_ist(spark, sf):
     return ops.hourly_activity(table(spark, sf, "v_anoms"), _as_of(), 330)
 
 
-@query("severity_order", _A + "SELECT event_id, severity FROM v_anoms")
+@query("severity_order", _A + """SELECT event_id, severity, row_number() OVER (
+  ORDER BY CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, detected_at DESC, event_id) AS position FROM v_anoms""")
 def severity_order(spark, sf):
-    return ops.severity_order(table(spark, sf, "v_anoms")).select("event_id", "severity")
+    return ops.severity_positions(table(spark, sf, "v_anoms"), "event_id").select("event_id", "severity", "position")
 
 
 @query("top_threats", _A + "SELECT event_id, threat_score FROM v_anoms ORDER BY threat_score DESC, timestamp DESC, event_id DESC LIMIT 5")
@@ -145,9 +147,10 @@ def status_counts(spark, sf):
     return joined.groupBy("status").agg(F.count(F.lit(1)).alias("anomalies"))
 
 
-@query("retraining_history", with_views("v_history") + "SELECT * FROM v_history")
+@query("retraining_history", with_views("v_history") + "SELECT *, row_number() OVER (ORDER BY timestamp) AS run FROM v_history")
 def retraining_history(spark, sf):
-    return table(spark, sf, "v_history").orderBy("timestamp")
+    # one row a run
+    return table(spark, sf, "v_history").withColumn("run", F.row_number().over(W.orderBy("timestamp")).cast("long"))
 
 
 @query("latest_retraining", with_views("v_history") + """

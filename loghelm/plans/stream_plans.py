@@ -151,3 +151,16 @@ def saved_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
     writers.save_metrics(brier(table(spark, sf, "v_scored"), ["model"]), path)
     return spark.read.schema("model string, brier double").json(path)
+
+
+@query("validation_run", with_views("v_scored") + """, c AS (SELECT count(*) FILTER (label = 0 AND score < 0.7) AS tn, count(*) FILTER (label = 0 AND score >= 0.7) AS fp,
+  count(*) FILTER (label = 1 AND score < 0.7) AS fn, count(*) FILTER (label = 1 AND score >= 0.7) AS tp FROM v_scored WHERE model = 'rules')
+SELECT 'rules' AS data_set, '2024-02-01T00:00:00Z' AS validated_at, CAST(0.7 AS DOUBLE) AS threshold, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision_anomaly,
+  round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall_anomaly, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1_anomaly, tn, fp, fn, tp FROM c""")
+def validation_run(spark, sf):
+    """Score a second labelled set, save the metrics row and read it back."""
+    from loghelm.operators.evaluate import validation_run as validated
+    path = scratch_path(spark, "validation")
+    rows = validated(table(spark, sf, "v_scored").where("model = 'rules'"), 0.7, F.lit("rules"), F.lit("2024-02-01T00:00:00Z"))
+    writers.save_metrics(rows, path)
+    return spark.read.schema(rows.schema).json(path)

@@ -149,7 +149,7 @@ FROM v_logs
 # One retraining run per day, measured on that day's scores.
 V_HISTORY = """
 SELECT {day} || '_120000' AS timestamp, count(*) AS dataset_size, count(CASE WHEN event_type = 'view' THEN 1 END) AS feedback_samples,
-       CAST(0.55 AS DOUBLE) AS threshold, round(avg(prob_anomaly), 6) AS f1_score,
+       CAST(0.55 AS DOUBLE) AS threshold, round(avg(prob_anomaly), 4) AS f1_score,
        CASE WHEN avg(prob_anomaly) >= 0.3 THEN 'DEPLOYED' ELSE 'FAILED' END AS deployment_status
 FROM v_logs GROUP BY 1
 """

@@ -9,15 +9,18 @@ from loghelm.operators.dedup import first_timed_records
 from loghelm.operators.normalize import fill_canonical
 
 
-def append_anomalies(df: DataFrame, path: str, files_per_day: int = 32) -> None:
+def append_anomalies(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Append canonical records, one directory per day of detection.
 
-    A day goes to a fixed number of writers by content: few files per day, and
-    no single task for a busy one.
+    A day goes to as many writers, by content, as its rows fill files: few files
+    for a quiet day, and no single task for a busy one. The days' counts, one row
+    a day, are joined to the records.
     """
     out = fill_canonical(df).withColumn("detected_date", F.to_date("detected_at"))
-    writer = F.pmod(F.xxhash64("host", "message", "detected_at"), F.lit(files_per_day))
-    out.repartition("detected_date", writer).write.mode("append").partitionBy("detected_date").parquet(path)
+    days = out.groupBy("detected_date").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    counted = out.join(days.withColumnRenamed("detected_date", "_day"), F.col("detected_date").eqNullSafe(F.col("_day")))
+    writer = F.pmod(F.xxhash64("host", "message", "detected_at"), F.col("_files"))
+    counted.repartition("detected_date", writer).drop("_day", "_files").write.mode("append").partitionBy("detected_date").parquet(path)
 
 
 def batch_sink(path: str):

@@ -110,3 +110,16 @@ def test_first_record_per_key(spark):
     assert sorted(r["event_id"] for r in found) == sorted(want.values())
     plan = dedup.first_records(frame, ["event_id"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_registered_models_run_at_full_settings(spark):
+    # settings of the specification: 200 trees without a depth limit (Spark's deepest is 30), five folds,
+    # 3,000 terms, a grid over trees, depth and leaf size, ten random draws
+    from loghelm.operators.ml import isolation, models
+    from loghelm.plans import model_plans as plans
+    forest = models.classifier("random_forest", **plans.SETS["random_forest"])
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 30)
+    assert models.classifier("logreg", **plans.SETS["logreg"]).getMaxIter() == 500
+    assert models.classifier("linear_svm", **plans.SETS["linear_svm"]).getMaxIter() >= 100
+    assert (plans.FOLDS, plans.TERMS, models.RANDOM_DRAWS, isolation.TREES, isolation.SAMPLE) == (5, 3000, 10, 200, 256)
+    assert models.GRID == {"numTrees": [100, 200], "maxDepth": [30, 20], "minInstancesPerNode": [1, 2]}
