@@ -251,6 +251,28 @@ def sliding_counts(events: DataFrame, window_seconds: int, block_micros: int) ->
     return counted.where("leaves = 0").select("id", "active_event_count")
 
 
+def first_rule(message: Column, rules: list[CorrelationRule]) -> Column:
+    """Name of the first rule of the list with a pattern in the message, else NULL."""
+    return F.coalesce(*[F.when(matched_pattern(message, r).isNotNull(), r.name) for r in rules])
+
+
+def correlate_rules(logs: DataFrame, rules: list[CorrelationRule], id_col: str = "event_id",
+                    ts_col: str = "timestamp", message_col: str = "message") -> DataFrame:
+    """As ``correlate`` for a table of rules, adding rule: an event belongs to the first rule it matches.
+
+    Each rule has its own gap, window and threshold; the list is short and
+    every rule reads its own events only.
+    """
+    named = logs.withColumn("rule", first_rule(F.lower(text.strip(F.coalesce(F.col(message_col), F.lit("")))), rules))
+    parts = [correlate(named.where(F.col("rule") == r.name), r, id_col, ts_col, message_col) for r in rules]
+    out = named.where(F.col("rule").isNull()).withColumns({
+        "src_ip": source_ip(F.lower(F.coalesce(F.col(message_col), F.lit("")))), "matched_rule": F.lit(None).cast("string"),
+        "active_event_count": F.lit(0).cast("long"), "correlation_triggered": F.lit(False)})
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def correlate(logs: DataFrame, rule: CorrelationRule = SSH_BRUTEFORCE, id_col: str = "event_id",
               ts_col: str = "timestamp", message_col: str = "message") -> DataFrame:
     """Add src_ip, matched_rule, active_event_count, correlation_triggered.

@@ -149,3 +149,21 @@ def new_anomaly_notice(spark, sf):
     told = table(spark, sf, "events").where("value > 300").select("event_id")
     since = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
     return detect.new_anomaly_notice(records(spark, sf), told, "event_id", since, detect.NOTICE_LENGTH)
+
+
+_SCAN_RULE = correlate.CorrelationRule("port_scan", ("port scan", "nmap"), 168 * 3600, 6 * 3600, 2, block_seconds=48 * 3600)
+
+
+@query("rule_table_matches", with_views("v_logs") + f"""
+SELECT event_id, CASE WHEN {_PATTERN} IS NOT NULL THEN 'ssh_bruteforce' WHEN contains(lower(message), 'port scan') OR contains(lower(message), 'nmap')
+  THEN 'port_scan' END AS rule FROM v_logs""")
+def rule_table_matches(spark, sf):
+    return table(spark, sf, "v_logs").select("event_id", correlate.first_rule(F.col("message"), [WIDE_RULE, _SCAN_RULE]).alias("rule"))
+
+
+@query("correlate_rule_table", _WIDE + """
+SELECT event_id, 'ssh_bruteforce' AS rule, CAST(n AS BIGINT) AS active_event_count, hot AS correlation_triggered FROM judged WHERE pat IS NOT NULL""")
+def correlate_rule_table(spark, sf):
+    """The first rule's events come out of a two-rule table as they do alone."""
+    out = correlate.correlate_rules(table(spark, sf, "v_logs"), [WIDE_RULE, _SCAN_RULE])
+    return out.where("rule = 'ssh_bruteforce'").select("event_id", "rule", "active_event_count", "correlation_triggered")

@@ -123,3 +123,14 @@ def test_registered_models_run_at_full_settings(spark):
     assert models.classifier("linear_svm", **plans.SETS["linear_svm"]).getMaxIter() >= 100
     assert (plans.FOLDS, plans.TERMS, models.RANDOM_DRAWS, isolation.TREES, isolation.SAMPLE) == (5, 3000, 10, 200, 256)
     assert models.GRID == {"numTrees": [100, 200], "maxDepth": [30, 20], "minInstancesPerNode": [1, 2]}
+
+
+def test_rule_table(spark):
+    base = dt.datetime(2024, 1, 1)
+    ssh, scan = correlate.SSH_BRUTEFORCE, correlate.CorrelationRule("scan", ("scan",), 60, 5, 2)
+    rows = [(i, base + dt.timedelta(seconds=20 * i), m) for i, m in enumerate(
+        ["ssh failed", "a scan 1", "a scan 1", "ssh scan", "quiet", "a scan 2"])]
+    frame = spark.createDataFrame(rows, "event_id long, timestamp timestamp_ntz, message string")
+    found = {r["event_id"]: (r["rule"], r["active_event_count"], r["correlation_triggered"]) for r in correlate.correlate_rules(frame, [ssh, scan]).collect()}
+    assert found == {0: ("ssh_bruteforce", 1, False), 1: ("scan", 1, False), 2: ("scan", 2, True), 3: ("ssh_bruteforce", 2, False),
+                     4: (None, 0, False), 5: ("scan", 2, True)}
