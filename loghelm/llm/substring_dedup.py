@@ -197,6 +197,12 @@ def _answer(key: tuple, group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(ANSWERS, rows)])
 
 
+def _with(chunks: DataFrame, path: str, name: str) -> DataFrame:
+    """Chunks beside what they were told. Answers grow with the corpus, so they are never broadcast."""
+    answers = chunks.sparkSession.read.parquet(path).withColumnRenamed("said", name)
+    return chunks.join(answers.hint("merge"), "chunk", "left")
+
+
 def _asked(entries: DataFrame, wide: int) -> str:
     """Answers of all buckets, written; one row a chunk holds what it was told."""
     answers = entries.withColumn("wide", F.lit(wide)).groupBy("bucket").applyInArrow(_answer, ANSWERS)
@@ -323,10 +329,10 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     bits = _bits(chunks.agg(F.sum("n_words")).first()[0] or 0)
 
     screen_path = _asked(chunks.mapInArrow(_screen(width, bits), ENTRIES), 4)
-    screened = chunks.join(spark.read.parquet(screen_path).withColumnRenamed("said", "screened"), "chunk", "left")
+    screened = _with(chunks, screen_path, "screened")
     drop_scratch(spark)
     exact_path = _asked(screened.mapInArrow(_exact(width, bits), ENTRIES), 8)
-    told = screened.join(spark.read.parquet(exact_path).withColumnRenamed("said", "told"), "chunk", "left")
+    told = _with(screened, exact_path, "told")
     drop_scratch(spark)
     result_path = write_scratch(told.mapInArrow(_apply(width, bits), RESULTS), "substring-results")
     del screened, told, chunks
@@ -338,7 +344,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     while left:
         bits = _bits(left)
         answer_path = _asked(state.mapInArrow(_double(length, bits), ENTRIES), 8)
-        told = state.join(spark.read.parquet(answer_path).withColumnRenamed("said", "told"), "chunk", "left")
+        told = _with(state, answer_path, "told")
         next_path = write_scratch(
             told.mapInArrow(_survive(length, bits), "chunk long, n_left long, state binary"), "substring-state")
         del told, state
