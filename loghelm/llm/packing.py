@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from loghelm.llm.common import drop_scratch, numbered, write_scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SPLIT = regex.compile(r"(\p{L}+)([!-&(-/:;=-@\[-`{-~]+)")
+# ASCII marks, but for those that begin a contraction or a special token.
+MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<")
 WORDS_KEPT = 400_000
 _WORKER: dict = {}
 
@@ -34,7 +34,8 @@ class WordIds(dict):
 
     Words are cut at ASCII white space, which the tokenizer drops and never joins across; a word of letters
     with ASCII marks behind it is the letters' ids and the marks'. Both hold for any tokenizer that cuts
-    texts at white space and between letters and marks, as the one given does.
+    texts at white space and between letters and marks, as the one given does. Where its ids show the ends
+    of words, many words are encoded as one text and cut apart again.
     """
 
     def __init__(self, spec: str):
@@ -44,28 +45,55 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > WORDS_KEPT:
             self.clear()
         if len(self.parts) > WORDS_KEPT:
             self.parts.clear()
-        new = [w for w in words if w not in self]
-        cut, unknown = [], set()
-        for word in new:
-            text = word.decode("utf-8")
-            m = SPLIT.fullmatch(text)
-            parts = m.groups() if m else (text,)
-            if parts[0].isascii() and parts[0].isalpha():
-                parts = (parts[0].lower(), *parts[1:])
-            cut.append(parts)
-            unknown.update(p for p in parts if p not in self.parts)
-        listed = list(unknown)
-        for part, e in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)):
-            self.parts[part] = np.array(e.ids, "<u4").tobytes()
-        for word, parts in zip(new, cut):
-            self[word] = b"".join([self.parts[p] for p in parts])
+        parts, new, letters, others = self.parts, [], set(), set()
+        for word in words:
+            if word in self:
+                continue
+            stem = word.rstrip(MARKS)
+            if stem.isalpha():
+                stem = stem.lower()
+            elif stem.isascii() or not stem.decode("utf-8").isalpha():
+                if word not in parts:
+                    others.add(word)
+                new.append((word, word, b""))
+                continue
+            mark = word[len(stem):] if len(word) > len(stem) else b""
+            if stem not in parts:
+                letters.add(stem)
+            if mark and mark not in parts:
+                others.add(mark)
+            new.append((word, stem, mark))
+        self._encode(list(letters), True)
+        self._encode(list(others), False)
+        for word, stem, mark in new:
+            self[word] = parts[stem] + parts[mark] if mark else parts[stem]
+
+    def _encode(self, listed: list[bytes], together: bool) -> None:
+        step = 256 if together else 1
+        groups = [listed[i:i + step] for i in range(0, len(listed), step)]
+        texts = [b" ".join(g).decode("utf-8") for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, cut = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if together and (len(cut) != len(group) or cut[-1] != len(ids)):
+                self._encode(group, False)
+            elif together:
+                begin = 0
+                for part, end in zip(group, cut):
+                    self.parts[part] = raw[4 * begin:4 * end]
+                    begin = end
+            else:
+                self.parts[group[0]] = raw
 
 
 def _pieces(spec: Broadcast, size: int):
