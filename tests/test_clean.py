@@ -11,13 +11,14 @@ SAMPLES = [
     "open /var/log/a.b-c_d and C:\\temp\\x.txt at 2024-01-01T10:00:00Z by a.b@ex.com",
     "id deadbeefcafe 0x1F 0xDEADBEEF blk_-123 node-12 (123) [55] abc12345xyz 00:1A:2B:3C:4D:5E",
     "token aaaaaaaaaaaaaaaaaaaaaaaaaaaa1 www.example.com 12:13:14 user=joe.x PID: 99",
+    "٣٤٥٦ é1234 x٣ pid=٧ (٨) [٩] 1234é",
     "",
 ]
 
 
 def by_hand(sample, rules):
     for pattern, repl in rules:
-        sample = re.sub(pattern, repl.replace("$1", "\\1"), sample)
+        sample = re.sub(pattern.replace(r"\p{Nd}", r"\d"), repl.replace("$1", "\\1"), sample)
     return sample
 
 

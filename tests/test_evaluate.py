@@ -87,7 +87,7 @@ def test_folds_and_split_keep_class_shares(spark):
     sides = split.train_test(df, "label", "id", 0.3).agg(
         F.count_if("is_test").alias("t"), F.count_if(F.col("is_test") & (F.col("label") == 1)).alias("p")).first()
     assert sides["t"] == 210 and sides["p"] == 30
-    tiny = split.train_test(df.limit(10), "label", "id")
+    tiny = split.train_test(df.limit(10), "label", "id", small_data=True)
     assert tiny.where("is_train AND is_test").count() == 10
     assert split.fold_count(df.where("id < 15"), "label", 5) == 3
 
