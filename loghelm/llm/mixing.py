@@ -81,7 +81,8 @@ def draw_blocks(targets: DataFrame, block: int, shards: int, seed: int) -> DataF
     total = plan.agg(F.sum("draws")).first()[0] or 0
     step = 1 << 12
     ranges = plan.withColumn("_from", F.explode(F.expr(f"sequence(0L, draws - 1, {step}L)")))
-    dealt = ranges.repartition("source_no", "_from")  # a hot source's draws are made by many tasks
+    # a fixed number of draws a task, also of a hot source; sizes guessed before the explosion would join them into one
+    dealt = ranges.repartition(max(1, -(-total // 100_000)), "source_no", "_from")
     each = dealt.withColumn("_k", F.explode(F.expr(f"sequence(_from, least(_from + {step - 1}, draws - 1))")))
     epoch = F.floor(F.col("_k") / F.col("n_blocks")).cast("long")
     each = each.withColumn("epoch", epoch).withColumn("_j", F.pmod("_k", "n_blocks"))
@@ -120,7 +121,8 @@ def _taken(streams: DataFrame, draws: DataFrame, block: int) -> DataFrame:
     pieces = pieces.select(
         "source_no", "index", "before", F.greatest(F.col("before") - at, F.lit(0)).alias("a"),
         F.least(F.col("before") + F.col("size") - at, F.lit(block)).alias("b"))
-    met = pieces.join(draws, ["source_no", "index"]).where("take > a")
+    # draws grow with the corpus, whatever the planner makes of the exploded plan: never broadcast them
+    met = pieces.join(draws.hint("merge"), ["source_no", "index"]).where("take > a")
     start = F.col("index") * block - F.col("before")
     return met.select(
         "source_no", "before", "epoch", "shard", (start + F.col("a")).alias("lo"), (start + F.least("b", "take")).alias("hi"))
@@ -141,7 +143,7 @@ def mix_sources(docs: DataFrame, block_words: int = 64, shards: int = 64, seed:
     draws = draw_blocks(targets, block_words, shards, seed)
     taken = _taken(streams, draws, block_words).groupBy("source_no", "before").agg(
         F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("shard").alias("first_shard")).withColumn("_has", F.lit(True))
-    rows = streams.withColumn("_has", F.col("size") > 0).join(taken, ["source_no", "before", "_has"], "left")
+    rows = streams.withColumn("_has", F.col("size") > 0).join(taken.hint("merge"), ["source_no", "before", "_has"], "left")
     return rows.join(targets.select("source_no", "source_size", "target"), "source_no").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard")
 
@@ -159,7 +161,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, shards: int = 64, se
     spans = _taken(streams, draws, block_words).groupBy("source_no", "before", "epoch").agg(
         F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     keys = ["doc_id", "source", "crc", "hash"]
-    by_row = streams.where("size > 0").join(spans, ["source_no", "before"]).groupBy(*keys, "size", "before").agg(
+    by_row = streams.where("size > 0").join(spans.hint("merge"), ["source_no", "before"]).groupBy(*keys, "size", "before").agg(
         F.collect_list("spans").alias("epochs"))
     same = W.partitionBy(*keys)
     side = by_row.withColumn("_copy", F.row_number().over(same.orderBy("before"))).select(
@@ -168,7 +170,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, shards: int = 64, se
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"),
         F.col("source").cast("string").alias("_source"), *text_keys()).withColumnsRenamed({"crc": "_crc", "hash": "_hash"})
     left = left.withColumn("_copy", F.row_number().over(W.partitionBy("_doc_id", "_source", "_crc", "_hash").orderBy("_doc_id")))
-    met = left.join(side, [*[F.col(f"_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.col("_copy") == F.col("_r_copy")])
+    met = left.join(side.hint("merge"), [*[F.col(f"_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.col("_copy") == F.col("_r_copy")])
     each = met.withColumn("_spans", F.explode("_epochs"))
     many = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     words = F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))
