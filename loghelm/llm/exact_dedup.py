@@ -38,10 +38,15 @@ def _rows(docs: DataFrame) -> DataFrame:
         F.sha2("norm", 256).alias("text_sha256"), chunks.alias("chunks"))
 
 
-def _recipes(rows: DataFrame) -> DataFrame:
+def _verified(rows: DataFrame) -> DataFrame:
+    """Each hash and length with the digests of its contents; one, but for collisions."""
+    return rows.select(F.explode("chunks").alias("c")).groupBy("c.hash", "c.bytes").agg(
+        F.array_sort(F.collect_set("c.digest")).alias("contents"))
+
+
+def _recipes(rows: DataFrame, verified: DataFrame) -> DataFrame:
     """row_no and the ordered verified identifiers of each row."""
     used = rows.select("row_no", F.posexplode("chunks").alias("pos", "c")).select("row_no", "pos", "c.*")
-    verified = used.groupBy("hash", "bytes").agg(F.array_sort(F.collect_set("digest")).alias("contents"))
     named = used.join(verified, ["hash", "bytes"]).select(
         "row_no", F.struct("pos", "hash", "bytes", F.array_position("contents", F.col("digest")).alias("content")).alias("part"))
     listed = named.groupBy("row_no").agg(F.array_sort(F.collect_list("part")).alias("parts"))
@@ -61,8 +66,11 @@ def find_copies(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows_path = write_scratch(_rows(docs), "exact-chunks")
-    recipes_path = write_scratch(_recipes(spark.read.parquet(rows_path)), "exact-recipes")
-    drop_scratch(spark, rows_path)
+    rows = spark.read.parquet(rows_path)
+    # written, so that both sides of the join are shuffled and a passage that many rows share can be split
+    verified_path = write_scratch(_verified(rows), "exact-verified")
+    recipes_path = write_scratch(_recipes(rows, spark.read.parquet(verified_path)), "exact-recipes")
+    drop_scratch(spark, rows_path, verified_path)
     recipes = spark.read.parquet(recipes_path)
     best = F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
     groups = recipes.groupBy("recipe").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
