@@ -29,8 +29,8 @@ WORDS_KEPT = 400_000
 _WORKER: dict = {}
 
 
-class WordIds(dict):
-    """The ids of words as little-endian bytes; unknown words go through the tokenizer together.
+class WordIds:
+    """The ids of words as little-endian bytes, in ``words``; unknown words go through the tokenizer together.
 
     Words are cut at ASCII white space, which the tokenizer drops and never joins across; a word of letters
     with ASCII marks behind it is the letters' ids and the marks'. Both hold for any tokenizer that cuts
@@ -48,17 +48,17 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > WORDS_KEPT:
-            self.clear()
+        known = self.words
+        if len(known) > WORDS_KEPT:  # words still in use stay
+            self.words = known = {w: known[w] for w in words if w in known}
         if len(self.parts) > WORDS_KEPT:
             self.parts.clear()
         parts, new, letters, others = self.parts, [], set(), set()
-        for word in words:
-            if word in self:
-                continue
+        for word in words - known.keys():
             stem = word.rstrip(MARKS)
             if stem.isalpha():
                 stem = stem.lower()
@@ -76,7 +76,7 @@ class WordIds(dict):
         self._encode(list(letters), True)
         self._encode(list(others), False)
         for word, stem, mark in new:
-            self[word] = parts[stem] + parts[mark] if mark else parts[stem]
+            known[word] = parts[stem] + parts[mark] if mark else parts[stem]
 
     def _encode(self, listed: list[bytes], together: bool) -> None:
         step = 256 if together else 1
@@ -107,8 +107,9 @@ def _pieces(spec: Broadcast, size: int):
                 split = [t.as_py().split() for t in part.column("text").cast(pa.large_binary())]
                 ids.learn(set().union(*split))
                 out: list[list] = [[], [], [], [], []]
+                of = ids.words.__getitem__
                 for doc_id, words in zip(part.column("doc_id").to_pylist(), split):
-                    raw = b"".join([ids[w] for w in words]) + b"\0\0\0\0"
+                    raw = b"".join(map(of, words)) + b"\0\0\0\0"
                     for k, begin in enumerate(range(0, len(raw), 4 * size)):
                         piece = raw[begin:begin + 4 * size]
                         for column, value in zip(out, (doc_id, k, begin // 4, len(piece) // 4, zlib.crc32(piece))):
