@@ -74,7 +74,8 @@ def find_copies(docs: DataFrame) -> DataFrame:
     recipes = spark.read.parquet(recipes_path)
     best = F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
     groups = recipes.groupBy("recipe").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select(
+    groups_path = write_scratch(groups, "exact-groups")  # written for the same reason: a large group's join can be split
+    return recipes.join(spark.read.parquet(groups_path), "recipe").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256", "n_points", "crc", "hash")
 
