@@ -353,5 +353,6 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         left = state.agg(F.sum("n_left")).first()[0]
     levels = state.mapInArrow(_levels, "chunk long, doc_no int, longest_repeat long")
     kept = results.where("doc_no >= 0").select("chunk", "doc_no", "doc_id", "n_words", "n_removed", "kept_sha256")
-    return kept.join(levels, ["chunk", "doc_no"], "left").select(
+    # one row a document: never broadcast
+    return kept.join(levels.hint("merge"), ["chunk", "doc_no"], "left").select(
         "doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("longest_repeat", F.lit(0)).alias("longest_repeat"))
