@@ -232,7 +232,7 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     prints = spark.read.parquet(prints_path)
     n = prints.count()
     n_blocks = 2 if n < 1 << 28 else 3
-    buckets = max(64, -(-n // 16_384))
+    buckets = max(16, -(-n // 4_096))
     entries = prints.select("fp").mapInArrow(_replicate(n_blocks, threshold, buckets), ENTRIES)
     found = components(entries.groupBy("bucket").applyInArrow(_linked(threshold), "u long, v long"))
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", "n_same", F.coalesce("root", "fp").alias("root"))
