@@ -1,12 +1,16 @@
 """Secrets in texts: fixed patterns, and tokens that a battery of randomness tests can't tell from random ones.
 
-Every long run of token characters is read in the encoding it fits (hex,
-base32, base36, base62, base64, base64url). Three tests look for departures
-from uniform, independent symbols: chi-squared on symbol counts, the number of
-runs of character classes, and the lag-one serial correlation. Fisher's method
-combines them. Within each encoding and class of lengths, over all documents,
-Benjamini and Hochberg's rule finds the tokens that are not random, so that at
-most a share ``fdr`` of those set aside are random ones; what is left is
+Every long run of token characters is tested, and so are the long parts it has
+between the marks / - _ + (cut at any set of them) and what is left of either
+without the words around it. Each is read in the smallest alphabet that holds it
+(digits, letters of one case, hex, base32, base36, base62, base64, base64url):
+a random token of a larger alphabet that fits a smaller one is random in that
+one too. Three tests look for departures from uniform, independent symbols:
+chi-squared on symbol counts, the number of runs of character classes, and the
+lag-one serial correlation. Fisher's method combines them. Within each encoding
+and class of lengths, over all documents, Benjamini and Hochberg's rule finds
+the tokens that are not random, so that at most a share ``fdr`` of those set
+aside are random ones; of what is left, the longest that do not overlap are
 reported as kind ``random``. Classes of lengths are judged apart because the
 tests' power grows with the length.
 """
@@ -16,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +40,35 @@ STEMS = ("passw", "secret", "token", "api")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+MARKS = "/-_+"
+# Words ahead of a token, and, in reversed text, behind it: what a random token rarely has between an end and a mark.
+AHEAD = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}|[A-Za-z]?[0-9]+)?[/_+-]+)+")
+BEHIND = re.compile(r"(?:(?:[a-z]{2,}[A-Z]?|[A-Z]{3,}|[0-9]+[A-Za-z]?)?[/_+-]+)+")
 ENCODINGS = [
+    ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("hex_upper", "0123456789ABCDEF"),
+    ("letters", "abcdefghijklmnopqrstuvwxyz"),
+    ("letters_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36_upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 ]
 LENGTH_CLASSES = [20, 24, 32, 40, 64, 128]
 STEP = 0.01
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, tokens array<struct<start:long,end:long,stratum:int,level:int>>"
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, tokens array<struct<start:long,end:long,stratum:int,level:int,wordy:boolean>>"
+FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
-def _symbol_class(ch: str) -> int:
+def _symbol_class(ch: str, alphabet: str) -> int:
+    """Digit, upper, lower, mark; small and large digits, vowels and other letters where there is nothing else."""
+    if alphabet.isdigit():
+        return int(ch >= "5")
+    if alphabet.isalpha() and len(alphabet) == 26:
+        return int(ch in "AEIOUYaeiouy")
     return 0 if ch.isdigit() else 1 if ch.isupper() else 2 if ch.islower() else 3
 
 
@@ -58,8 +78,8 @@ class Encoding:
         self.index = np.full(256, -1)
         self.klass = np.full(256, -1)
         for i, ch in enumerate(alphabet):
-            self.index[ord(ch)], self.klass[ord(ch)] = i, _symbol_class(ch)
-        share = np.bincount([_symbol_class(ch) for ch in alphabet]) / len(alphabet)
+            self.index[ord(ch)], self.klass[ord(ch)] = i, _symbol_class(ch, alphabet)
+        share = np.bincount([_symbol_class(ch, alphabet) for ch in alphabet]) / len(alphabet)
         self.q2, self.q3 = float((share**2).sum()), float((share**3).sum())
         self.ranges = re.compile(f"[{re.escape(alphabet)}]+")
 
@@ -68,9 +88,7 @@ CODINGS = [Encoding(i, a) for i, (_, a) in enumerate(ENCODINGS)]
 
 
 def infer(token: str) -> Encoding | None:
-    """The smallest encoding that holds the token; None for plain numbers and words of one case."""
-    if token.isdigit() or (token.isalpha() and (token.islower() or token.isupper())):
-        return None
+    """The smallest encoding that holds the token; None for both + or / and - or _, which no encoding has."""
     return next((e for e in CODINGS if e.ranges.fullmatch(token)), None)
 
 
@@ -110,22 +128,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _core(text: str) -> tuple[int, int]:
+    """Where the text starts and ends without the words and marks around it."""
+    ahead, behind = AHEAD.match(text), BEHIND.match(text[::-1])
+    return ahead.end() if ahead else 0, len(text) - (behind.end() if behind else 0)
+
+
+def parts(run: str) -> dict[tuple[int, int], bool]:
+    """Places of the run, of its parts between any set of marks and of their cores, if long; whether words are around it."""
+    marks, found = [m for m in MARKS if m in run], {}
+    for n in range(len(marks) + 1):
+        for cut in combinations(marks, n):
+            at = 0
+            for piece in re.split(f"[{re.escape(''.join(cut))}]", run) if cut else [run]:
+                if len(piece) >= LENGTH_CLASSES[0]:
+                    a, b = _core(piece)
+                    found[at, at + len(piece)] = (a, b) != (0, len(piece))
+                    if b - a >= LENGTH_CLASSES[0]:
+                        found[at + a, at + b] = False
+                at += len(piece) + 1
+    return found
+
+
 def tokens(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Candidate tokens clear of base spans: place, stratum, and -log10 of the p-value in steps."""
-    found = []
+    """Candidate tokens clear of base spans: place, stratum, -log10 of the p-value in steps, and whether words are around it."""
+    found, starts = [], [a for a, _, _ in base]
+    ends = list(accumulate((b for _, _, b in base), max))
     for m in CANDIDATE.finditer(text):
-        code = infer(m[0])
-        if code is None or any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        length_class = sum(m.end() - m.start() >= c for c in LENGTH_CLASSES)
-        level = int(min(300.0, -math.log10(max(randomness(m[0], code), 1e-300))) / STEP)
-        found.append({"start": m.start(), "end": m.end(), "stratum": code.number * 10 + length_class, "level": level})
+        for (a, b), wordy in parts(m[0]).items():
+            token, start, end = m[0][a:b], m.start() + a, m.start() + b
+            before = bisect_left(starts, end)
+            code = infer(token)
+            if code is None or before and ends[before - 1] > start:
+                continue
+            length_class = sum(b - a >= c for c in LENGTH_CLASSES)
+            level = int(min(300.0, -math.log10(max(randomness(token, code), 1e-300))) / STEP)
+            found.append({"start": start, "end": end, "stratum": code.number * 10 + length_class, "level": level, "wordy": wordy})
     return found
 
 
+def longest(found: list[dict]) -> list[tuple[int, int]]:
+    """Places of the longest tokens that do not overlap; one with words around it gives way to any without."""
+    chosen: list[tuple[int, int]] = []
+    for t in sorted(found, key=lambda t: (t["wordy"], t["start"] - t["end"], t["start"])):
+        i = bisect_left(chosen, (t["start"], t["end"]))
+        if (i == 0 or chosen[i - 1][1] <= t["start"]) and (i == len(chosen) or t["end"] <= chosen[i][0]):
+            chosen.insert(i, (t["start"], t["end"]))
+    return chosen
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    token = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("level", pa.int32())])
+    token = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("level", pa.int32()), ("wordy", pa.bool_())])
     for batch in batches:
         base, found, sha, counts = [], [], [], []
         for text in batch.column("text"):
@@ -153,6 +207,22 @@ def dismissed_from(levels: dict[int, int], fdr: float) -> int:
     return cut
 
 
+def _told(cuts: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said, n_random = [], []
+            for base, found in zip(batch.column("base").to_pylist(), batch.column("tokens").to_pylist()):
+                random = longest([t for t in found if t["level"] < cuts[t["stratum"]]])
+                spans = [(s["start"], s["kind"], s["end"]) for s in base] + [(a, 3, b) for a, b in random]
+                said.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+                n_random.append(len(random))
+            same = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in same), pa.array(said, pa.string()), pa.array(n_random, pa.int64())],
+                names=[*same, "spans", "n_random"])
+    return run
+
+
 def find_secrets(docs: DataFrame, fdr: float = 0.1) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are not read): doc_id, n_assign, n_access, n_hex,
     base_sha256, spans, n_random.
@@ -167,13 +237,4 @@ def find_secrets(docs: DataFrame, fdr: float = 0.1) -> DataFrame:
     for stratum, level, n in counts.collect():
         by_stratum.setdefault(stratum, {})[level] = n
     cuts = {s: dismissed_from(levels, fdr) for s, levels in by_stratum.items()}
-    cut = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair]) if cuts else F.create_map(F.lit(-1), F.lit(0))
-    random = F.filter("tokens", lambda t: t["level"] < cut[t["stratum"]])
-    added = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    said = F.transform(
-        F.array_sort(F.concat("base", added)),
-        lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")))
-    return scanned.select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(said, ",").alias("spans"),
-        F.size(random).cast("long").alias("n_random"))
+    return scanned.mapInArrow(_told(cuts), FOUND)

@@ -56,6 +56,32 @@ def test_random_tokens_found_and_names_left(spark):
     assert hit >= 0.8 * len(planted)
 
 
+def test_keys_of_one_case_and_between_words(spark):
+    rng = random.Random(11)
+    both, url = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
+    forms = [
+        ("see {} é", string.ascii_lowercase, 32), ("see {} é", string.ascii_uppercase, 32), ("see {} é", string.ascii_uppercase + string.digits, 32),
+        ("é https://hooks.example.com/services/T0-1/{} x", both, 32), ("é name-{} x", both, 32), ("file /var/lib/my_app-2/{}.txt", both, 32),
+        ("é https://example.com/data/{}?x", url, 43), ("{}_backup", both, 32)]
+    keys = [(f, random_token(rng, n, letters)) for f, letters, n in forms for _ in range(10)]
+    texts = [f.format(k) for f, k in keys]
+    parts = ["inter", "national", "isation", "ation", "mentation", "donau", "schiff", "fahrt", "gesell", "schaft", "versicherung"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(4, 6))) for _ in range(300)]
+    paths = ["/".join(rng.choice(parts) for _ in range(6)) for _ in range(300)]
+    rows = list(enumerate(texts + words + [w.upper() for w in words] + paths))
+    found = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s.startswith("random")]
+             for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for at in range(0, len(keys), 10):  # of each form
+        assert sum(keys[i][1] in [texts[i][int(a):int(b)] for _, a, b in found[i]] for i in range(at, at + 10)) >= 6, keys[at]
+    assert sum(len(found[i]) for i in range(len(keys), len(rows))) < 0.1 * (len(rows) - len(keys))
+
+
+def test_longest_tokens_without_overlap():
+    found = [{"start": a, "end": b, "wordy": w} for a, b, w in [(0, 50, True), (9, 50, False), (9, 29, False), (60, 80, True), (50, 60, False)]]
+    assert S.longest(found) == [(9, 50), (50, 60), (60, 80)]
+    assert [S.infer(x) for x in ("a-b/c", "a+b_c")] == [None, None]
+
+
 def test_step_up_rule():
     p = [0.001, 0.008, 0.02, 0.03, 0.5, 0.9]
     levels = {}
