@@ -159,7 +159,8 @@ def score_quality(docs: DataFrame, fit_rows: int = 12_000, cut: float = 0.25) ->
 
     weak_label is the posterior of the row's votes, score the linear scorer's, kept whether it is at least
     ``cut``. The scorer learns from at most ``fit_rows`` rows, half of them from either side of the
-    posterior, the first by hash. A null text counts as empty: nothing votes on it, and its weak label
+    posterior, the first by a hash of doc_id and text, so that copies of a text enter no more often than
+    their share of the rows. A null text counts as empty: nothing votes on it, and its weak label
     is the corpus's share of good rows. Equal rows score alike. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -176,7 +177,7 @@ def score_quality(docs: DataFrame, fit_rows: int = 12_000, cut: float = 0.25) ->
     labelled = rows.join(F.broadcast(by_pattern), "pattern")  # at most 3 to the number of labellers rows
     fit = []
     for side in ("weak_label >= 0.5", "weak_label < 0.5"):
-        fit += labelled.where(side).orderBy(F.xxhash64("hash"), "crc", "doc_id").limit(fit_rows // 2).select("slots", "weights", "weak_label").collect()
+        fit += labelled.where(side).orderBy(F.xxhash64("doc_id", "hash"), "crc", "doc_id").limit(fit_rows // 2).select("slots", "weights", "weak_label").collect()
     w = fit_linear([np.frombuffer(r["slots"], np.uint16) for r in fit], [np.frombuffer(r["weights"], np.float32) for r in fit],
                    np.array([r["weak_label"] for r in fit]))
     scored = rows.mapInArrow(_score(w), "doc_id long, crc long, hash long, pattern int, score double")

@@ -1,5 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from loghelm.llm import quality_model
 from loghelm.llm.quality_model import LABELLERS, keep_good, label_model, score_quality
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +36,27 @@ def test_every_row_scored(docs, rows, nothing):
     assert score_quality(nothing).collect() == []
 
 
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    few = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    scored = score_quality(few).where("weak_label >= 0.5")
+    # the text that comes first where texts alone are hashed
+    first = scored.orderBy(F.xxhash64("hash")).first()["doc_id"]
+    text = few.where(F.col("doc_id") == first).first()["text"]
+    fit_rows = 40
+    copies = spark.range(1_000_000, 1_000_000 + 2 * fit_rows).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    seen = []
+    fit = quality_model.fit_linear
+
+    def spy(slots, weights, label, *more, **named):
+        seen.extend((s.tobytes(), w.tobytes()) for s, w, good in zip(slots, weights, label) if good >= 0.5)
+        return fit(slots, weights, label, *more, **named)
+
+    monkeypatch.setattr(quality_model, "fit_linear", spy)
+    score_quality(few.unionByName(copies), fit_rows=fit_rows)
+    assert len(seen) == fit_rows // 2
+    assert len(set(seen)) >= fit_rows // 4
+
+
 def test_kept_rows_are_unchanged(docs, nothing):
     stay = keep_good(docs)
     assert stay.columns == docs.columns
