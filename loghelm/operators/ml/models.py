@@ -131,14 +131,24 @@ def calibrate(train: DataFrame, name: str, id_col: str, k: int = 3, **params) ->
     return CalibratedModel(parts)
 
 
-def _search(train: DataFrame, id_col: str, settings: list[dict], k: int, parallelism: int):
-    """Mean held-out F1 of every setting; a few fits run side by side."""
+def _fit_sides(folded: DataFrame, id_col: str, fit_rows: int | None) -> dict[int, DataFrame]:
+    """What a fit reads for each held-out fold: the other folds, at most ``fit_rows`` rows of them."""
+    sides = {}
+    for fold in [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]:
+        others = folded.where(F.col("fold") != fold)
+        sides[fold] = split.bounded(others, id_col, fit_rows).persist() if fit_rows else others
+    return sides
+
+
+def _search(train: DataFrame, id_col: str, settings: list[dict], k: int, parallelism: int, fit_rows: int | None):
+    """Mean held-out F1 of every setting over all rows; a few fits run side by side."""
     folded = split.folds(train.select(id_col, "label", "features"), "label", id_col, k).persist()
-    numbers = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+    sides = _fit_sides(folded, id_col, fit_rows)
+    numbers = list(sides)
 
     def held_out(task: tuple[dict, int]) -> float:
         setting, fold = task
-        model = fit(folded.where(F.col("fold") != fold), "random_forest", **setting)
+        model = fit(sides[fold], "random_forest", **setting)
         held = score(model, folded.where(F.col("fold") == fold))
         return metrics(confusion_counts(held, [], F.col("score") >= 0.5), 12).first()["f1"]
 
@@ -147,19 +157,25 @@ def _search(train: DataFrame, id_col: str, settings: list[dict], k: int, paralle
         f1 = pool.map(held_out, tasks)
     means = [sum(f1[i * len(numbers):(i + 1) * len(numbers)]) / len(numbers) for i in range(len(settings))]
     best = max(range(len(settings)), key=lambda i: means[i])
-    model = fit(folded, "random_forest", **settings[best])
-    folded.unpersist()
+    model = fit(split.bounded(folded, id_col, fit_rows) if fit_rows else folded, "random_forest", **settings[best])
+    for kept in (*sides.values(), folded):
+        kept.unpersist()
     return model, {n: str(v) for n, v in settings[best].items()}, means
 
 
-def grid_search(train: DataFrame, id_col: str, space: dict | None = None, k: int = 3, parallelism: int = 4):
-    """(best model, best parameters, mean F1 of every setting) over the full grid."""
+def grid_search(train: DataFrame, id_col: str, space: dict | None = None, k: int = 3, parallelism: int = 4,
+                fit_rows: int | None = None):
+    """(best model, best parameters, mean F1 of every setting) over the full grid.
+
+    ``fit_rows`` bounds the rows that each fit reads; every held-out row is scored.
+    """
     space = space or GRID
     settings = [dict(zip(space, values)) for values in product(*space.values())]
-    return _search(train, id_col, settings, k, parallelism)
+    return _search(train, id_col, settings, k, parallelism, fit_rows)
 
 
-def random_search(train: DataFrame, id_col: str, space: dict | None = None, draws: int = RANDOM_DRAWS, k: int = 3, parallelism: int = 4):
+def random_search(train: DataFrame, id_col: str, space: dict | None = None, draws: int = RANDOM_DRAWS, k: int = 3, parallelism: int = 4,
+                  fit_rows: int | None = None):
     """As ``grid_search`` over a seeded draw of distinct settings."""
     space = space or RANDOM_SPACE
     rng = random.Random(SEED)
@@ -168,16 +184,16 @@ def random_search(train: DataFrame, id_col: str, space: dict | None = None, draw
         setting = {name: rng.choice(values) for name, values in space.items()}
         if setting not in chosen:
             chosen.append(setting)
-    return _search(train, id_col, chosen, k, parallelism)
+    return _search(train, id_col, chosen, k, parallelism, fit_rows)
 
 
-def cross_predict(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5) -> DataFrame:
-    """Out-of-fold (id, label, score, model, fold) of every model."""
+def cross_predict(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5, fit_rows: int | None = None) -> DataFrame:
+    """Out-of-fold (id, label, score, model, fold) of every model and row; a fit reads at most ``fit_rows`` rows."""
     folded = split.folds(df.select(id_col, "label", "features"), "label", id_col, k).persist()
-    parts = []
+    sides, parts = _fit_sides(folded, id_col, fit_rows), []
     for name, params in names.items():
-        for fold in [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]:
-            model = fit(folded.where(F.col("fold") != fold), name, **params)
+        for fold, side in sides.items():
+            model = fit(side, name, **params)
             held = score(model, folded.where(F.col("fold") == fold))
             cut = 0.0 if name == "linear_svm" else 0.5
             parts.append(held.select(F.col(id_col).alias("id"), "label", (F.col("score") - cut + 0.5).alias("score"),
@@ -188,8 +204,8 @@ def cross_predict(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5
     return out
 
 
-def compare_cross_validated(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5) -> DataFrame:
-    return cross_validated(cross_predict(df, id_col, names, k), 0.5)
+def compare_cross_validated(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5, fit_rows: int | None = None) -> DataFrame:
+    return cross_validated(cross_predict(df, id_col, names, k, fit_rows), 0.5)
 
 
 def transfer(df: DataFrame, dataset: str, name: str = "random_forest", **params) -> DataFrame:

@@ -11,7 +11,7 @@ from loghelm.session import cut_lineage, scratch_path
 
 # Models run at their full settings, the operators' defaults. What is bounded is
 # the number of labelled rows a fit may read, and how many each of the many fits
-# of a search may; every test row is scored.
+# of a search may; every test row and every row of a held-out fold is scored.
 FIT_ROWS = 20_000
 SEARCH_ROWS = 2_000
 SETS = {"random_forest": {}, "logreg": {}, "linear_svm": {}}
@@ -57,7 +57,8 @@ def _sides(spark, sf, fit_rows=FIT_ROWS):
     sides = split.train_test(rows, "label", "id", 0.2)
     features = _features(sides.where("is_train"))
     prepared = _prepared(sides, features, "is_train", "is_test")
-    return split.bounded(prepared.where("is_train"), "id", fit_rows), prepared.where("is_test"), features
+    train = prepared.where("is_train")
+    return split.bounded(train, "id", fit_rows) if fit_rows else train, prepared.where("is_test"), features
 
 
 @query("random_forest_scores")
@@ -105,20 +106,20 @@ def model_report(spark, sf):
 def model_cross_validation(spark, sf):
     rows = _labelled(spark, sf)
     prepared = _prepared(rows, _features(rows))
-    return models.compare_cross_validated(split.bounded(prepared, "id", FIT_ROWS), "id", SETS, FOLDS)
+    return models.compare_cross_validated(prepared, "id", SETS, FOLDS, FIT_ROWS)
 
 
 @query("forest_grid_search")
 def forest_grid_search(spark, sf):
-    train, _, _ = _sides(spark, sf, SEARCH_ROWS)
-    _, best, f1 = models.grid_search(train.select("id", "label", "features"), "id")
+    train, _, _ = _sides(spark, sf, None)
+    _, best, f1 = models.grid_search(train.select("id", "label", "features"), "id", fit_rows=SEARCH_ROWS)
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
 
 @query("forest_random_search")
 def forest_random_search(spark, sf):
-    train, _, _ = _sides(spark, sf, SEARCH_ROWS)
-    _, best, f1 = models.random_search(train.select("id", "label", "features"), "id")
+    train, _, _ = _sides(spark, sf, None)
+    _, best, f1 = models.random_search(train.select("id", "label", "features"), "id", fit_rows=SEARCH_ROWS)
     return spark.createDataFrame([(models.params_text(best), max(f1), len(f1))], "best_params string, best_f1 double, settings int")
 
 

@@ -117,3 +117,25 @@ def test_a_failed_retraining_moves_no_pointer(spark, corpus, tmp_path):
     assert row["deployment_status"] == "DEPLOYED"
     assert retrain.deployed_version(spark, root) == "20240102_000000"
     assert spark.read.json(f"{root}/history").count() == 2
+
+
+def test_bounds_hold_for_fits_and_not_for_held_out_rows(spark, sf, monkeypatch):
+    from loghelm.plans import model_plans as plans
+    n = table(spark, sf, "v_logs").count()
+    fitted, held = [], []
+    fit, score = models.fit, models.score
+    monkeypatch.setattr(models, "fit", lambda train, *a, **b: (fitted.append(train.count()), fit(train, *a, **b))[1])
+    monkeypatch.setattr(models, "score", lambda model, df, *a: (held.append(df.count()), score(model, df, *a))[1])
+    monkeypatch.setattr(plans, "FIT_ROWS", 90)
+    monkeypatch.setattr(plans, "SEARCH_ROWS", 60)
+    monkeypatch.setattr(plans, "SETS", {"logreg": {"maxIter": 5}})
+    small = {"numTrees": [2], "maxDepth": [3, 4]}
+    monkeypatch.setattr(models, "GRID", small)
+    monkeypatch.setattr(models, "RANDOM_SPACE", small)
+    assert plans.model_cross_validation(spark, sf).first()["n_splits"] == 5
+    assert (max(fitted), sum(held)) == (90, n)
+    train = plans._sides(spark, sf, None)[0].count()
+    for search in (plans.forest_grid_search, plans.forest_random_search):
+        fitted.clear(), held.clear()
+        assert search(spark, sf).first()["settings"] == 2
+        assert (max(fitted), sum(held)) == (60, 2 * train)
