@@ -148,7 +148,7 @@ def feature_importance(spark, sf):
 
 @query("principal_components")
 def principal_components(spark, sf):
-    corpus = table(spark, sf, "v_corpus")
+    corpus = table(spark, sf, "v_messages")
     features = stages.fit_features(corpus, max_features=300, min_df=2, max_df=0.95, numeric="structured_20")
     out, share = models.principal_components(stages.featurise(corpus, features).select("id", "true_label", "features"))
     return out.select("id", "true_label", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"),

@@ -139,3 +139,13 @@ def test_bounds_hold_for_fits_and_not_for_held_out_rows(spark, sf, monkeypatch):
         fitted.clear(), held.clear()
         assert search(spark, sf).first()["settings"] == 2
         assert (max(fitted), sum(held)) == (60, 2 * train)
+
+
+def test_components_of_texts_without_a_label(spark, sf):
+    from loghelm.plans import model_plans as plans
+    want = {r["id"]: r["true_label"] for r in table(spark, sf, "v_messages").select("id", "true_label").collect()}
+    found = {r["id"]: r["true_label"] for r in plans.principal_components(spark, sf).collect()}
+    assert found == want
+    assert None in found.values()
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert len(found) == events + spark.read.parquet(f"{sf}/documents.parquet").count()
