@@ -167,3 +167,36 @@ def correlate_rule_table(spark, sf):
     """The first rule's events come out of a two-rule table as they do alone."""
     out = correlate.correlate_rules(table(spark, sf, "v_logs"), [WIDE_RULE, _SCAN_RULE])
     return out.where("rule = 'ssh_bruteforce'").select("event_id", "rule", "active_event_count", "correlation_triggered")
+
+
+_RULES = [WIDE_RULE, _SCAN_RULE]
+
+
+def _by_rule(value, rule="rule") -> str:
+    return f"CASE {rule} " + " ".join(f"WHEN '{r.name}' THEN {value(r)}" for r in _RULES) + " END"
+
+
+# As correlation_sql, with the rule as one more key of chains and counts, and with the rows that match none.
+_RULES_SQL = with_views("v_logs", recursive=True) + f""", named AS (SELECT *,
+  CASE WHEN {_PATTERN} IS NOT NULL THEN 'ssh_bruteforce' WHEN contains(lower(message), 'port scan') OR contains(lower(message), 'nmap') THEN 'port_scan' END AS rule,
+  coalesce({_PATTERN}, CASE WHEN contains(lower(message), 'port scan') THEN 'port scan' WHEN contains(lower(message), 'nmap') THEN 'nmap' END) AS pat,
+  coalesce(nullif(regexp_extract(lower(message), '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', 0), ''), 'unknown') AS src_ip FROM v_logs),
+hits AS (SELECT rule, src_ip, lower(message) AS msg, timestamp AS t, min(event_id) AS event_id FROM named WHERE rule IS NOT NULL GROUP BY 1, 2, 3, 4),
+chain AS (SELECT rule, src_ip, msg, min(t) AS t FROM hits GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT c.rule, c.src_ip, c.msg, min(h.t) AS t FROM chain c JOIN hits h ON h.rule = c.rule AND h.src_ip = c.src_ip AND h.msg = c.msg
+    AND h.t > c.t + {_by_rule(lambda r: f"INTERVAL {r.dedup_seconds} SECOND", "c.rule")} GROUP BY 1, 2, 3),
+accepted AS (SELECT h.event_id, h.rule, h.src_ip, h.t FROM chain c JOIN hits h ON h.rule = c.rule AND h.src_ip = c.src_ip AND h.msg = c.msg AND h.t = c.t),
+counted AS (SELECT a.event_id, count(*) AS n FROM accepted a JOIN accepted b ON a.rule = b.rule AND a.src_ip = b.src_ip
+  AND b.t >= a.t - {_by_rule(lambda r: f"INTERVAL {r.window_seconds} SECOND", "a.rule")}
+  AND (b.t < a.t OR (b.t = a.t AND b.event_id <= a.event_id)) GROUP BY 1)
+SELECT event_id, src_ip, rule, pat AS matched_rule, CAST(coalesce(n, 0) AS BIGINT) AS active_event_count,
+  rule IS NOT NULL AND n >= {_by_rule(lambda r: r.correlation_threshold)} AS correlation_triggered
+FROM named LEFT JOIN counted USING (event_id) WHERE rule IS NULL OR n IS NOT NULL"""
+
+
+@query("correlate_rule_table_all", _RULES_SQL)
+def correlate_rule_table_all(spark, sf):
+    """All rows of the two-rule table: either rule's events, and those that match none."""
+    return correlate.correlate_rules(table(spark, sf, "v_logs"), _RULES).select(
+        "event_id", "src_ip", "rule", "matched_rule", "active_event_count", "correlation_triggered")

@@ -91,3 +91,19 @@ def test_block_must_exceed_the_gap(spark):
     rule = replace(co.SSH_BRUTEFORCE, dedup_seconds=100, block_seconds=50)
     with pytest.raises(ValueError):
         co.correlate(logs(spark, [(1, "2024-01-01 00:00:00", "sshd", "ssh", 0.9)]), rule)
+
+
+def test_rule_table_returns_every_rule_and_the_rest(spark, sf):
+    from loghelm.plans.registry import QUERIES
+    from loghelm.plans.detect_plans import _SCAN_RULE, WIDE_RULE
+    from loghelm.plans.views import table
+    found = QUERIES["correlate_rule_table_all"](spark, sf).collect()
+    rules = {r["event_id"]: r["rule"] for r in QUERIES["rule_table_matches"](spark, sf).collect()}
+    assert {r["rule"] for r in found} == {"ssh_bruteforce", "port_scan", None}
+    assert all(r["rule"] == rules[r["event_id"]] for r in found)
+    assert {r["event_id"] for r in found if r["rule"] is None} == {i for i, rule in rules.items() if rule is None}
+    # each rule's events come out as they do alone
+    for name, rule in (("ssh_bruteforce", WIDE_RULE), ("port_scan", _SCAN_RULE)):
+        own = table(spark, sf, "v_logs").where(F.col("event_id").isin([i for i, r in rules.items() if r == name]))
+        alone = {(r["event_id"], r["active_event_count"], r["correlation_triggered"]) for r in co.correlate(own, rule).collect()}
+        assert {(r["event_id"], r["active_event_count"], r["correlation_triggered"]) for r in found if r["rule"] == name} == alone
