@@ -1,4 +1,4 @@
-"""The operators over the whole ``documents`` table, and the SQL twins of those SQL can express."""
+"""The operators over the whole ``documents`` or ``embeddings`` table, and the SQL twins of those SQL can express."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loghelm.llm.common import documents, labels
 from loghelm.llm.exact_dedup import find_copies
 from loghelm.llm.mixing import mix_sources
+from loghelm.llm.nearest import nearest_neighbours
 from loghelm.llm.packing import pack_documents
 from loghelm.llm.quality_model import score_quality
 from loghelm.llm.quality_rules import judge_quality
@@ -17,6 +18,8 @@ from loghelm.llm.sharding import shard_rows
 from loghelm.llm.simhash import near_copies
 from loghelm.llm.substring_dedup import remove_repeats
 from loghelm.llm.toxicity import score_toxicity
+from loghelm.llm.vectors import embeddings
+from loghelm.llm.whitening import whiten
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +64,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(documents(spark, sf_dir)).drop("crc", "hash")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(embeddings(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -72,6 +83,8 @@ QUERIES: dict[str, QueryFn] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -108,5 +121,17 @@ WITH n AS (SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_points,
 k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id,
   count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256, n_points FROM k
+""",
+    # all rows; the index lists all entries of a table of up to 4,096 distinct vectors
+    "op11_nearest_neighbours": r"""
+WITH g AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+n AS (SELECT * FROM g WHERE len(v) = (SELECT len(embedding) FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score
+  FROM n q JOIN n e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }
