@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loghelm.llm.alignment import align_tokens
 from loghelm.llm.common import documents, labels
 from loghelm.llm.exact_dedup import find_copies
 from loghelm.llm.mixing import mix_sources
@@ -72,6 +73,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(embeddings(spark, sf_dir))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -85,6 +90,7 @@ QUERIES: dict[str, QueryFn] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -124,9 +130,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256, n_poi
 """,
     # all rows; the index lists all entries of a table of up to 4,096 distinct vectors
     "op11_nearest_neighbours": r"""
-WITH g AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+WITH g AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT * FROM g WHERE len(v) = (SELECT len(embedding) FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
   GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
 s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score
