@@ -1,17 +1,20 @@
 """Toxicity classifier with a counterfactual penalty.
 
-Features are the words of a text and their beginnings and ends, present or not.
-Those that labelled toxic documents have more often than others, beyond chance,
-enter a logistic regression. For labelled documents that name a group, a copy is
-made with the identity terms swapped for others, and the fit is penalised by the
-squared difference of the two scores, so that naming a group weighs nothing.
-The model is fitted on a bounded sample of labelled rows; every document is
-scored from its whole text.
+Features are the words of a text and their beginnings and ends, present or not, if
+two labelled documents have them. A logistic regression with an absolute penalty on its
+weights chooses among them: only those whose counts lie too near to chance for any
+weight are left out before. For labelled documents that name a group, a copy is made
+with the identity terms swapped for others, and the fit is penalised by the squared
+difference of the two scores, so that naming a group weighs nothing.
+The model is fitted on a bounded sample of labelled rows; tasks turn its texts to
+numbers of features, so no text reaches the driver. Every document is scored from its whole
+text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,12 @@ IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"), ("disabled", "blind", "deaf"), ("old", "young"),
+    ("frau", "mann"), ("frauen", "männer"), ("christ", "moslem", "jude", "buddhist"), ("christen", "muslime", "juden", "buddhisten"),
+    ("schwarze", "weiße", "asiatische"), ("schwul", "lesbisch", "hetero"), ("ausländer", "inländer", "flüchtling"),
+    ("femme", "homme"), ("femmes", "hommes"), ("chrétien", "musulman", "juif", "bouddhiste"), ("chrétiens", "musulmans", "juifs", "bouddhistes"),
+    ("noire", "blanche", "asiatique"), ("immigré", "citoyen", "réfugié"), ("immigrés", "citoyens", "réfugiés"),
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("cristiano", "musulmán", "judío", "budista"), ("cristianos", "musulmanes", "judíos", "budistas"),
+    ("negra", "blanca", "asiática"), ("inmigrante", "ciudadano", "refugiado"), ("inmigrantes", "ciudadanos", "refugiados"),
 )
 HELD_OUT_OF = 5
 
@@ -64,8 +73,9 @@ def swapped(text: bytes, number: int, terms: tuple[tuple[str, ...], ...] = IDENT
     other = {}
     for group in terms:
         for i, term in enumerate(group):
-            other[term.encode()] = group[(i + 1 + number % (len(group) - 1)) % len(group)].encode()
-    pattern = re.compile(rb"(?<![A-Za-z])(" + b"|".join(sorted(other, key=len, reverse=True)) + rb")(?![A-Za-z])", re.I)
+            other.setdefault(term.encode(), group[(i + 1 + number % (len(group) - 1)) % len(group)].encode())
+    listed = b"|".join(sorted(other, key=len, reverse=True))
+    pattern = re.compile(rb"(?<![A-Za-z\x80-\xff])(" + listed + rb")(?![A-Za-z\x80-\xff])", re.I)
     new, n = pattern.subn(lambda m: other[m[1].lower()], text)
     return new if n else None
 
@@ -121,45 +131,123 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(
-    texts: list[bytes], label: np.ndarray, codes: np.ndarray, share: float, penalty: float = 1.0, ridge: float = 1e-5,
-    rounds: int = 600, rate: float = 1.0,
-) -> Model:
-    """Logistic regression whose loss adds ``penalty`` times the squared score change under swapped identity terms."""
+def fit(texts: list[bytes], label: np.ndarray, codes: np.ndarray, share: float, penalty: float = 1.0) -> Model:
+    """A model of these codes from texts and their labels (0 or 1); see ``fit_hits``."""
     model = Model(np.sort(codes), np.zeros(len(codes)), 0.0)
-    row, slot = _all_hits(model, texts)
-    pairs = [(i, s) for i, text in enumerate(texts) if (s := swapped(text, i)) is not None]
-    other_row, other_slot = _all_hits(model, [s for _, s in pairs])
-    mine = np.full(len(texts), -1)
-    mine[[i for i, _ in pairs]] = np.arange(len(pairs))
-    own = mine[row] >= 0
-    # rows of the difference between a text and its swapped copy
-    d_row = np.concatenate([mine[row[own]], other_row])
-    d_slot = np.concatenate([slot[own], other_slot])
-    d_sign = np.concatenate([np.ones(own.sum()), -np.ones(len(other_row))])
-    w, b, n, k = model.weights, 0.0, max(len(texts), 1), len(codes)
-    weight = np.where(label == 1, share / max(label.mean(), 1e-9), (1 - share) / max(1 - label.mean(), 1e-9))
-    mw, vw, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
-    for step in range(1, rounds + 1):
-        z = np.bincount(row, w[slot], len(texts)) + b
+    pairs = [(i, s) for i, text in enumerate(texts) if (s := swapped(text, zlib.crc32(text))) is not None]
+    doc, place = model.hits(Texts(texts))
+    other_doc, other_place = model.hits(Texts([s for _, s in pairs])) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    of = np.array([i for i, _ in pairs], np.int64)
+    return fit_hits(model.codes, label, (doc, place), (of[other_doc], other_place), of, share, penalty)
+
+
+def fit_hits(
+    codes: np.ndarray, label: np.ndarray, hits: tuple[np.ndarray, np.ndarray], swapped_hits: tuple[np.ndarray, np.ndarray],
+    pairs: np.ndarray, share: float, penalty: float = 1.0, strength: float = 0.01, ridge: float = 5e-4, rounds: int = 300,
+) -> Model:
+    """Logistic regression whose loss adds ``penalty`` times the squared score change under swapped identity terms.
+
+    ``hits`` and ``swapped_hits`` are (row, feature) of the texts and of the copies of the rows ``pairs``. The weights'
+    absolute values cost ``strength`` / sqrt(rows) each, their squares ``ridge``; accelerated steps, started anew
+    where one overshoots. Features without a weight are left out of the model.
+    """
+    row, slot = hits
+    n, k = len(label), len(codes)
+    number = np.full(n, -1)
+    number[pairs] = np.arange(len(pairs))
+    own = number[row] >= 0
+    d_row = np.concatenate([number[row[own]], number[swapped_hits[0]]])
+    d_slot = np.concatenate([slot[own], swapped_hits[1]])
+    d_sign = np.concatenate([np.ones(own.sum()), -np.ones(len(swapped_hits[0]))])
+    weight = np.where(label == 1, share / max(label.mean(), 1e-9), (1 - share) / max(1 - label.mean(), 1e-9)) / n
+    cost = strength / n**0.5
+
+    def curved(x: np.ndarray) -> np.ndarray:
+        """A bound on the loss's second derivative times x."""
+        z = np.bincount(row, x[slot], n)
+        change = np.bincount(d_row, d_sign * x[d_slot], len(pairs))
+        return np.bincount(slot, (0.25 * weight * z)[row], k) + penalty / n * np.bincount(d_slot, d_sign * change[d_row], k) + ridge * x
+
+    v, most = np.ones(k), 1.0
+    for _ in range(20):
+        v = curved(v / np.linalg.norm(v))
+        most = max(np.linalg.norm(v), 1e-12)
+    step = 1 / (1.1 * most)
+    w = ahead = np.zeros(k)
+    b, t = np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 1.0
+    for _ in range(rounds):
+        z = np.bincount(row, ahead[slot], n) + b
         off = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
-        change = np.bincount(d_row, d_sign * w[d_slot], len(pairs))
-        grad = (np.bincount(slot, off[row], k) + penalty * np.bincount(d_slot, d_sign * change[d_row], k)) / n + ridge * w
-        mw, vw = 0.9 * mw + 0.1 * grad, 0.99 * vw + 0.01 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * off.mean(), 0.99 * vb + 0.01 * off.mean() ** 2
-        scale = 0.1 * rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        w = w - scale * mw / (np.sqrt(vw) + 1e-8)
-        b -= scale * mb / (np.sqrt(vb) + 1e-8)
-    return Model(model.codes, w, float(b))
+        change = np.bincount(d_row, d_sign * ahead[d_slot], len(pairs))
+        grad = np.bincount(slot, off[row], k) + penalty / n * np.bincount(d_slot, d_sign * change[d_row], k) + ridge * ahead
+        b -= 2 * off.sum()
+        new = ahead - step * grad
+        new = np.sign(new) * np.maximum(np.abs(new) - step * cost, 0)
+        if ((ahead - new) * (new - w)).sum() > 0:
+            t = 1.0
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, w, t = new + (t - 1) / later * (new - w), new, later
+    kept = w != 0
+    return Model(codes[kept], w[kept], float(b))
+
+
+def calibrated(
+    codes: np.ndarray, label: np.ndarray, hits: tuple[np.ndarray, np.ndarray], swapped_hits: tuple[np.ndarray, np.ndarray],
+    pairs: np.ndarray, share: float, penalty: float = 1.0, folds: int = 3,
+) -> Model:
+    """``fit_hits``, its margins scaled and shifted so that scores of rows left out of a fit are right on average.
+
+    The absolute penalty holds margins near the constant; folds of the rows show by how much. The two numbers
+    are fitted by Newton steps, drawn to (1, 0) as by one more row.
+    """
+    model = fit_hits(codes, label, hits, swapped_hits, pairs, share, penalty)
+    n = len(label)
+    margin = np.zeros(n)
+    fold = np.arange(n) % folds
+    for f in range(folds):
+        inside = np.flatnonzero(fold != f)
+        if not 0 < label[inside].sum() < len(inside):
+            return model
+        at = np.full(n, -1)
+        at[inside] = np.arange(len(inside))
+        part = lambda hit: (at[hit[0][at[hit[0]] >= 0]], hit[1][at[hit[0]] >= 0])  # noqa: B023, E731
+        left = pairs[fold[pairs] != f] if len(pairs) else pairs
+        one = fit_hits(codes, label[inside], part(hits), part(swapped_hits), at[left], share, penalty)
+        weight = np.zeros(len(codes))
+        weight[np.searchsorted(codes, one.codes)] = one.weights
+        margin += np.where(fold == f, np.bincount(hits[0], weight[hits[1]], n) + one.constant, 0)
+    each = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
+    two, x = np.array([1.0, 0.0]), np.column_stack([margin, np.ones(n)])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ two, -40, 40)))
+        slope = x.T @ (each * (p - label)) + two - [1.0, 0.0]
+        two = two - np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.eye(2), slope)
+    scale = max(float(two[0]), 0.1)
+    return Model(model.codes, model.weights * scale, model.constant * scale + float(two[1]))
+
+
+def _sample_hits(model: Model):
+    """Of each sample row, the features of its text and of its swapped copy (null if it names no group), as numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def listed(texts: list[bytes]) -> list[bytes]:
+            doc, place = model.hits(Texts(texts))
+            return [p.astype("<i4").tobytes() for p in np.split(place, np.searchsorted(doc, np.arange(1, len(texts))))]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                other = [swapped(t, zlib.crc32(t)) for t in texts]
+                made = iter(listed([o for o in other if o is not None]) if any(o is not None for o in other) else [])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "label": part.column("label"), "own": pa.array(listed(texts), pa.binary()),
+                    "other": pa.array([None if o is None else next(made) for o in other], pa.binary())})
+    return run
 
 
-def _all_hits(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    rows, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(texts), 500):
-        doc, place = model.hits(Texts(texts[at:at + 500]))
-        rows.append(doc + at)
-        slots.append(place)
-    return np.concatenate(rows), np.concatenate(slots)
+def _flat(lists: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of rows' packed features."""
+    made = [np.frombuffer(x or b"", "<i4") for x in lists]
+    return np.repeat(np.arange(len(made)), [len(m) for m in made]), np.concatenate([np.zeros(0, "<i4"), *made]).astype(np.int64)
 
 
 def _scores(model: Model):
@@ -174,14 +262,17 @@ def _scores(model: Model):
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, most_features: int = 4_096, penalty: float = 1.0,
+    docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, most_features: int = 16_384, penalty: float = 1.0,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are not read): doc_id, held_out, score, predicted.
 
     ``labels`` has (doc_id, toxic); held-out rows are never learnt from. At most ``fit_rows`` labelled rows of
     each class, the first by a hash of doc_id, fit the model; the share of toxic rows is taken over all
-    labelled rows that aren't held out. Without rows of both classes the score is that share, or 0. A null
-    text counts as empty and scores the constant. No rows give no rows.
+    labelled rows that aren't held out. Of a doc_id that stands on several texts, the text with the smallest
+    hash is learnt from. The ``most_features`` features whose counts lie farthest from chance are weighed. Without
+    rows of both classes the score is that share, or 0. A null text counts as empty and scores the constant; a
+    text of any length is one row. No rows give no rows. To the driver go the features' numbers of the sample's
+    rows, ``most_features`` a row at most.
     """
     spark = docs.sparkSession
     texts = docs.select(
@@ -192,26 +283,31 @@ def score_toxicity(
     present = spark.read.parquet(path)
     seen = {r["_label"]: r["count"] for r in present.groupBy("_label").count().collect()}
     share = seen.get(1, 0) / max(sum(seen.values()), 1)
-    by_hash = [F.xxhash64("_labelled"), "_labelled"]
-    picked = present.where("_label = 1").orderBy(*by_hash).limit(fit_rows).union(
-        present.where("_label = 0").orderBy(*by_hash).limit(fit_rows))
+    first = [F.xxhash64("_labelled"), "_labelled"]
+    picked = present.where("_label = 1").orderBy(*first).limit(fit_rows).union(
+        present.where("_label = 0").orderBy(*first).limit(fit_rows))
     if not (seen.get(0) and seen.get(1)):
         scored = texts.select("doc_id", "held_out", F.lit(float(share)).alias("score"))
     else:
-        chosen = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled")).select(  # at most twice fit_rows rows
-            "doc_id", F.col("_label").cast("double").alias("label"), "text").dropDuplicates(["doc_id"])
+        by_hash = F.struct(F.xxhash64("text"), F.crc32("text"))
+        chosen = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled")).groupBy("doc_id").agg(  # at most twice fit_rows rows
+            F.first("_label").cast("double").alias("label"), F.min_by("text", by_hash).alias("text"))
         sample_path = write_scratch(chosen, "toxic-sample")
         sample = spark.read.parquet(sample_path)
-        n_toxic, n_clean = min(seen[1], fit_rows), min(seen[0], fit_rows)
+        n_toxic, n_all = float(min(seen[1], fit_rows)), float(min(seen[1], fit_rows) + min(seen[0], fit_rows))
+        part = n_toxic / n_all
+        both = F.col("toxic") + F.col("clean")
         counted = sample.mapInArrow(_counts, "code long, toxic long, clean long").groupBy("code").agg(
-            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
-        p, q = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
-        gain = F.col("toxic") * F.log(p / q)
-        best = counted.where(p > q).select("code", gain.alias("gain")).where("gain > 8").orderBy(
-            F.desc("gain"), "code").limit(most_features).collect()
-        rows = sample.orderBy("doc_id").collect()
-        codes = np.array([r["code"] for r in best], np.int64).view(np.uint64)
-        model = fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows]), codes, share, penalty)
+            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(both >= 2)
+        # how far the toxic count lies from its expectation, in deviations
+        far = F.abs(F.col("toxic") - both * part) / F.sqrt(both * part * (1 - part) * (1 - both / (n_all + 1)))
+        best = counted.select("code", far.alias("far")).orderBy(F.desc("far"), "code").limit(most_features).collect()
+        codes = np.sort(np.array([r["code"] for r in best], np.int64).view(np.uint64))
+        empty = Model(codes, np.zeros(len(codes)), 0.0)
+        rows = sample.mapInArrow(_sample_hits(empty), "doc_id long, label double, own binary, other binary").orderBy("doc_id").collect()
+        pairs = np.array([i for i, r in enumerate(rows) if r["other"] is not None], np.int64)
+        model = calibrated(codes, np.array([r["label"] for r in rows]), _flat([r["own"] for r in rows]),
+                           _flat([r["other"] for r in rows]), pairs, share, penalty)
         scored = texts.mapInArrow(_scores(model), "doc_id long, held_out boolean, score double")
         drop_scratch(spark, sample_path)
     drop_scratch(spark, path)

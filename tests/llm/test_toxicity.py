@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loghelm.llm.toxicity import fit, score_toxicity, swapped
 from loghelm.llm.words import Texts
@@ -23,8 +25,24 @@ def test_held_out_accuracy(spark):
     assert better > 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_held_out_accuracy_of_other_sizes(spark, size):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', size)}/documents.parquet")
+    labels = spark.read.parquet(f"{SF.replace('sf0.001', size)}/labels.parquet")
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    test = [(known[r["doc_id"]], r["score"]) for r in score_toxicity(docs, labels).collect() if r["held_out"] and r["doc_id"] in known]
+    toxic, clean = [s for t, s in test if t], [s for t, s in test if not t]
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.9
+    assert np.mean([s >= 0.5 for s in clean]) < 0.02
+
+
+def test_one_doc_id_on_two_texts_is_repeatable(spark, docs, labels):
+    twice = docs.union(docs.withColumn("text", F.concat(F.lit("moron "), F.reverse("text"))))
+    first, second = (sorted(score_toxicity(d, labels).collect(), key=str) for d in (twice.coalesce(1), twice.repartition(7)))
+    assert [(r["doc_id"], round(r["score"], 9)) for r in first] == [(r["doc_id"], round(r["score"], 9)) for r in second]
+
+
 def test_held_out_labels_are_not_read(spark, docs, labels):
-    from pyspark.sql import functions as F
     out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     other = labels.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     first, second = (sorted(score_toxicity(docs, x).collect(), key=str) for x in (labels, other))
@@ -49,10 +67,10 @@ def test_penalty_frees_neutral_mentions():
     codes = np.unique(np.concatenate([c for c in feature_codes(Texts([b"vile muslim christian jewish hindu buddhist atheist"]))]))
     neutral = Texts([b"a muslim here", b"a christian here"])
     spread = []
-    for penalty in (0.0, 20.0):
+    for penalty in (0.0, 20.0, 1.0):
         score = fit(texts, np.array(label, float), codes, 0.5, penalty).score(neutral)
         spread.append(abs(score[0] - score[1]))
-    assert spread[1] < 0.25 * spread[0]
+    assert spread[1] < 0.25 * spread[0] and spread[2] < 0.5 * spread[0]
 
 
 def test_one_class_and_no_rows(docs, rows, nothing, labels):
