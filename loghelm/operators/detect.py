@@ -19,18 +19,21 @@ def _shown(message: Column, length: int | None) -> Column:
     return F.substring(message, 1, length) if length else message
 
 
-def escalate(df: DataFrame, rule: CorrelationRule = SSH_BRUTEFORCE, scale: str = "live",
+def escalate(df: DataFrame, rule: CorrelationRule | list[CorrelationRule] = SSH_BRUTEFORCE, scale: str = "live",
              strict_reference: bool = False) -> DataFrame:
-    """Severity, threshold, forced decision, reason and threat score of correlated rows."""
+    """Severity, threshold, forced decision, reason and threat score of correlated rows.
+
+    With a table of rules, each row is judged by the rule that its column ``rule`` names.
+    """
     hot = F.col("correlation_triggered")
-    severity = (
-        F.when(hot & (F.col("active_event_count") >= rule.critical_count), "CRITICAL")
-        .when(hot, rule.severity)
-        .otherwise(scoring.severity(F.col("prob_anomaly"), scale))
-    )
+    own = scoring.severity(F.col("prob_anomaly"), scale)
+    table = rule if isinstance(rule, list) else [rule]
+    for r in table:
+        here = hot & (F.col("rule") == r.name) if isinstance(rule, list) else hot
+        own = F.when(here & (F.col("active_event_count") >= r.critical_count), "CRITICAL").when(here, r.severity).otherwise(own)
     cut = scoring.service_threshold(canonical_service(F.coalesce(F.col("service"), F.lit(""))), strict_reference)
     return (
-        df.withColumn("severity", severity)
+        df.withColumn("severity", own)
         .withColumn("threshold", cut)
         .withColumn("is_anomaly_pred", (hot | (F.col("prob_anomaly") >= F.col("threshold"))).cast("int"))
         .withColumn("escalation_reason", F.when(hot, ESCALATED).otherwise(NOT_ESCALATED))

@@ -195,6 +195,18 @@ SELECT event_id, src_ip, rule, pat AS matched_rule, CAST(coalesce(n, 0) AS BIGIN
 FROM named LEFT JOIN counted USING (event_id) WHERE rule IS NULL OR n IS NOT NULL"""
 
 
+RULES = _RULES
+RULES_RECORDS_SQL = _RULES_SQL.rpartition("SELECT event_id, src_ip, rule")[0] + f""", judged AS (
+SELECT named.*, coalesce(n, 0) AS n, rule IS NOT NULL AND coalesce(n, 0) >= {_by_rule(lambda r: r.correlation_threshold)} AS hot
+FROM named LEFT JOIN counted USING (event_id) WHERE rule IS NULL OR n IS NOT NULL),
+leveled AS (SELECT *, CASE WHEN hot AND n >= 5 THEN 'CRITICAL' WHEN hot THEN 'HIGH' ELSE {_scale(.75, .55)} END AS severity,
+  CAST(hot OR prob_anomaly >= {CUT} AS INT) AS is_anomaly_pred FROM judged),
+records AS (SELECT event_id, rule, prob_anomaly, severity, coalesce(pat, '') AS matched_rule, CAST(n AS BIGINT) AS active_event_count,
+  hot AS correlation_triggered, CASE severity WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 75 WHEN 'MEDIUM' THEN 50 ELSE 25 END AS threat_score
+  FROM leveled WHERE is_anomaly_pred = 1)
+"""
+
+
 @query("correlate_rule_table_all", _RULES_SQL)
 def correlate_rule_table_all(spark, sf):
     """All rows of the two-rule table: either rule's events, and those that match none."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loghelm.functions import text
+from loghelm.operators import detect
 from loghelm.operators.query import latest_actions
 from loghelm.plans import detect_plans as dp
 from loghelm.plans import sqltext as q
@@ -53,16 +54,36 @@ _STREAM_COLS = ["timestamp", "host", "service", "message", "prob_anomaly", "is_a
                 "matched_rule", "active_event_count", "correlation_triggered", "escalation_reason", "threat_score"]
 
 
-@query("stream_detection", dp.RECORDS_SQL + "SELECT " + ", ".join(_STREAM_COLS) + " FROM records")
-def stream_detection(spark, sf):
-    """Live detection as a stream; a far later row moves the watermark past the last event."""
-    src, out, state = (scratch_path(spark, n) for n in ("logs", "anomalies", "checkpoint"))
-    logs = table(spark, sf, "v_logs").select("event_id", "timestamp", "host", "service", "message", "prob_anomaly", "pid", "source")
+def _with_end(spark, logs, src):
+    """Write the logs as arrivals, then a far later row that moves the watermark past the last event."""
     _staged(logs, src)
     end = logs.agg((F.max("timestamp") + F.expr("INTERVAL 400 DAYS")).alias("end")).first()["end"]
     last = logs.limit(1).withColumn("timestamp", F.lit(end)).withColumn(
         "message", F.lit("end")).withColumn("prob_anomaly", F.lit(0.0))
     last.write.mode("append").parquet(src)
+
+
+@query("stream_rule_table", dp.RULES_RECORDS_SQL + "SELECT " + ", ".join(["event_id", "rule", *_STREAM_COLS[4:5], "severity", "matched_rule",
+       "active_event_count", "correlation_triggered", "threat_score"]) + " FROM records")
+def stream_rule_table(spark, sf):
+    """Live detection by a table of two rules as a stream."""
+    src, out, state = (scratch_path(spark, n) for n in ("logs", "anomalies", "checkpoint"))
+    logs = table(spark, sf, "v_logs").select("event_id", "timestamp", "host", "service", "message", "prob_anomaly", "pid", "source")
+    _with_end(spark, logs, src)
+    stream = jobs.correlate_stream(jobs.new_rows(spark, src, logs.schema), dp.RULES, "1 hour")
+    judged = detect.escalate(stream, dp.RULES).where("is_anomaly_pred = 1").select(
+        "event_id", "rule", "prob_anomaly", "severity", F.coalesce("matched_rule", F.lit("")).alias("matched_rule"),
+        "active_event_count", "correlation_triggered", "threat_score")
+    jobs.run_available(judged, jobs.plain_sink(out), state)
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("stream_detection", dp.RECORDS_SQL + "SELECT " + ", ".join(_STREAM_COLS) + " FROM records")
+def stream_detection(spark, sf):
+    """Live detection as a stream."""
+    src, out, state = (scratch_path(spark, n) for n in ("logs", "anomalies", "checkpoint"))
+    logs = table(spark, sf, "v_logs").select("event_id", "timestamp", "host", "service", "message", "prob_anomaly", "pid", "source")
+    _with_end(spark, logs, src)
     jobs.live_job(jobs.new_rows(spark, src, logs.schema), out, state, dp.WIDE_RULE, "1 hour")
     return spark.read.parquet(out).select(*_STREAM_COLS).withColumn("timestamp", text.iso(F.col("timestamp")))
 

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loghelm.functions import text
 from loghelm.operators import clean
-from loghelm.operators.correlate import MICROS, SSH_BRUTEFORCE, CorrelationRule, matched_pattern, micros
+from loghelm.operators.correlate import SSH_BRUTEFORCE, CorrelationRule, first_rule, matched_pattern, micros
 from loghelm.operators.dedup import row_key
 from loghelm.operators.detect import escalate
 from loghelm.operators.parse import parse_syslog, source_ip
 from loghelm.sources.writers import batch_sink
+from loghelm.streaming.correlation import counted_events
 
 
 def tail_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -56,78 +53,38 @@ def first_records(df: DataFrame, delay: str, ts_col: str = "timestamp") -> DataF
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["row_key"]).drop("event_time")
 
 
-_OUT = "id long, us long, active_event_count long, payload string"
-_STATE = ("sigs array<string>, lasts array<long>, times array<long>, "
-          "ids array<long>, at array<long>, wait_sig array<string>, wait_payload array<string>")
-
-
-def _correlator(rule: CorrelationRule):
-    """Per (rule, source): hold events until the watermark passes, then take them in order."""
-    gap, window = rule.dedup_seconds * MICROS, rule.window_seconds * MICROS
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sigs, lasts, times, ids, at, wait_sig, wait_payload = state.get if state.exists else ([], [], [], [], [], [], [])
-        last = dict(zip(sigs, lasts))
-        times = list(times)
-        waiting = list(zip(at, ids, wait_sig, wait_payload))
-        for pdf in batches:
-            waiting += list(zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["sig"].tolist(), pdf["payload"].tolist()))
-        waiting.sort(key=lambda w: (w[0], w[1]))
-        safe = state.getCurrentWatermarkMs() * 1000
-        out = []
-        taken = 0
-        for us, event_id, sig, payload in waiting:
-            if us > safe:
-                break
-            taken += 1
-            if sig in last and us - last[sig] <= gap:
-                continue
-            last[sig] = us
-            times = [t for t in times if us - t <= window]
-            times.append(us)
-            out.append((event_id, us, len(times), payload))
-        waiting = waiting[taken:]
-        last = {s: t for s, t in last.items() if safe - t <= gap}
-        times = [t for t in times if safe - t <= window]
-        if last or times or waiting:
-            state.update((list(last), list(last.values()), times, [w[1] for w in waiting], [w[0] for w in waiting],
-                          [w[2] for w in waiting], [w[3] for w in waiting]))
-            soonest = waiting[0][0] if waiting else max([*times, *last.values()]) + max(gap, window)
-            state.setTimeoutTimestamp(max(soonest // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["id", "us", "active_event_count", "payload"])
-
-    return run
-
-
-def correlate_stream(logs: DataFrame, rule: CorrelationRule = SSH_BRUTEFORCE, delay: str = "10 minutes",
+def correlate_stream(logs: DataFrame, rules: CorrelationRule | list[CorrelationRule] = SSH_BRUTEFORCE, delay: str = "10 minutes",
                      id_col: str = "event_id", ts_col: str = "timestamp") -> DataFrame:
-    """Streaming twin of ``correlate``: event time, late rows beyond ``delay`` dropped."""
+    """Streaming twin of ``correlate`` and ``correlate_rules``: event time, late rows beyond ``delay`` dropped.
+
+    An event belongs to the first rule it matches, named in ``rule``. Rows that match none pass on at once.
+    """
+    rules = rules if isinstance(rules, list) else [rules]
     message = F.lower(text.strip(F.coalesce(F.col("message"), F.lit(""))))
     timed = logs.withColumn("event_time", F.col(ts_col).cast("timestamp")).withWatermark("event_time", delay)
-    tagged = timed.withColumn("src_ip", source_ip(message)).withColumn("matched_rule", matched_pattern(message, rule))
+    tagged = timed.withColumns({
+        "src_ip": source_ip(message), "rule": first_rule(message, rules),
+        "matched_rule": F.coalesce(*[matched_pattern(message, r) for r in rules])})
     # Naming the event time keeps these tests above the watermark node, so every
     # row moves the watermark and a quiet rule cannot hold it back.
-    hit = F.when(F.col("event_time").isNotNull(), F.col("matched_rule"))
+    hit = F.when(F.col("event_time").isNotNull(), F.col("rule"))
     payload_cols = [*logs.columns, "src_ip", "matched_rule"]
     schema = T.StructType([f for f in tagged.schema.fields if f.name in payload_cols])
     narrow = tagged.where(hit.isNotNull()).select(
-        F.lit(rule.name).alias("rule"), F.col("src_ip").alias("ip"), F.col("event_time"),
+        "rule", F.col("src_ip").alias("ip"), F.col("event_time"),
         F.md5(F.concat_ws(":", "src_ip", message)).alias("sig"), micros(F.col(ts_col)).alias("us"),
         F.col(id_col).cast("long").alias("id"),
         F.to_json(F.struct(*payload_cols), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("payload"))
-    kept = narrow.groupBy("rule", "ip").applyInPandasWithState(
-        _correlator(rule), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    seen = kept.select(
-        F.from_json("payload", schema, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("p"), "active_event_count"
-    ).select("p.*", "active_event_count")
+    seen = counted_events(narrow, rules).select(
+        F.from_json("payload", schema, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("p"), "rule", "active_event_count"
+    ).select("p.*", "rule", "active_event_count")
     rest = tagged.where(hit.isNull()).drop("event_time").withColumn("active_event_count", F.lit(0).cast("long"))
-    return rest.unionByName(seen).withColumn("correlation_triggered", F.col("active_event_count") >= rule.correlation_threshold)
+    threshold = F.coalesce(*[F.when(F.col("rule") == r.name, r.correlation_threshold) for r in rules])
+    return rest.unionByName(seen).withColumn(
+        "correlation_triggered", F.coalesce(F.col("active_event_count") >= threshold, F.lit(False)))
 
 
-def live_job(logs: DataFrame, out: str, checkpoint: str, rule: CorrelationRule = SSH_BRUTEFORCE,
+def live_job(logs: DataFrame, out: str, checkpoint: str, rule: CorrelationRule | list[CorrelationRule] = SSH_BRUTEFORCE,
              delay: str = "10 minutes", ts_col: str = "timestamp") -> None:
     """Scored log stream to the canonical anomaly table."""
     usable = logs.where(clean.has_text(F.col("message")))

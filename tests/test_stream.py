@@ -36,6 +36,24 @@ def test_micro_batches_equal_the_batch_answer(spark, tmp_path):
     assert want and got == want
 
 
+def test_one_source_sends_200_000_events_within_the_delay(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    n, scan = 200_000, co.CorrelationRule("port_scan", ("port scan",), 20, 5, 2)
+    busy = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.pmod(F.xxhash64("id"), F.lit(540_000_000)))
+        .cast("timestamp_ntz").alias("timestamp"), F.lit("h").alias("host"), F.lit("sshd").alias("service"),
+        F.concat(F.when(F.col("id") % 3 == 0, "port scan ").otherwise("failed password "), F.pmod(F.hash("id"), F.lit(60)), F.lit(" from 10.0.0.1"))
+        .alias("message"), F.lit(0.1).alias("prob_anomaly"), F.lit(1).alias("pid"), F.lit("live").alias("source"))
+    busy.repartition(4).write.parquet(src)
+    rows(spark, [(-1, "2024-01-01 01:00:00", "end", 0.0)]).write.mode("append").parquet(src)
+    stream = jobs.correlate_stream(jobs.new_rows(spark, src, busy.schema, files_per_batch=2), [co.SSH_BRUTEFORCE, scan], "10 minutes")
+    jobs.run_available(stream.where("rule IS NOT NULL"), jobs.plain_sink(out), state)
+    key = ["event_id", "rule", "active_event_count", "correlation_triggered"]
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(*key).collect())
+    want = sorted(tuple(r) for r in co.correlate_rules(busy, [co.SSH_BRUTEFORCE, scan]).where("rule IS NOT NULL").select(*key).collect())
+    assert len(want) > 1000 and {r[1] for r in want} == {"ssh_bruteforce", "port_scan"} and got == want
+
+
 def test_incremental_read_sees_each_file_once(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
     for i in range(2):
