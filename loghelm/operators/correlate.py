@@ -20,6 +20,9 @@ from loghelm.operators.parse import source_ip
 from loghelm.operators.ranking import running_totals
 
 MICROS = 1_000_000
+NONE = -(1 << 62)  # no accepted event
+FAN_OUT = 1024  # blocks to a range
+MIN_MICROS, MAX_MICROS = -62_135_596_800 * MICROS, 253_402_300_800 * MICROS  # years 1 to 9999
 
 
 @dataclass(frozen=True)
@@ -113,7 +116,7 @@ def _chains(pdf: pd.DataFrame, block: int, gap: int):
 
 
 def _summarise(block: int, gap: int):
-    """Per block: for every possible entry point, the last accepted event."""
+    """Per block that events can reach into or out of: for every possible entry point, the last accepted event that reaches out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches, ["sig", "block"]):
@@ -128,52 +131,147 @@ def _summarise(block: int, gap: int):
             first = index == starts[group]
             before = np.where(first, -1, offset[np.maximum(index - 1, 0)])
             entry = first | (before < gap)
-            exit_at = pdf["us"].to_numpy()[last]
             tail = offset[last] >= block - gap
+            exit_at = np.where(tail, pdf["us"].to_numpy()[last], NONE)
             linked = (offset[starts] < gap)[group] | tail
             changed = np.ones(len(pdf), dtype=bool)
             changed[1:] = first[1:] | (exit_at[1:] != exit_at[:-1])
             keep = entry & linked & changed
             out = pd.DataFrame({
                 "sig": pdf["sig"].to_numpy()[keep], "block": pdf["block"].to_numpy()[keep],
-                "above": before[keep], "exit_us": pd.array(exit_at[keep], dtype="Int64")})
+                "above": before[keep], "exit_us": exit_at[keep]})
             yield out
             final = ends - 1
             none = final[offset[final] < gap]
             yield pd.DataFrame({
                 "sig": pdf["sig"].to_numpy()[none], "block": pdf["block"].to_numpy()[none],
-                "above": offset[none], "exit_us": pd.array([pd.NA] * len(none), dtype="Int64")})
+                "above": offset[none], "exit_us": np.full(len(none), NONE)})
 
     return run
 
 
-def _carry(block: int, gap: int):
-    """Walk the blocks of each key in order, handing over the last accepted event."""
+class _Children:
+    """Step functions of the children of ranges, one row a step, sorted by range, child and ``above``.
+
+    A child's function takes the last event accepted before it and gives the last one accepted by its end: the exit of
+    its last step whose ``above`` does not exceed the offset up to which that earlier event suppresses.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, size: int, base: int, gap: int, fan_out: int):
+        sig, group, child = pdf["sig"].to_numpy(), pdf["range"].to_numpy(), pdf["child"].to_numpy()
+        fresh = np.ones(len(pdf), dtype=bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (group[1:] != group[:-1])
+        new = fresh.copy()
+        new[1:] |= child[1:] != child[:-1]
+        self.first = np.flatnonzero(new)  # first step of each child
+        self.group = (np.cumsum(fresh) - 1)[self.first]
+        self.child, self.range, self.sig = child[self.first], group[self.first], sig[self.first]
+        self.place = self.child - self.range * fan_out
+        self.groups = int(fresh.sum())
+        self.leading = np.searchsorted(self.group, np.arange(self.groups))  # first child of each range
+        self.rank = np.arange(len(self.first)) - self.leading[self.group]
+        self.gap, self.start, self.width = gap, base + self.child * size, gap + 2  # an offset above lies below the gap
+        self.above, self.exit = pdf["above"].to_numpy(), pdf["exit_us"].to_numpy()
+        self.steps = (np.cumsum(new) - 1) * self.width + self.above + 1
+
+    def limit(self, children: np.ndarray, carry: np.ndarray) -> np.ndarray:
+        """Offset in each child up to which the event carried into it suppresses; -1 for none."""
+        return np.where(carry == NONE, -1, np.maximum(carry + self.gap - self.start[children], -1))
+
+    def apply(self, children: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.steps, children * self.width + limit + 1, side="right") - 1
+        return self.exit[at]
+
+    def following(self, rank: int) -> np.ndarray:
+        """The children of this rank, at most one a range."""
+        return np.flatnonzero(self.rank == rank)
+
+    def adjoins(self, children: np.ndarray) -> np.ndarray:
+        """Whether the child just before is there too; no event reaches over one that is not."""
+        return (self.rank[children] > 0) & (self.child[children] == self.child[children - 1] + 1)
+
+
+def _compose(size: int, base: int, gap: int, fan_out: int):
+    """Step functions of ranges from those of their children: every entry of the first child is followed to the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sig = at = limit = exit_us = None
-        carried = None
-        found: list[tuple] = []
-        for pdf in batches:
-            rows = zip(pdf["sig"], pdf["block"], pdf["above"], pdf["exit_us"].astype("Int64"))
-            for row_sig, row_block, above, row_exit in rows:
-                if row_sig != sig or row_block != at:
-                    carried = exit_us if row_sig == sig and at is not None and row_block == at + 1 else None
-                    if carried is not None and carried + gap < row_block * block:
-                        carried = None
-                    sig, at, exit_us = row_sig, row_block, None
-                    limit = -1 if carried is None else carried + gap - row_block * block
-                    if carried is not None:
-                        found.append((sig, at, carried))
-                if above <= limit:
-                    exit_us = None if pd.isna(row_exit) else int(row_exit)
-            if found:
-                yield pd.DataFrame(found, columns=["sig", "block", "carry_us"])
-                found = []
+        for pdf in _whole_groups(batches, ["sig", "range"]):
+            c = _Children(pdf, size, base, gap, fan_out)
+            owner = np.repeat(np.arange(len(c.first)), np.diff(np.append(c.first, len(pdf))))
+            # a range that lacks its first child has one entry only
+            starts = (c.rank[owner] == 0) & ((c.place[owner] == 0) | (c.above == -1))
+            group, above, exit_us = c.group[owner[starts]], c.above[starts], c.exit[starts]
+            for rank in range(1, int(c.rank.max(initial=0)) + 1):
+                children = c.following(rank)
+                of = np.full(c.groups, -1)
+                of[c.group[children]] = children
+                at = np.flatnonzero(of[group] >= 0)
+                here = of[group[at]]
+                exit_us[at] = c.apply(here, c.limit(here, np.where(c.adjoins(here), exit_us[at], NONE)))
+                same = np.zeros(len(group), dtype=bool)
+                same[1:] = (group[1:] == group[:-1]) & (exit_us[1:] == exit_us[:-1])
+                group, above, exit_us = group[~same], above[~same], exit_us[~same]
+            last = np.append(c.leading[1:], len(c.first)) - 1
+            exit_us = np.where(c.place[last][group] == fan_out - 1, exit_us, NONE)
+            lead = c.leading[group]
+            # a range that nothing reaches into or out of is as good as none
+            linked = (c.place[lead] == 0) | (np.bincount(group[exit_us != NONE], minlength=c.groups)[group] > 0)
+            yield pd.DataFrame({"sig": c.sig[lead], "block": c.range[lead], "above": above, "exit_us": exit_us})[linked]
 
     return run
 
 
+def _hand_down(size: int, base: int, gap: int, fan_out: int):
+    """For each child, the last event accepted before it, if it reaches in, from the one carried into its range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches, ["sig", "range"]):
+            c = _Children(pdf, size, base, gap, fan_out)
+            carry = np.where(c.place == 0, pdf["carry_us"].to_numpy()[c.first], NONE)
+            for rank in range(int(c.rank.max(initial=0)) + 1):
+                children = c.following(rank)
+                if rank:
+                    before = children - 1
+                    exit_us = c.apply(before, c.limit(before, carry[before]))
+                    carry[children] = np.where(c.adjoins(children), exit_us, NONE)
+                carry[children] = np.where(c.limit(children, carry[children]) >= 0, carry[children], NONE)
+            known = carry != NONE
+            yield pd.DataFrame({"sig": c.sig[known], "block": c.child[known], "carry_us": carry[known]})
+
+    return run
+
+
+def _carried(summary: DataFrame, gap: int, block: int) -> DataFrame:
+    """(sig, block, carry_us): the last event accepted before each block, where it reaches into it.
+
+    Blocks are joined to ranges, these to ranges of ranges, until one spans all times a timestamp can hold; each
+    range is composed in one task whatever its signature, and carries are handed down the same way.
+    """
+    low, high = MIN_MICROS // block, MAX_MICROS // block
+    schema, base = "sig binary, block long, above long, exit_us long", low * block
+    levels: list[tuple[DataFrame, int]] = []
+    size, spans, rows = block, high - low + 1, summary.withColumn("block", F.col("block") - low)
+    while True:
+        ranged = rows.select("sig", F.floor(F.col("block") / FAN_OUT).cast("long").alias("range"), F.col("block").alias("child"),
+                             "above", "exit_us").repartition("sig", "range")
+        levels.append((ranged, size))
+        spans = -(-spans // FAN_OUT)
+        if spans <= 1:
+            break
+        rows = ranged.sortWithinPartitions("sig", "range", "child", "above").mapInPandas(_compose(size, base, gap, FAN_OUT), schema)
+        size *= FAN_OUT
+    carries = None
+    for ranged, size in reversed(levels):
+        met = ranged.withColumn("carry_us", F.lit(NONE))
+        if carries is not None:
+            known = carries.select("sig", F.col("block").alias("range"), F.col("carry_us").alias("known")).hint("merge")
+            met = ranged.join(known, ["sig", "range"], "left").withColumn("carry_us", F.coalesce("known", F.lit(NONE))).drop(
+                "known").repartition("sig", "range")
+        carries = met.sortWithinPartitions("sig", "range", "child", "above").mapInPandas(
+            _hand_down(size, base, gap, FAN_OUT), "sig binary, block long, carry_us long")
+    return carries.withColumn("block", F.col("block") + low)
+
+
 def _mark(block: int, gap: int):
     """Follow each block's chain from its entry and keep the events on it."""
 
@@ -203,9 +301,9 @@ def accepted_events(matched: DataFrame, gap_seconds: int, block_micros: int) ->
     Input: sig, rule, ip, us (microseconds), id. An event is dropped when the
     last accepted event of its signature lies at most ``gap_seconds`` back, so
     the answer depends on the whole chain. Each (signature, block) is solved on
-    its own for every way the block before it may end; a pass over the block
-    ends of each signature then settles which one is true. Events without a
-    time are on no chain and are left out.
+    its own for every way the block before it may end. These answers are composed
+    over ranges of blocks, and the true ends are handed back down, so no task
+    walks a whole signature. Events without a time are on no chain and are left out.
     """
     gap = gap_seconds * MICROS
     if block_micros <= gap:
@@ -220,8 +318,7 @@ def accepted_events(matched: DataFrame, gap_seconds: int, block_micros: int) ->
     # and reuses it; a narrower first pass would scan the source a second time.
     summary = firsts.sortWithinPartitions("sig", "block", "us").mapInPandas(
         _summarise(block_micros, gap), "sig binary, block long, above long, exit_us long")
-    carries = summary.repartition("sig").sortWithinPartitions("sig", "block", "above").mapInPandas(
-        _carry(block_micros, gap), "sig binary, block long, carry_us long")
+    carries = _carried(summary, gap, block_micros)
     return (
         firsts.join(carries, ["sig", "block"], "left")
         .repartition("sig", "block")

@@ -40,6 +40,30 @@ def test_blocks_hand_over_the_chain(spark, seed, spread, gap, block):
     assert accepted(spark, times, gap, block * S) == plain(times, gap)
 
 
+@pytest.mark.parametrize("fan_out", [2, 3, 16])
+@pytest.mark.parametrize("gap, block", [(15, 20), (7, 8), (15, 64)])
+def test_ranges_of_ranges_hand_over_the_chain(spark, monkeypatch, fan_out, gap, block):
+    """Beats that never merge, gaps of whole ranges, and times on both sides of 1970, over many levels."""
+    monkeypatch.setattr(co, "FAN_OUT", fan_out)
+    monkeypatch.setattr(co, "MIN_MICROS", -4000 * S)
+    monkeypatch.setattr(co, "MAX_MICROS", 9000 * S)
+    rng = random.Random(fan_out * block)
+    times = [("a", i * 10 * S) for i in range(-300, 700)] + [("b", i * S // 2) for i in range(-200, 900)]
+    times += [("c", rng.randrange(-3900, 8900) * S) for _ in range(500)] + [("d", i * gap * S + rng.randrange(2)) for i in range(300)]
+    assert accepted(spark, times, gap, block * S) == plain(times, gap)
+
+
+def test_no_step_of_the_carry_is_keyed_by_signature_alone(spark):
+    import io
+    from contextlib import redirect_stdout
+    df = spark.createDataFrame([(bytearray(b"a"), "r", "ip", 0, 1)], "sig binary, rule string, ip string, us long, id long")
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        co.accepted_events(df, 15, 480 * S).explain("formatted")
+    keys = [line for line in shown.getvalue().splitlines() if "hashpartitioning(" in line]
+    assert keys and not any("hashpartitioning(sig#" in k and k.split("hashpartitioning(")[1].count("#") == 1 for k in keys)
+
+
 def test_regular_beats_that_never_merge(spark):
     times = [("a", i * 10 * S) for i in range(500)] + [("b", i * S // 3) for i in range(900)]
     assert accepted(spark, times, 15, 47 * S) == plain(times, 15)
