@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loghelm.operators.ranking import range_bucket, running_totals
+from loghelm.operators.ranking import ranged, running_totals
 
 # Threshold grids (first, steps of 0.05), gate and defaults.
 GRIDS = {
@@ -102,8 +102,8 @@ def score_steps(df: DataFrame, by: list[str]) -> DataFrame:
     points = df.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     return running_totals(
-        points, by, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")},
-        range_bucket(points, "score", descending=True), {"all_pos": "tp", "all_neg": "fp"})
+        ranged(points, by, "score", descending=True), by, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")},
+        F.col("_range"), {"all_pos": "tp", "all_neg": "fp"}).drop("_range")
 
 
 def pr_curve(df: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
@@ -230,12 +230,12 @@ def percentiles(df: DataFrame, by: list[str], points: list[int] | None = None, d
     """Exact percentiles, linear between neighbours.
 
     Distinct scores carry their rank range, so each wanted rank is found in
-    one row; nothing is sorted as a whole.
+    one row; nothing is sorted as a whole. Rows without a score take part in none.
     """
     points = points or PERCENTILES
-    points_n = df.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"))
+    points_n = df.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"))
     steps = running_totals(
-        points_n, by, [F.col("score")], {"upto": F.col("n")}, range_bucket(points_n, "score"), {"total": "upto"})
+        ranged(points_n, by, "score"), by, [F.col("score")], {"upto": F.col("n")}, F.col("_range"), {"total": "upto"})
     wanted = F.explode(F.array(*[F.lit(p) for p in points])).alias("percentile")
     ranked = steps.select(*by, "score", "n", "upto", "total", wanted)
     place = F.col("percentile") / 100 * (F.col("total") - 1)

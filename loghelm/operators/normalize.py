@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loghelm.functions import text
-from loghelm.operators.ranking import range_bucket, running_totals
+from loghelm.operators.ranking import ranged, running_totals
 from loghelm.schemas import ANOMALY_SCHEMA, STORED_FIELDS
 
 # Header synonyms of uploaded tables, tried in this order.
@@ -233,8 +233,7 @@ def labelled_corpus(df: DataFrame, dataset: str, positive: list[str] = POSITIVE_
 
 def numbered(df: DataFrame, order: str, name: str = "timestamp") -> DataFrame:
     """0-based position by ``order``, without moving all rows to one task."""
-    bucket = range_bucket(df, order)
-    ranked = running_totals(df, [], [F.col(order)], {name: F.lit(1)}, bucket)
+    ranked = running_totals(ranged(df, [], order), [], [F.col(order)], {name: F.lit(1)}, F.col("_range")).drop("_range")
     return ranked.withColumn(name, F.col(name) - 1)
 
 

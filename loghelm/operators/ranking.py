@@ -12,33 +12,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 512
+PER_OCTAVE = 64
+ROWS_EACH = 1_000_000
 
 
-def default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(MAX_BUCKETS, parts))
+def order_scale(c: Column) -> Column:
+    """A number that never falls as ``c`` rises: each power of two takes one unit, evenly filled.
 
-
-def range_bucket(df: DataFrame, column: str, buckets: int | None = None, descending: bool = False) -> Column:
-    """Bucket number that grows with the column, cut at its approximate quantiles.
-
-    The cut points are at most ``buckets`` numbers; the bucket is found by a
-    balanced CASE tree, so no join is needed. Rows of equal value share a
-    bucket: aggregate repeated values first.
+    It is what the leading bits of a floating-point number say. NaN comes last, as in an ordering.
     """
-    n = buckets or default_buckets(df)
-    shares = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * n).alias("cuts")).first()
-    cuts = sorted(set(row["cuts"] or []))
+    size = F.abs(c.cast("double"))
+    power = F.least(F.floor(F.log2(size)), F.lit(1023))
+    place = F.when(size == 0, F.lit(0.0)).when(size == float("inf"), F.lit(2200.0)).otherwise(
+        power + size / F.pow(F.lit(2.0), power) + F.lit(1075.0))
+    return F.when(F.isnan(size), F.lit(2300.0)).otherwise(F.when(c < 0, -place).otherwise(place))
 
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(-lo if descending else lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) <= cuts[mid], pick(lo, mid)).otherwise(pick(mid + 1, hi))
 
-    return pick(0, len(cuts))
+def ranged(df: DataFrame, by: list[str], column: str, descending: bool = False, per_octave: int = PER_OCTAVE,
+           rows_each: int = ROWS_EACH, name: str = "_range") -> DataFrame:
+    """Add ``name``: buckets that rise with a number column within ``by``, of about ``rows_each`` rows where values differ.
+
+    Rows are counted in fixed cells, ``per_octave`` for each power of two. A cell that holds more than ``rows_each`` is
+    cut into even parts between its own extremes. The cells are counted in one aggregate and joined back; nothing runs
+    while the plan is built, and no number of buckets is fixed. Rows of equal value share a bucket: aggregate
+    repeated values first. Null values have a bucket of their own, the first in a rising order.
+    """
+    keys = [*by, "_cell"]
+    value = F.col(column)
+    celled = df.withColumn("_cell", F.floor(order_scale(value) * per_octave).cast("long"))
+    cells = celled.groupBy(*keys).agg(
+        F.min(column).alias("_low"), F.max(column).alias("_high"), F.ceil(F.count(F.lit(1)) / rows_each).alias("_parts"))
+    right = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_low", "_high", "_parts").where("_parts > 1")
+    met = celled.join(right, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+    span = lambda x: F.coalesce(F.try_subtract(x, F.col("_low")).cast("double"), x.cast("double") - F.col("_low").cast("double"))
+    share = F.try_divide(span(value), span(F.col("_high")))
+    part = F.coalesce(F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1), F.lit(0)).cast("long")
+    sign = -1 if descending else 1
+    return met.select(*df.columns, F.struct((F.col("_cell") * sign).alias("cell"), (part * sign).alias("part")).alias(name))
 
 
 def hash_bucket(hex_digest: Column, rows: int = 0, rows_each: int = 1_000_000) -> Column:

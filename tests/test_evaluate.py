@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loghelm.operators import evaluate as ev
 from loghelm.operators import split
-from loghelm.operators.ranking import hash_bucket, range_bucket, running_totals
+from loghelm.operators.ranking import hash_bucket, order_scale, ranged, running_totals
 
 
 def scores(spark, rows):
@@ -71,7 +72,7 @@ def test_running_totals_with_a_hot_key_and_nulls(spark):
     rng = random.Random(6)
     rows = [(None if rng.random() < 0.2 else "hot", i, rng.randrange(5)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, o int, v int")
-    out = running_totals(df, ["k"], [F.col("o")], {"run": F.col("v")}, range_bucket(df, "o"), {"all": "run"}).collect()
+    out = running_totals(ranged(df, [], "o"), ["k"], [F.col("o")], {"run": F.col("v")}, F.col("_range"), {"all": "run"}).collect()
     assert len(out) == 500
     seen = {}
     for r in sorted(out, key=lambda r: r["o"]):
@@ -96,3 +97,52 @@ def test_hash_bucket_follows_the_digest(spark):
     df = spark.range(300).select(F.md5(F.col("id").cast("string")).alias("h")).select("h", hash_bucket(F.col("h")).alias("b"))
     rows = [(r["h"], r["b"]) for r in df.orderBy("h").collect()]
     assert [b for _, b in rows] == sorted(b for _, b in rows)
+
+
+def odd_numbers():
+    rng = random.Random(11)
+    tight = [0.5 + rng.randrange(1000) * 1e-9 for _ in range(400)]
+    wide = [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1070, 1020) for _ in range(300)]
+    return tight + wide + [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 5e-324, 1.7976931348623157e308, 0.1, 0.9999999999999999, 1.0]
+
+
+def test_order_scale_never_falls(spark):
+    import math
+    rows = spark.createDataFrame([(x,) for x in odd_numbers()], "x double").select("x", order_scale(F.col("x")).alias("y")).collect()
+    rows = sorted(((r["x"], r["y"]) for r in rows), key=lambda r: (math.isnan(r[0]), r[0]))
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+
+
+@pytest.mark.parametrize("per_octave, rows_each", [(16, 5), (4096, 50), (1, 1), (64, 1_000_000)])
+def test_ranks_by_cells_of_any_size(spark, per_octave, rows_each):
+    """Buckets rise with the value; a model whose scores lie within a millionth is cut like any other."""
+    numbers = [x for x in odd_numbers() if x == x]
+    df = spark.createDataFrame([(m, x) for m in ("a", "b") for x in sorted(set(numbers))], "model string, x double").repartition(5)
+    cut = ranged(df, ["model"], "x", per_octave=per_octave, rows_each=rows_each)
+    rows = sorted((r["model"], r["x"], tuple(r["_range"])) for r in cut.collect())
+    assert all(a[2] <= b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+    falling = sorted((r["model"], r["x"], tuple(r["_range"])) for r in ranged(df, ["model"], "x", True, per_octave, rows_each).collect())
+    assert all(a[2] >= b[2] for a, b in zip(falling, falling[1:]) if a[0] == b[0])
+    if rows_each <= 50:
+        tight = Counter(r[2] for r in rows if r[0] == "a" and 0.5 <= r[1] < 0.500001)
+        assert len(tight) >= 200 / rows_each and max(tight.values()) <= 4 * rows_each
+    out = running_totals(cut, ["model"], [F.col("x")], {"place": F.lit(1)}, F.col("_range")).collect()
+    want = {x: i for i, x in enumerate(sorted({r[1] for r in rows}), 1)}
+    assert all(r["place"] == want[r["x"]] for r in out)
+
+
+def test_whole_numbers_beyond_doubles_are_ranked(spark):
+    ids = [2**62 + i for i in range(200)] + [-(2**62) - i for i in range(200)] + [-1, 0, 1]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    out = running_totals(ranged(df, [], "id", rows_each=10), [], [F.col("id")], {"place": F.lit(1)}, F.col("_range")).collect()
+    assert {r["id"]: r["place"] for r in out} == {x: i for i, x in enumerate(sorted(ids), 1)}
+
+
+def test_plans_of_curves_run_no_job(spark):
+    from loghelm.operators import evaluate as ev
+    df = spark.createDataFrame([("a", 0.1, 1), ("a", None, 0)], "model string, score double, label int")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    for plan in (ev.pr_curve(df, ["model"]), ev.roc_curve(df, ["model"]), ev.percentiles(df, ["model"]), ev.curve_areas(df, ["model"])):
+        assert plan.columns
+    assert len(tracker.getJobIdsForGroup(None)) == before
