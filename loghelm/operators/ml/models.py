@@ -9,7 +9,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from loghelm.functions.scoring import keyword_score
 from loghelm.operators import split
 from loghelm.operators.evaluate import confusion_counts, cross_validated, metrics
+from loghelm.operators.ml.forest import fit_forest
+from loghelm.operators.ml.linear import fit_squared_hinge
 from loghelm.operators.ml.stages import feature_names
 
-# Search spaces. Depth "none" and 40 become 30, the deepest tree
-# Spark grows; a minimum split size has no counterpart.
-GRID = {"numTrees": [100, 200], "maxDepth": [30, 20], "minInstancesPerNode": [1, 2]}
+# Search spaces. Without a depth a tree grows until its leaves are pure.
+GRID = {"numTrees": [100, 200], "maxDepth": [None, 20, 40], "minInstancesPerSplit": [2, 5], "minInstancesPerNode": [1, 2]}
 RANDOM_SPACE = {
     "numTrees": [100, 200, 300],
     "maxDepth": [10, 20, 30],
@@ -33,32 +34,33 @@ RANDOM_DRAWS = 10
 SEED = 42
 
 
-def classifier(name: str, rows: float = 1.0, **params):
-    """Unfitted estimator with balanced weights in ``weight``.
+def logistic(rows: float, **params) -> LogisticRegression:
+    """Unfitted regression with balanced weights in ``weight``.
 
-    The penalty 1 / (C * sum of weights) with C = 1 matches a solver that sums
-    its loss instead of averaging it. The linear SVM minimises the hinge loss.
+    The penalty 1 / (C * sum of weights) with C = 1 matches a solver that sums its loss instead of averaging it.
     """
-    shared = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    if name == "random_forest":
-        merged = {"numTrees": 200, "maxDepth": 30, "featureSubsetStrategy": "sqrt", "seed": SEED, **params}
-        return RandomForestClassifier(**shared, **merged)
-    if name == "logreg":
-        return LogisticRegression(**shared, **{"maxIter": 500, "standardization": False, "regParam": 1.0 / rows, **params})
-    if name == "linear_svm":
-        return LinearSVC(**shared, **{"maxIter": 100, "standardization": False, "regParam": 1.0 / rows, **params})
-    raise ValueError(f"unknown model {name}")
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", **{
+        "maxIter": 500, "standardization": False, "regParam": 1.0 / rows, **params})
 
 
 def fit(train: DataFrame, name: str, **params):
     """Fit on (features, label); class weights are balanced.
 
-    The rows are kept for the fit, whose passes would otherwise redo the text
+    A forest reads a bounded sample. For the others the rows are kept, as their passes would otherwise redo the text
     features every time.
     """
+    if name == "random_forest":
+        return fit_forest(train, **{"seed": SEED, **params})
     kept = train.select("label", "features").persist()
-    rows = kept.count()
-    model = classifier(name, float(rows), **params).fit(split.with_weights(kept, "label"))
+    weighted = split.with_weights(kept, "label")
+    if name == "logreg":
+        model = logistic(float(kept.count()), **params).fit(weighted)
+    elif name == "linear_svm":
+        raw = F.unwrap_udt(F.col("features"))
+        width = kept.select(F.max(F.coalesce(raw["size"], F.size(raw["values"])))).first()[0]
+        model = fit_squared_hinge(weighted, int(width or 0), **params)
+    else:
+        raise ValueError(f"unknown model {name}")
     kept.unpersist()
     return model
 
@@ -71,6 +73,8 @@ def raw_score(df: DataFrame) -> Column:
 
 
 def score(model, df: DataFrame, name: str = "score") -> DataFrame:
+    if hasattr(model, "add_score"):
+        return model.add_score(df, name)
     out = model.transform(df)
     return out.withColumn(name, raw_score(out)).drop("rawPrediction", "probability", "prediction")
 
@@ -187,17 +191,21 @@ def random_search(train: DataFrame, id_col: str, space: dict | None = None, draw
     return _search(train, id_col, chosen, k, parallelism, fit_rows)
 
 
-def cross_predict(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5, fit_rows: int | None = None) -> DataFrame:
+def cross_predict(df: DataFrame, id_col: str, names: dict[str, dict], k: int = 5, fit_rows: int | None = None,
+                  parallelism: int = 4) -> DataFrame:
     """Out-of-fold (id, label, score, model, fold) of every model and row; a fit reads at most ``fit_rows`` rows."""
     folded = split.folds(df.select(id_col, "label", "features"), "label", id_col, k).persist()
-    sides, parts = _fit_sides(folded, id_col, fit_rows), []
-    for name, params in names.items():
-        for fold, side in sides.items():
-            model = fit(side, name, **params)
-            held = score(model, folded.where(F.col("fold") == fold))
-            cut = 0.0 if name == "linear_svm" else 0.5
-            parts.append(held.select(F.col(id_col).alias("id"), "label", (F.col("score") - cut + 0.5).alias("score"),
-                                     F.lit(name).alias("model"), "fold"))
+    sides = _fit_sides(folded, id_col, fit_rows)
+
+    def held_out(task: tuple[str, int]) -> DataFrame:
+        name, fold = task
+        model = fit(sides[fold], name, **names[name])
+        held = score(model, folded.where(F.col("fold") == fold))
+        cut = 0.0 if name == "linear_svm" else 0.5
+        return held.select(F.col(id_col).alias("id"), "label", (F.col("score") - cut + 0.5).alias("score"), F.lit(name).alias("model"), "fold")
+
+    with ThreadPool(parallelism) as pool:  # fits of one model wait for others, not for their turn
+        parts = pool.map(held_out, [(name, fold) for name in names for fold in sides], chunksize=1)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -225,7 +233,7 @@ def transfer(df: DataFrame, dataset: str, name: str = "random_forest", **params)
 def importances(model, features: PipelineModel, top: int = 10) -> DataFrame:
     """Most important features by name."""
     names = feature_names(features)
-    values = model.featureImportances.toArray()
+    values = model.importances
     rows = sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda r: (-r[1], r[0]))[:top]
     return _session().createDataFrame(rows, "feature string, importance double")
 

@@ -52,7 +52,7 @@ def retrain(
     prepared = stages.featurise(train, features).select("id", "label", "features")
     prepared = cut_lineage(split.bounded(prepared, "id", fit_rows) if fit_rows else prepared)
     _, best, _ = models.grid_search(prepared, "id", space, folds)
-    typed = {k: (int(v) if v.isdigit() else v) for k, v in best.items()}
+    typed = {k: (int(v) if v.isdigit() else None if v == "None" else v) for k, v in best.items()}
     model = models.calibrate(prepared, "random_forest", "id", folds, **typed)
     scored = model.transform(stages.featurise(test, features)).select("id", "label", "score").withColumn("model", F.lit("candidate"))
     scored = scored.persist()

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -149,3 +150,85 @@ def test_components_of_texts_without_a_label(spark, sf):
     assert None in found.values()
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     assert len(found) == events + spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_margins_equal_a_dense_solution(spark):
+    """Squared hinge with a penalised intercept, against plain Newton steps on a small dense problem."""
+    from pyspark.ml.linalg import Vectors
+
+    from loghelm.operators.ml.linear import LinearModel, fit_squared_hinge
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 12)) * (rng.random((300, 12)) < 0.4)
+    y = np.where(x[:, 0] - x[:, 1] + 0.6 * rng.standard_normal(300) > 0.3, 1.0, -1.0)
+    weight = np.where(y > 0, 1.7, 0.6)
+    z, w = np.column_stack([x, np.ones(300)]), np.zeros(13)
+    for _ in range(200):
+        live = y * (z @ w) < 1
+        a = z[live] * weight[live, None]
+        grad = w - 2 * a.T @ (y[live] - z[live] @ w)
+        w = w - np.linalg.solve(np.eye(13) + 2 * a.T @ z[live], grad)
+    rows = [(i, int(t > 0), float(c), Vectors.dense(v.tolist()) if i % 2 else Vectors.sparse(12, [(j, float(u)) for j, u in enumerate(v) if u]))
+            for i, (v, t, c) in enumerate(zip(x, y, weight))]
+    df = spark.createDataFrame(rows, ["id", "label", "weight", "features"]).repartition(40)
+    model = fit_squared_hinge(df.persist(), 12)
+    got = {r["id"]: r["m"] for r in model.add_score(df, "m").collect()}
+    assert all(abs(got[i] - m) < 1e-4 for i, m in enumerate(z @ w))
+
+
+def binary(spark, rows):
+    from pyspark.ml.linalg import Vectors
+    return spark.createDataFrame([(i, int(y), Vectors.dense([float(v) for v in x])) for i, (x, y) in enumerate(rows)], ["id", "label", "features"])
+
+
+def test_trees_grow_beyond_depth_30_and_keep_their_sizes(spark):
+    from loghelm.operators.ml.forest import Binned, ForestModel, fit_forest, grow
+    from loghelm.operators.ml.vectors import Rows
+    stairs = [([i], i % 2) for i in range(60)]  # each step apart from the next one only
+    deep = fit_forest(binary(spark, stairs), numTrees=20, featureSubsetStrategy="all")
+    chain = Rows.of([None] * 60, [[float(i == j) for j in range(60)] for i in range(60)])
+    one_by_one = grow(Binned(chain, np.arange(60) % 2, 60), 1, None, 2, 1, "all")
+    assert ForestModel([one_by_one], 60).depth > 10 and deep.depth >= 5
+    long = Rows.of([None] * 50, [[1.0 if j >= i else 0.0 for j in range(50)] for i in range(50)])
+    fibre = [grow(Binned(long, np.arange(50) % 2, 50), s, None, 2, 1, "log2") for s in range(20)]
+    assert max(ForestModel([t], 50).depth for t in fibre) > 8
+    single = Rows.of([[i] if i < 199 else [] for i in range(200)], [[1.0] if i < 199 else [] for i in range(200)])
+    comb = grow(Binned(single, (np.arange(200) % 2), 199), 5, None, 2, 1, "all")
+    assert ForestModel([comb], 199).depth > 30
+    flat = grow(Binned(single, (np.arange(200) % 2), 199), 5, 7, 2, 1, "all")
+    assert ForestModel([flat], 199).depth == 7
+    rng = np.random.default_rng(1)
+    noise = [([rng.random(), rng.random(), rng.random()], rng.random() < 0.5) for _ in range(300)]
+    table = Rows.of([None] * 300, [v for v, _ in noise])
+    labels = np.array([int(t) for _, t in noise])
+    for min_split, min_leaf in ((2, 1), (40, 1), (2, 25), (60, 10)):
+        for seed in range(4):
+            tree = grow(Binned(table, labels, 3), seed, None, min_split, min_leaf, "sqrt")
+            taken = np.unique(np.random.default_rng(seed).integers(300, size=300))
+            at = {0: taken}
+            for node in range(len(tree["feature"])):
+                rows, f = at[node], tree["feature"][node]
+                assert len(rows) >= min_leaf
+                if f >= 0:
+                    assert len(rows) >= min_split
+                    low = table.dense(0, 300, 3)[rows, f] <= tree["cut"][node]
+                    at[int(tree["left"][node])], at[int(tree["left"][node]) + 1] = rows[low], rows[~low]
+
+
+def test_forest_scores_equal_a_walk_of_each_tree(spark, prepared, tmp_path):
+    from loghelm.operators.ml.forest import ForestModel, fit_forest
+    rows, _ = prepared
+    model = fit_forest(rows, numTrees=7)
+    model.save(str(tmp_path / "f"))
+    again = ForestModel.load(str(tmp_path / "f"))
+    got = {r["id"]: r["score"] for r in again.add_score(rows, "score").select("id", "score").collect()}
+    for r in rows.limit(60).collect():
+        x, total = r["features"].toArray(), 0.0
+        for t in model.trees:
+            node = 0
+            while t["feature"][node] >= 0:
+                node = t["left"][node] + (x[t["feature"][node]] > t["cut"][node])
+            total += t["share"][node]
+        assert got[r["id"]] == pytest.approx(total / 7)
+    assert model.importances.sum() == pytest.approx(1.0)
+    scored = model.add_score(rows, "score").withColumn("model", F.lit("f"))
+    assert ev.curve_areas(scored, ["model"]).first()["roc_auc"] > 0.99
