@@ -11,7 +11,9 @@ brings the wanted share of their true neighbours.
 An entry is a distinct vector with its smallest vec_ids, as many as can be reported, so
 copies are never scored twice and a vector that a third of all rows share is one
 entry. Cells are joined to blocks of a few thousand entries, larger cells and hot
-cells' queries are split, so every task works on a bounded block of each side.
+cells' queries are split, so every task works on a bounded block of each side. The
+block of a query's first cell goes first: the least score it needs is known from there, and
+the other blocks report only entries that reach it.
 """
 
 from __future__ import annotations
@@ -150,26 +152,31 @@ def _probe(keys: list[bytes], queries: np.ndarray, length: int, kind: str, most:
 
 
 def _plan(index: Index, wanted: int, length: int, kind: str):
-    """(key, vec, block, cells): a row for each block a query visits, with its cells there."""
+    """(key, vec, block, cells, leads): a row for each block a query visits, with its cells there; its first cell's leads."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = unpacked(batch.column("vec"), length, kind)
-            at, blocks, cells = [], [], []
+            at, blocks, cells, leads = [], [], [], []
             for i, query in enumerate(rows):
-                seen = np.sort(np.array(index.visited(query, wanted), np.int32))
+                walked = index.visited(query, wanted)
+                seen = np.sort(np.array(walked, np.int32))
                 of = index.block[seen]
                 cut = np.flatnonzero(np.diff(of, prepend=-1))
                 blocks += of[cut].tolist()
+                leads += (of[cut] == index.block[walked[0]]).tolist() if walked else []
                 cells += np.split(seen, cut[1:]) if len(cut) else []
                 at += [i] * len(cut)
             yield pa.RecordBatch.from_pydict({
                 "key": batch.column("key").take(pa.array(at, pa.int32())), "vec": batch.column("vec").take(pa.array(at, pa.int32())),
-                "block": pa.array(blocks, pa.int32()), "cells": pa.array([c.tolist() for c in cells], pa.list_(pa.int32()))})
+                "block": pa.array(blocks, pa.int32()), "cells": pa.array([c.tolist() for c in cells], pa.list_(pa.int32())), "leads": pa.array(leads, pa.bool_())})
     return run
 
 
 def _rerank(length: int, kind: str, most: int):
-    """The best entries among a block's for the queries that visit it: cells a query doesn't visit don't count."""
+    """The best entries among a block's for the queries that visit it, from the least score a query needs on.
+
+    Cells a query doesn't visit don't count.
+    """
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         rows = unpacked(entries.column("vec"), length, kind) if len(entries) else np.zeros((0, length))
@@ -187,9 +194,11 @@ def _rerank(length: int, kind: str, most: int):
             visits = np.zeros((len(part), len(cells)), bool)
             visits[who[here], place[here]] = True
             row, column = _best(np.where(visits[:, of], asked @ rows.T, -np.inf), first_id, most)
+            score = in_order(asked[row], rows[column])
+            enough = score >= part.column("least").to_numpy()[row]
+            row, column, score = row[enough], column[enough], score[enough]
             out.append(pa.table({
-                "key": part.column("key").take(pa.array(row)), "score": pa.array(in_order(asked[row], rows[column])),
-                "ids": ids.take(pa.array(column))}))
+                "key": part.column("key").take(pa.array(row)), "score": pa.array(score), "ids": ids.take(pa.array(column))}))
         return pa.concat_tables(out) if out else pa.table({
             "key": pa.array([], pa.binary()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
     return run
@@ -252,42 +261,54 @@ def nearest_neighbours(
     index = Index(first, second, held)
 
     asking = rows.where(F.col("vec_id") % every == 0)
-    asked_path = write_scratch(asking.groupBy("key").agg(F.first("vec").alias("vec")), "nearest-queries")
+    # a walk costs far more than reading its query: as many tasks as there are shuffle partitions
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked_path = write_scratch(asking.groupBy("key").agg(F.first("vec").alias("vec")).repartition(tasks), "nearest-queries")
     asked = spark.read.parquet(asked_path)
     n_asked = max(asked.count(), 1)
     probing = asked.where(F.pmod(F.xxhash64("key"), F.lit(n_asked)) < 4 * probes).orderBy(F.xxhash64("key"), "key").limit(probes).collect()
     wanted = _entries_wanted(celled, index, probing, length, kind, most, recall, least_entries)
 
     plan_path = write_scratch(asked.mapInArrow(
-        _plan(index, wanted, length, kind), "key binary, vec binary, block int, cells array<int>"), "nearest-plan")
+        _plan(index, wanted, length, kind), "key binary, vec binary, block int, cells array<int>, leads boolean"), "nearest-plan")
     drop_scratch(spark, asked_path)
     plan = spark.read.parquet(plan_path)
+    search = lambda part, label: write_scratch(_search(celled, part, index, length, kind, most), label)
+    led_path = search(plan.where("leads").withColumn("least", F.lit(float("-inf"))), "nearest-led")
+    led = spark.read.parquet(led_path)
+    needs = led.groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= most).drop("n")
+    rest = plan.where("NOT leads").join(needs.hint("merge"), "key", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    rest_path = search(rest, "nearest-rest")
+    drop_scratch(spark, celled_path, plan_path)
+    by_score = W.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
+    listed = led.union(spark.read.parquet(rest_path)).withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= most)
+    near = listed.select("key", "score", F.explode("ids").alias("vec_id")).groupBy("key").agg(F.slice(
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, most).alias("near"))
+    own = asking.select(F.col("vec_id").alias("query_id"), "key").distinct()
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, neighbours)
+    return own.join(near.hint("merge"), "key").select("query_id", F.posexplode(others).alias("at", "one")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "one.vec_id", (-F.col("one.minus")).alias("score"))
+
+
+def _search(celled: DataFrame, plan: DataFrame, index: Index, length: int, kind: str, most: int) -> DataFrame:
+    """(key, score, ids): the best entries of each block that ``plan`` names, for its query."""
+    spark = celled.sparkSession
     visits = {r["block"]: r["count"] for r in plan.groupBy("block").count().collect()}  # no more blocks than cells
     split = np.array([-(-visits.get(b, 0) // BLOCK_QUERIES) for b in range(len(index.parts))])
     cells_of = spark.createDataFrame(
-        [(int(c), int(index.block[c]), int(index.parts[index.block[c]]), int(split[index.block[c]])) for c in np.flatnonzero(held)],
-        "cell int, block int, parts int, split int")
+        [(int(c), int(index.block[c]), int(index.parts[index.block[c]]), int(split[index.block[c]])) for c in np.flatnonzero(index.entries)],
+        "cell int, block int, parts int, split int").where("split > 0")
     parts_of = spark.createDataFrame(
         [(b, int(index.parts[b]), int(split[b])) for b in visits] or [(-1, 1, 1)], "block int, parts int, split int")
     dealt = lambda seed, into: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(into)).cast("int")
     each = lambda into: F.explode(F.sequence(F.lit(0), F.col(into) - 1))
-    left = celled.join(F.broadcast(cells_of), "cell").where("split > 0").select(  # a row for a pair of centroids at most
+    left = celled.join(F.broadcast(cells_of), "cell").select(  # a row for a pair of centroids at most
         "first_id", "ids", "vec", "cell", "block", dealt(1, "parts").alias("part"), each("split").alias("share"))
     right = plan.join(F.broadcast(parts_of), "block").select(  # no more blocks than cells
-        "key", "vec", "cells", "block", each("parts").alias("part"), dealt(2, "split").alias("share"))
+        "key", "vec", "cells", "least", "block", each("parts").alias("part"), dealt(2, "split").alias("share"))
     group = ["block", "part", "share"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
         _rerank(length, kind, most), "key binary, score double, ids array<long>")
-    found_path = write_scratch(found, "nearest-found")
-    drop_scratch(spark, celled_path, plan_path)
-    by_score = W.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
-    listed = spark.read.parquet(found_path).withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= most)
-    near = listed.select("key", "score", F.explode("ids").alias("vec_id")).groupBy("key").agg(F.slice(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, most).alias("near"))
-    own = asking.select(F.col("vec_id").alias("query_id"), "key").distinct()
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, neighbours)
-    return own.join(near.hint("merge"), "key").select("query_id", F.posexplode(others).alias("at", "one")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "one.vec_id", (-F.col("one.minus")).alias("score"))
 
 
 def _entries_wanted(
