@@ -183,10 +183,15 @@ def ipv4(c: Column) -> Column:
     return first_group(c, IPV4)
 
 
+# A zone behind a clock time: Z, an offset of hours or of hours and minutes, or a name.
+ZONED = r":\d{2}(?:[.,]\d+)?\s*(?:[+-]\d{1,2}(?::?\d{2}){0,2}|[A-Za-z][A-Za-z0-9_/+:-]*)\s*$"
+
+
 def utc(c: Column) -> Column:
-    """Time of a text: one with an offset is the instant in UTC, one without is taken as it stands; NULL if unreadable."""
+    """Time of a text: one with a zone is the instant in UTC, one without is taken as it stands; NULL if unreadable."""
+    c = F.regexp_replace(c, r"([T ]\d{1,2}:\d{2})(?![:\d])", "$1:00")  # a clock time may lack its seconds
     instant = F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
-    return F.when(c.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})\s*$") & c.contains(":"), instant).otherwise(c.try_cast("timestamp_ntz"))
+    return F.when(c.rlike(ZONED), instant).otherwise(c.try_cast("timestamp_ntz"))
 
 
 def iso(c: Column) -> Column:

@@ -143,6 +143,19 @@ def normalize_file_import(spark, sf):
                       "host", "service", "source")
 
 
+_ZONES = """CASE k % 5 WHEN 0 THEN '+05' WHEN 1 THEN '-03:30' WHEN 2 THEN ' Asia/Kolkata' WHEN 3 THEN 'Z' ELSE '' END"""
+
+
+@query("normalize_zoned_times", with_views("v_upload", "v_logs") + """
+SELECT event_id, strftime(date_trunc('second', timestamp) - CASE k % 5 WHEN 0 THEN INTERVAL 300 MINUTE WHEN 1 THEN -INTERVAL 210 MINUTE
+  WHEN 2 THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM v_logs""")
+def normalize_zoned_times(spark, sf):
+    """Times with an offset of hours, of hours and minutes, a zone's name, Z or nothing behind them."""
+    logs = table(spark, sf, "v_logs")
+    written = logs.select("event_id", F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.expr(_ZONES)).alias("Time"), F.col("message").alias("Msg"))
+    return normalize.normalize_upload(written, "replay", as_of()).select("event_id", text.iso(F.col("timestamp")).alias("timestamp"))
+
+
 @query("normalize_label_sources", with_views("v_feedback") + """
 SELECT seq, fb_label AS from_label, CAST(prob_anomaly >= 0.65 AS INT) AS from_prob, 0 AS without FROM v_feedback""")
 def normalize_label_sources(spark, sf):

@@ -103,9 +103,10 @@ def csv_round_trip(spark, sf):
 @query("typed_csv_scan", with_views("v_logs") + "SELECT event_id, prob_anomaly, pid FROM v_logs WHERE prob_anomaly >= 0.5")
 def typed_csv_scan(spark, sf):
     path = scratch_path(spark, "typed")
-    rows = table(spark, sf, "v_logs").select("event_id", "prob_anomaly", "pid")
-    rows.write.option("header", True).csv(path)
-    return readers.csv_typed(spark, path, rows.schema).where("prob_anomaly >= 0.5")
+    broken = F.expr("CASE WHEN k % 3 = 0 THEN concat(message, '\n\"', host, '\"\r\n,1,2') ELSE message END").alias("message")
+    rows = table(spark, sf, "v_logs").select("event_id", broken, "prob_anomaly", "pid")
+    rows.write.options(header=True, escape='"').csv(path)
+    return readers.csv_typed(spark, path, rows.schema).where("prob_anomaly >= 0.5").drop("message")
 
 
 @query("json_export", with_views("v_logs") + f"SELECT {_LIST} FROM v_logs")

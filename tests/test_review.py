@@ -5,6 +5,7 @@ import re
 import time
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loghelm.functions import text
 from loghelm.operators import correlate, dedup, evaluate, query
@@ -64,6 +65,20 @@ def test_times_with_offsets(spark):
     assert query.filter_anomalies(rows, start="2024-01-01T10:15:00+05:30").count() == 1
 
 
+def test_times_with_hours_and_zone_names(spark):
+    values = ["2024-01-01T10:00:00+05", "2024-01-01 10:00:00.5 -03", "2024-01-01T10:00:00 Asia/Kolkata", "2024-01-01 10:00 UTC", "2024-01-01T10:00:00+0530",
+              "2024-01-01T10:00:00 Nowhere/Land", "2024-07-01T10:00:00 Europe/Paris", "2024-01-01T10:00:00"]
+    at = lambda h, m=0, us=0, month=1: dt.datetime(2024, month, 1, h, m, 0, us)
+    assert run(spark, text.utc, *values) == [at(5), at(13, 0, 500000), at(4, 30), at(10), at(4, 30), None, at(8, 0, 0, 7), at(10)]
+
+
+def test_typed_csv_keeps_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,"say ""hi"", 3"\n3,plain\n')
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    assert [tuple(r) for r in readers.csv_typed(spark, str(path), schema).collect()] == [(1, "x\ny"), (2, 'say "hi", 3'), (3, "plain")]
+
+
 def test_missing_times_suppress_nothing(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, base + dt.timedelta(seconds=s), "failed password for root from 10.0.0.1") for i, s in enumerate((0, 10, 20))]
@@ -113,16 +128,19 @@ def test_first_record_per_key(spark):
 
 
 def test_registered_models_run_at_full_settings(spark):
-    # settings of the specification: 200 trees without a depth limit (Spark's deepest is 30), five folds,
-    # 3,000 terms, a grid over trees, depth and leaf size, ten random draws
-    from loghelm.operators.ml import isolation, models
+    # settings of the specification: 200 trees without a depth limit, five folds, 3,000 terms,
+    # a grid over trees, depth, split and leaf size, ten random draws
+    from inspect import signature
+
+    from loghelm.operators.ml import forest, isolation, linear, models
     from loghelm.plans import model_plans as plans
-    forest = models.classifier("random_forest", **plans.SETS["random_forest"])
-    assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 30)
-    assert models.classifier("logreg", **plans.SETS["logreg"]).getMaxIter() == 500
-    assert models.classifier("linear_svm", **plans.SETS["linear_svm"]).getMaxIter() >= 100
+    own = {n: p.default for n, p in signature(forest.fit_forest).parameters.items()}
+    own |= plans.SETS["random_forest"]
+    assert (own["numTrees"], own["maxDepth"], own["minInstancesPerSplit"], own["featureSubsetStrategy"]) == (200, None, 2, "sqrt")
+    assert models.logistic(1.0, **plans.SETS["logreg"]).getMaxIter() == 500
+    assert signature(linear.fit_squared_hinge).parameters["rounds"].default >= 100 and plans.SETS["linear_svm"] == {}
     assert (plans.FOLDS, plans.TERMS, models.RANDOM_DRAWS, isolation.TREES, isolation.SAMPLE) == (5, 3000, 10, 200, 256)
-    assert models.GRID == {"numTrees": [100, 200], "maxDepth": [30, 20], "minInstancesPerNode": [1, 2]}
+    assert models.GRID == {"numTrees": [100, 200], "maxDepth": [None, 20, 40], "minInstancesPerSplit": [2, 5], "minInstancesPerNode": [1, 2]}
 
 
 def test_rule_table(spark):
