@@ -11,6 +11,7 @@ pattern, sequence and offset.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,17 +26,25 @@ from loghelm.llm.common import drop_scratch, numbered, write_scratch
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # ASCII marks, but for those that begin a contraction or a special token.
 MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<")
+PROBES = ("Word", "WORD", "Über", "ÉTÉ", "naïve", "straße", "слово", "ΛΌΓΟΣ", "x")
 WORDS_KEPT = 400_000
 _WORKER: dict = {}
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone, as written and as the tokenizer lower-cases it."""
+    return word.isalpha() and unicodedata.normalize("NFC", word.lower()).isalpha()
+
+
 class WordIds:
     """The ids of words as little-endian bytes, in ``words``; unknown words go through the tokenizer together.
 
     Words are cut at ASCII white space, which the tokenizer drops and never joins across; a word of letters
-    with ASCII marks behind it is the letters' ids and the marks'. Both hold for any tokenizer that cuts
-    texts at white space and between letters and marks, as the one given does. Where its ids show the ends
-    of words, many words are encoded as one text and cut apart again.
+    with ASCII marks behind it is the letters' ids and the marks'. The second holds for a tokenizer that lower-cases
+    and cuts between letters and marks, as the one given does; a few probes tell, and words are encoded whole
+    where they fail. Letters whose lower case isn't letters alone (U+0130 becomes one and a mark, which joins the marks
+    behind it) are never cut. Where the ids show the ends of words, many words are encoded as one text and cut apart
+    again.
     """
 
     def __init__(self, spec: str):
@@ -50,6 +59,8 @@ class WordIds:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.cuts = all(ids(a + b) == ids(a.lower()) + ids(b) for a in PROBES for b in (".", ",", "?!", ")...", "##", "-"))
 
     def learn(self, words: set[bytes]) -> None:
         known = self.words
@@ -59,10 +70,10 @@ class WordIds:
             self.parts.clear()
         parts, new, letters, others = self.parts, [], set(), set()
         for word in words - known.keys():
-            stem = word.rstrip(MARKS)
+            stem = word.rstrip(MARKS) if self.cuts else b""
             if stem.isalpha():
                 stem = stem.lower()
-            elif stem.isascii() or not stem.decode("utf-8").isalpha():
+            elif stem.isascii() or not _letters(stem.decode("utf-8")):
                 if word not in parts:
                     others.add(word)
                 new.append((word, word, b""))

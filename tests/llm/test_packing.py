@@ -72,5 +72,25 @@ def test_odd_words_keep_their_ids(spark):
     assert found == {(i, p[0]): p[3] for i, t in enumerate(texts) for p in pieces(t, 2048)}
 
 
+def test_letters_before_marks(spark):
+    """Every letter below U+0600 and of the Latin and Greek supplements, before a full stop, a comma and two marks."""
+    letters = [chr(c) for c in (*range(0x41, 0x600), *range(0x1E00, 0x2000)) if chr(c).isalpha()]
+    texts = [f"{c}. {c}, x{c}?! {c}{c}." for c in letters] + ["İ. İstanbul, ALİ. İ,İ! İİ", "İ"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["ids_crc32"] for r in pack_documents(frame).collect()}
+    assert found == {i: pieces(t, 2048)[0][3] for i, t in enumerate(texts)}
+
+
+def test_words_are_whole_where_a_tokenizer_does_not_cut_at_marks():
+    from loghelm.llm.packing import WordIds
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = WordIds(open(path, encoding="utf-8").read())
+    words = {b"Word.", b"WORD,", "Über!".encode(), b"x"}
+    ids.learn(words)
+    plain = Tokenizer.from_file(path)
+    assert not ids.cuts
+    assert all(ids.words[w] == np.array(plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+
+
 def test_no_rows(nothing):
     assert pack_documents(nothing).collect() == []
