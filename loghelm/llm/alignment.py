@@ -15,8 +15,10 @@ flag for each of them back; its links stay where they are, as places in its list
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 
 from loghelm.llm.common import drop_scratch, write_scratch
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 20_000
-UNITS_KEPT = 300_000
+UNITS_KEPT = 120_000
 TOKENS_KEPT = 4_000_000
+IN_A_ROW = 256
+LOOSE = re.compile(r" (?=\s|\Z)")  # a space with nothing visible behind it
 CHUNKS = ("chunk long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, "
           "groups_sha256 array<string>, pairs array<long>, counts array<int>, links binary")
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -76,6 +80,24 @@ class PieceTokens:
         return self.model.encode(texts, num_threads=1)
 
 
+class Row:
+    """Units that any text could hold in a row: their numbers, the text, its bytes behind a space, and where each ends there."""
+
+    def __init__(self, numbers: list[int], units: list[str]):
+        self.units, listed = numbers, [units[i] for i in numbers]
+        self.text = " ".join(listed)
+        self.raw = b" " + self.text.encode()
+        plain = len(self.raw) == len(self.text) + 1
+        self.ends = np.cumsum([len(u) + 1 for u in listed] if plain else [len(u.encode()) + 1 for u in listed])
+
+
+def in_rows(units: list[str]) -> tuple[list[Row], list[int]]:
+    """Rows of the units that begin and end with something visible, and the numbers of the others."""
+    joined = [u != "" and u.strip() == u for u in units]
+    order = [i for i, j in enumerate(joined) if j]
+    return [Row(order[at:at + IN_A_ROW], units) for at in range(0, len(order), IN_A_ROW)], [i for i, j in enumerate(joined) if not j]
+
+
 class Units:
     """Ids of a text's units: a space and what follows up to the next single space before something visible.
 
@@ -87,6 +109,7 @@ class Units:
     def __init__(self, tokenizer: ByteTokens | PieceTokens):
         self.tokenizer = tokenizer
         self.sizes = np.array([len(b) for b in tokenizer.bytes], np.int64)
+        self.letters, self.letter_at = np.frombuffer(b"".join(tokenizer.bytes), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.clear()
 
     def clear(self) -> None:
@@ -94,19 +117,41 @@ class Units:
         self.ids = np.zeros(0, np.int32)
         self.right = np.zeros(0, bool)
 
-    def learn(self, units: list[str]) -> None:
-        """Append units; ``right`` marks those whose tokens' bytes are a space and the unit."""
-        made: list[np.ndarray] = [self.ids]
-        counts, right = [], []
-        for at in range(0, len(units), 2000):
-            for unit, ids in zip(units[at:at + 2000], self.tokenizer.encode(units[at:at + 2000])):
-                counts.append(len(ids))
-                right.append(b"".join(map(self.tokenizer.bytes.__getitem__, ids)) == b" " + unit.encode())
-                made.append(np.array(ids, np.int32))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum([0, *counts[:-1]], dtype=np.int64)[:len(counts)]])
-        self.count = np.concatenate([self.count, np.array(counts, np.int64)])
-        self.right = np.concatenate([self.right, np.array(right, bool)])
-        self.ids = np.concatenate(made)
+    def learn(self, units: list[str], rows: list[Row], apart: list[int]) -> None:
+        """Append units; ``right`` marks those whose tokens' bytes are a space and the unit.
+
+        ``rows`` are encoded in a row and cut apart by their bytes; where these don't come out, and ``apart``, each unit
+        is encoded alone.
+        """
+        counts, right, made = np.zeros(len(units), np.int64), np.zeros(len(units), bool), []
+        placed, apart = [], list(apart)
+        for at in range(0, len(rows), 16):
+            some = rows[at:at + 16]
+            for row, ids in zip(some, self.tokenizer.encode([r.text for r in some])):
+                ids = np.array(ids, np.int32)
+                ends = np.cumsum(self.sizes[ids])
+                cut = np.searchsorted(ends, row.ends)
+                if len(ids) and ends[-1] == row.ends[-1] and (ends[cut] == row.ends).all() and self._spelt(ids) == row.raw:
+                    counts[row.units], right[row.units] = np.diff(cut + 1, prepend=0), True
+                    made.append(ids)
+                    placed += row.units
+                else:
+                    apart += row.units
+        for at in range(0, len(apart), 500):
+            some = apart[at:at + 500]
+            for i, ids in zip(some, self.tokenizer.encode([units[i] for i in some])):
+                ids = np.array(ids, np.int32)
+                counts[i], right[i] = len(ids), self._spelt(ids) == b" " + units[i].encode()
+                made.append(ids)
+        start = np.empty(len(units), np.int64)
+        listed = np.array([*placed, *apart], np.int64)
+        start[listed] = len(self.ids) + np.cumsum(counts[listed]) - counts[listed]
+        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, counts])
+        self.right = np.concatenate([self.right, right])
+        self.ids = np.concatenate([self.ids, *made])
+
+    def _spelt(self, ids: np.ndarray) -> bytes:
+        return self.letters[ranges(self.letter_at[ids], self.sizes[ids])].tobytes()
 
     def of(self, units: np.ndarray) -> np.ndarray:
         """The ids of these units in a row."""
@@ -122,7 +167,7 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def units_of(text: str) -> list[str]:
     """What follows each space of ``' ' + text`` that has no space on its left and something visible on its right."""
     parts = text.split(" ")
-    if parts[0] and all(p and not p[0].isspace() for p in parts[1:]):
+    if parts[0] and not LOOSE.search(text):
         return parts
     out, held = [], [parts[0]]
     for p in parts[1:]:
@@ -216,20 +261,24 @@ class Aligner:
         self.shift = 2 * shift  # A's ids with ',' and with '|' behind, then B's with ',' and with ';'
         self.written = [f"{i}{m}" for n, m in ((shift, ","), (shift, "|"), (self.width, ","), (self.width, ";")) for i in range(n)]
 
+    def forget(self) -> None:
+        self.known = {}
+        self.a.clear()
+        self.b.clear()
+
     def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the texts' units in a row, and how many each text has; the empty text has none."""
         split = [units_of(t) if t else [] for t in texts]
         if len(self.known) > UNITS_KEPT or len(self.a.ids) > TOKENS_KEPT:
-            self.known = {}
-            self.a.clear()
-            self.b.clear()
-        new = list(dict.fromkeys(u for units in split for u in units if u not in self.known))
-        begin = len(self.known)
-        self.known.update(zip(new, range(begin, begin + len(new))))
-        self.a.learn(new)
-        self.b.learn(new)
-        place = self.known.__getitem__
-        return np.array([place(u) for units in split for u in units], np.int64), np.array([len(u) for u in split], np.int64)
+            self.forget()
+        known = self.known
+        new = [u for u in set(chain.from_iterable(split)) if u not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        rows, apart = in_rows(new)
+        self.a.learn(new, rows, apart)
+        self.b.learn(new, rows, apart)
+        many = np.array([len(u) for u in split], np.int64)
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(many.sum())), many
 
     def chunk(self, name: int, doc_ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
         n = len(texts)
@@ -253,7 +302,7 @@ class Aligner:
             "n_a": _one(np.diff(first["a"])), "n_b": _one(np.diff(first["b"])),
             "n_groups": _one(np.bincount(text_of(cut_a), minlength=n)), "n_links": _one(n_links),
             "groups_sha256": pa.array([self._digests(ids, first, cut_a, cut_b)], pa.list_(pa.string())),
-            "pairs": _one(pairs, pa.int64()), "counts": _one(counts), "links": pa.array([links.astype("<u4").tobytes()], pa.binary())})
+            "pairs": _one(pairs, pa.int64()), "counts": _one(counts), "links": pa.array([links.astype(_place(len(pairs))).tobytes()], pa.binary())})
 
     def _digests(self, ids: dict, first: dict, cut_a: np.ndarray, cut_b: np.ndarray) -> list[str]:
         """Of each text, the digest of its groups as text; '' without tokens."""
@@ -271,6 +320,11 @@ class Aligner:
         return out
 
 
+def _place(pairs: int) -> str:
+    """The type that holds a place among so many pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 def _one(values: np.ndarray, kind: pa.DataType = pa.int32()) -> pa.Array:
     """A list column of one row."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
@@ -285,7 +339,8 @@ def _chunks(spec: Callable[[], str], model: Callable[[], bytes], chunk_bytes: in
         doc_ids: list[int | None] = []
         texts: list[str] = []
         held = 0
-        for batch in batches:
+        slices = (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500))
+        for batch in slices:
             raw = batch.column("text").cast(pa.large_binary())
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw):
                 text = text.as_py()
@@ -300,6 +355,7 @@ def _chunks(spec: Callable[[], str], model: Callable[[], bytes], chunk_bytes: in
                     doc_ids, texts, held, number = [], [], 0, number + 1
         if doc_ids:
             yield aligner.chunk(part << 32 | number, doc_ids, texts)
+        aligner.forget()  # an idle worker holds no units
     return run
 
 
@@ -312,7 +368,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             told = row.column("told").flatten()  # pair, total, best
             pair, total, best = (told.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             order = np.argsort(pair)  # pairs of a chunk are sorted
-            links = np.frombuffer(row.column("links")[0].as_buffer(), "<u4")
+            links = np.frombuffer(row.column("links")[0].as_buffer(), _place(len(lists["pairs"])))
             bounds = np.concatenate([[0], np.cumsum(lists["n_links"].to_numpy(), dtype=np.int64)])
             sums, hits = (np.diff(np.concatenate([[0], np.cumsum(v[order][links], dtype=np.int64)])[bounds]) for v in (total, best))
             yield pa.RecordBatch.from_pydict({
