@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ EARLY_WORDS = ["block", "packet", "namenode", "replica", "storage"]
 LONG_TEXT = 100
 
 TOKEN = text.NON_WS + "+"
+NUMERIC_TOKEN = rf"(?<!{text.VISIBLE_CHARS})\p{{Nd}}++(?!{text.VISIBLE_CHARS})"
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -67,36 +70,39 @@ def _has(c: Column, word: str) -> Column:
 def structured_20(message: Column, caps: dict[str, int] | None = None) -> list[Column]:
     """The full set, from raw or from masked text as the caller chooses; ``caps`` limits counts, by default none."""
     caps = caps or {}
-    body = text.text_or_empty(message)
-    low = F.lower(body)
-    tokens = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
+    parts = text.bound(text.text_or_empty(message), lambda body: F.struct(
+        body.alias("body"), F.lower(body).alias("low"), F.regexp_extract_all(body, F.lit(text.VISIBLE_CHARS + "++"), F.lit(0)).alias("tokens")))
+    every = text.bound(parts, _values_20)
+    return [F.least(every[n], F.lit(caps[n])).alias(n) if n in caps else every[n].alias(n) for n in STRUCTURED_20]
+
+
+def _values_20(parts: Column) -> Column:
+    """All of the set from a text, its lower-case form and its tokens, each made once."""
+    body, low, tokens = parts["body"], parts["low"], parts["tokens"]
     size, count = F.char_length(body), F.size(tokens)
-    distinct = F.size(F.array_distinct(tokens))
-    token_chars = F.char_length(F.regexp_replace(body, text.WS, ""))
-    values = {
-        "message_length": size,
-        "token_count": count,
-        "digit_ratio": _ratio(text.count_chars(body, r"\p{Nd}"), size),
-        "uppercase_ratio": _ratio(text.count_chars(body, r"\p{Lu}"), size),
-        "special_char_count": text.count_chars(body, SPECIAL),
-        "numeric_token_count": F.size(F.filter(tokens, lambda t: t.rlike(r"^\p{Nd}+$"))),
-        "unique_token_ratio": _ratio(distinct, count),
-        "contains_ip": body.rlike(IP).cast("int"),
-        "contains_url": body.rlike(URL).cast("int"),
-        "contains_path": body.rlike(PATH).cast("int"),
-        "contains_port": body.rlike(PORT).cast("int"),
-        "contains_hex": _has(low, "hex_id"),
-        "error_keyword_count": text.count_present(low, ERROR_KEYWORDS),
-        "contains_error": _has(low, "error"),
-        "contains_warning": _has(low, "warning"),
-        "contains_timeout": _has(low, "timeout"),
-        "contains_failure": _has(low, "failure"),
-        "contains_exception": _has(low, "exception"),
-        "repeated_token_ratio": 1 - _ratio(distinct, count),
-        "average_token_length": _ratio(token_chars, count),
-    }
-    return [
-        F.least(values[n], F.lit(caps[n])).alias(n) if n in caps else values[n].alias(n) for n in STRUCTURED_20]
+    counts = text.bound(F.struct(
+        size.alias("size"), count.alias("count"), F.size(F.array_distinct(tokens)).alias("distinct"),
+        text.count_chars(body, r"\p{Nd}").alias("digits"),
+        F.array(*[_has(low, w) for w in ERROR_KEYWORDS]).alias("words")), lambda n: F.struct(
+        n["size"].alias("message_length"),
+        n["count"].alias("token_count"),
+        _ratio(n["digits"], n["size"]).alias("digit_ratio"),
+        _ratio(text.count_chars(body, r"\p{Lu}"), n["size"]).alias("uppercase_ratio"),
+        text.count_chars(body, "[^a-zA-Z0-9" + text.SPACE_CHARS[1:]).alias("special_char_count"),
+        F.when(n["digits"] > 0, F.regexp_count(body, F.lit(NUMERIC_TOKEN))).otherwise(0).alias("numeric_token_count"),
+        _ratio(n["distinct"], n["count"]).alias("unique_token_ratio"),
+        ((n["digits"] > 3) & body.rlike(IP)).cast("int").alias("contains_ip"),
+        body.rlike(URL).cast("int").alias("contains_url"),
+        body.rlike(PATH).cast("int").alias("contains_path"),
+        ((n["digits"] > 0) & body.rlike(PORT)).cast("int").alias("contains_port"),
+        _has(low, "hex_id").alias("contains_hex"),
+        reduce(lambda a, i: a + n["words"][i], range(1, len(ERROR_KEYWORDS)), n["words"][0]).alias("error_keyword_count"),
+        *[n["words"][ERROR_KEYWORDS.index(w)].alias(f"contains_{w}") for w in ("error", "warning", "timeout")],
+        ((n["words"][ERROR_KEYWORDS.index("fail")] > 0) & low.contains("failure")).cast("int").alias("contains_failure"),
+        n["words"][ERROR_KEYWORDS.index("exception")].alias("contains_exception"),
+        (1 - _ratio(n["distinct"], n["count"])).alias("repeated_token_ratio"),
+        _ratio(F.char_length(F.array_join(tokens, "")), n["count"]).alias("average_token_length")))
+    return counts
 
 
 def structured_10(message: Column) -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 NON_WS = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
 
+# The same characters one by one, which the JVM's engine tests faster than by property.
+_SPACES = r"\t-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE_CHARS, VISIBLE_CHARS = f"[ {_SPACES}]", f"[^ {_SPACES}]"
+
 # The same characters as a set, for trimming without a regex.
 WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -81,6 +86,37 @@ FLAT_FORMS = {
         r"(?:\G|(?<![A-Za-z0-9._%+-]))((?:(?!\b)[A-Za-z0-9._%+-])*+)"
         r"\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
 }
+# What any match of a pattern has in it: plain text, or a class pattern without word boundaries. Most texts have
+# few of these, and the search for them costs far less than the pattern's own.
+GUARDS = {
+    IPV4: r"\p{Nd}\.\p{Nd}",
+    r"(/[A-Za-z0-9._-]+)+": "/",
+    r"\b\p{Nd}{4,}\b": r"\p{Nd}{4}",
+    r"\buser=[A-Za-z0-9._-]+\b": "user=",
+    r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b": "[0-9A-Fa-f][:-][0-9A-Fa-f]",
+    r"\b[a-fA-F0-9]{8,}\b": "[a-fA-F0-9]{8}",
+    r"\(\p{Nd}+\)": r"\(\p{Nd}",
+    r"(?i)\b(pid|uid)=\p{Nd}+\b": r"=\p{Nd}",
+    r"(?i)\bPID[:=]?\s*\p{Nd}+\b": r"\p{Nd}",
+    r"\b\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}T\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}(?:\.\p{Nd}+)?(?:Z|[+-]\p{Nd}{2}:?\p{Nd}{2})?\b": r"\p{Nd}-\p{Nd}",
+    r"/[A-Za-z0-9_\-./]+": "/",
+    r"[A-Za-z]:\\[^\s]+": ":\\",
+    r"\b(?:0x)?[A-Fa-f0-9]{8,}\b": "[A-Fa-f0-9]{8}",
+    r"\b[A-Za-z0-9]{24,}\b": "[A-Za-z0-9]{24}",
+    r"\[(\p{Nd}+)\]": r"\[\p{Nd}",
+    r"\bpid=\p{Nd}+\b": "pid=",
+    r"\bpids?\b[:=]?\p{Nd}+\b": "pid",
+    r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}T\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}(?:\.\p{Nd}+)?Z?": r"\p{Nd}-\p{Nd}",
+    r"\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}": r"\p{Nd}:\p{Nd}",
+    r"[A-Za-z]:\\[^ \n\r\t]+": ":\\",
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b": "@",
+    r"\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b": r"[A-Za-z0-9-]\.[A-Za-z]{2}",
+    r"blk_-?\p{Nd}+": "blk_",
+    r"0x[a-fA-F0-9]+": "0x",
+    r"\b\p{Nd}+\b": r"\p{Nd}",
+    r"node-\p{Nd}+": "node-",
+    r"\b[a-f0-9]{8,}\b": "[a-f0-9]{8}",
+}
 LINE_ENDS = "(?<=[\\n\\r\\x85\\u2028\\u2029])"
 
 MESSAGE_LIMIT = 8000
@@ -92,18 +128,31 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space become one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    """Runs of white space become one space, none at the ends. A single space is no match, as most are."""
+    return F.trim(F.regexp_replace(c, f" {SPACE_CHARS}+|[{_SPACES}]{SPACE_CHARS}*", " "))
+
+
+def bound(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(c)`` with ``c`` worked out once, however often ``of`` names it."""
+    return F.transform(F.array(c), of)[0]
+
+
+def _may_match(c: Column, guard: str) -> Column:
+    return c.rlike(guard) if any(x in guard for x in "[{\\") and guard != ":\\" else c.contains(guard)
 
 
 def apply_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """Rules one after another; word boundaries and classes are Unicode's."""
+    """Rules one after another; word boundaries and classes are Unicode's. A rule runs where its guard says it may match."""
     for pattern, replacement in rules:
         flat = FLAT_FORMS.get(pattern)
-        c = F.regexp_replace(c, "(?U)" + (flat or pattern), "$1" + replacement if flat else replacement)
+        c = bound(c, _guarded(GUARDS[pattern], "(?U)" + (flat or pattern), "$1" + replacement if flat else replacement))
     return c
 
 
+def _guarded(guard: str, form: str, new: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(_may_match(x, guard), F.regexp_replace(x, form, new)).otherwise(x)
+
+
 def mask_mixed_tokens(c: Column, mask: str) -> Column:
     """Mask tokens of eight or more ASCII letters and digits with both a letter and a digit at or after their start in the line.
 
@@ -116,7 +165,8 @@ def mask_mixed_tokens(c: Column, mask: str) -> Column:
         masked = F.regexp_replace(head, r"(?U)\b[A-Za-z0-9]{8,}\b", mask)
         return F.concat(masked, F.substr(x, F.char_length(head) + 1))
 
-    return F.array_join(F.transform(F.split(c, LINE_ENDS), line), "")
+    return bound(c, lambda t: F.when(
+        t.rlike(r"\p{Nd}"), F.array_join(F.transform(F.split(t, LINE_ENDS), line), "")).otherwise(t))
 
 
 def text_or_empty(c: Column) -> Column:

@@ -100,3 +100,25 @@ def test_block_labels(spark):
 def test_agreement_is_unknown_without_a_suggestion(spark):
     df = spark.createDataFrame([("closed", 0.9), ("false_positive", 0.9), ("closed", 0.5)], "action string, prob_anomaly double")
     assert [r["agreement"] for r in label.feedback_log(df).collect()] == [True, False, None]
+
+
+def test_guards_leave_out_no_match(spark):
+    """Guarded rules give what the rules give one after another without guards."""
+    import random
+    rng = random.Random(12)
+    bits = ["pid=", "pids", "PID:", "pıd=", "uid=", "user=", "a.b", "10.0.0.1", "١٢٣٤", "2024-01-02T03:04:05", "12:34:56", "/var/x", "C:\\x", "[12]", "(7)",
+            "a@b.co", "host.example.org", "0xdeadbeef", "deadbeef", "blk_-12", "node-7", "aa:bb:cc:dd:ee:ff", " ", "  ", "\n", "x" * 9, "é", "9", ".", "-", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    rules = [text.CLEAN_RULES, text.MASK_RULES_V1[:2] + text.MASK_RULES_V1[3:], text.MASK_RULES_V2, text.IDENTITY_RULES]
+    for r in rules:
+        plain = F.col("t")
+        for pattern, new in r:
+            flat = text.FLAT_FORMS.get(pattern)
+            plain = F.regexp_replace(plain, "(?U)" + (flat or pattern), "$1" + new if flat else new)
+        bad = df.select("t", text.apply_rules(F.col("t"), r).alias("a"), plain.alias("b")).where("a <> b").collect()
+        assert not bad, bad[:3]
+    spaces = F.trim(F.regexp_replace("t", f"{text.WS}+", " "))
+    odd = spark.createDataFrame([("".join(rng.choice(["a", " ", "\t", "\u00a0", "\u2003", "\u001c", "\u0085", "\u3000", "b"]) for _ in range(12)),)
+                                 for _ in range(500)], "t string")
+    assert odd.select(text.collapse(F.col("t")).alias("a"), spaces.alias("b")).where("a <> b").count() == 0
