@@ -75,7 +75,7 @@ def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.n
     return x
 
 
-def fit_squared_hinge(rows: DataFrame, width: int, strength: float = 1.0, rounds: int = 200, tolerance: float = 1e-7) -> LinearModel:
+def fit_squared_hinge(rows: DataFrame, width: int, strength: float = 1.0, rounds: int = 100, tolerance: float = 1e-5) -> LinearModel:
     """Minimise (|w|^2 + b^2) / 2 + strength * sum of weight * max(0, 1 - y (w x + b))^2 over (label, weight, features).
 
     ``rows`` should be kept or written: every pass reads them.
@@ -83,22 +83,15 @@ def fit_squared_hinge(rows: DataFrame, width: int, strength: float = 1.0, rounds
     plain = rows.select(F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"), *parts())
     groups = max(1, int(plain.rdd.getNumPartitions() ** 0.5))
 
-    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+    def summed(size: int, of: Callable[[Rows, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width + 2)
+            total = np.zeros(size)
             for batch in batches:
-                part = Rows.of_arrow(batch)
-                y = 2 * batch.column("label").to_numpy() - 1
-                weight = batch.column("weight").to_numpy()
-                short = np.maximum(1 - y * (part.dot(x[:-1]) + x[-1]), 0)
-                slope = -2 * weight * y * short
-                total[:width] += np.bincount(part.index, slope[part.row] * part.value, width)
-                total[width] += slope.sum()
-                total[width + 1] += (weight * short**2).sum()
+                total += of(Rows.of_arrow(batch), 2 * batch.column("label").to_numpy() - 1, batch.column("weight").to_numpy())
             yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width + 2)
+            total = np.zeros(size)
             for batch in batches:
                 for sums in batch.column("sums"):
                     total += np.frombuffer(sums.as_py())
@@ -106,8 +99,22 @@ def fit_squared_hinge(rows: DataFrame, width: int, strength: float = 1.0, rounds
         made = plain.mapInArrow(run, "sums binary")
         if groups > 4:  # partial sums meet in a few tasks first
             made = made.repartition(groups).mapInArrow(add, "sums binary")
-        total = sum(np.frombuffer(r["sums"]) for r in made.collect())
-        return float(x @ x / 2 + strength * total[-1]), x + strength * total[:-1]
+        return sum((np.frombuffer(r["sums"]) for r in made.collect()), np.zeros(size))
 
-    x = minimise(loss, np.zeros(width + 1), rounds, tolerance)
+    def squares(part: Rows, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(part.index, weight[part.row] * part.value**2, width), weight.sum())
+    # steps are taken in units that give every weight about the same curvature
+    unit = 1 / np.sqrt(1 + 2 * strength * summed(width + 1, squares))
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        x = v * unit
+
+        def slopes(part: Rows, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            short = np.maximum(1 - y * (part.dot(x[:-1]) + x[-1]), 0)
+            slope = -2 * weight * y * short
+            return np.concatenate([np.bincount(part.index, slope[part.row] * part.value, width), [slope.sum(), (weight * short**2).sum()]])
+        total = summed(width + 2, slopes)
+        return float(x @ x / 2 + strength * total[-1]), (x + strength * total[:-1]) * unit
+
+    x = unit * minimise(loss, np.zeros(width + 1), rounds, tolerance)
     return LinearModel(x[:-1], x[-1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,11 @@ class Rows:
 
     @staticmethod
     def of_arrow(batch: pa.RecordBatch | pa.Table) -> Rows:
-        lists = [batch.column(c).to_pandas().tolist() for c in ("indices", "values")]
-        return Rows.of(*lists)
+        indices, values = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column("indices"), batch.column("values")))
+        if indices.null_count:  # dense vectors
+            return Rows.of(indices.to_pandas().tolist(), values.to_pandas().tolist())
+        sizes = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        return Rows(np.concatenate([[0], np.cumsum(sizes)]), indices.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.index] * self.value, len(self))
