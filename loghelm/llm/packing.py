@@ -60,7 +60,8 @@ class WordIds:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.cuts = all(ids(a + b) == ids(a.lower()) + ids(b) for a in PROBES for b in (".", ",", "?!", ")...", "##", "-"))
+        low = lambda word: word.lower() if word.isascii() else word
+        self.cuts = all(ids(a + b) == ids(low(a)) + ids(b) for a in PROBES for b in (".", ",", "?!", ")...", "##", "-"))
 
     def learn(self, words: set[bytes]) -> None:
         known = self.words

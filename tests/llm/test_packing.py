@@ -81,6 +81,11 @@ def test_letters_before_marks(spark):
     assert found == {i: pieces(t, 2048)[0][3] for i, t in enumerate(texts)}
 
 
+def test_the_given_tokenizer_cuts_at_marks():
+    from loghelm.llm.packing import WordIds
+    assert WordIds(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()).cuts
+
+
 def test_words_are_whole_where_a_tokenizer_does_not_cut_at_marks():
     from loghelm.llm.packing import WordIds
     path = public_tokenizers.path("byte_bpe_50k.json")
