@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghelm.functions import text
+from loghelm.functions.scoring import keyword_score
 from loghelm.operators import dedup, split
 from loghelm.operators import evaluate as ev
 from loghelm.operators.clean import drop_missing, split_vector_like
@@ -69,8 +71,7 @@ def retrain(
         "best_threshold", "best_precision", "best_recall", "best_f1", "deployment_status")
     row = history.collect()
     scored.unpersist()
-    features.write().save(f"{root}/models/v={version}/features")
-    model.save(f"{root}/models/v={version}/classifier")
+    save_version(features, model, root, version)
     out = spark.createDataFrame(row, RETRAIN_SCHEMA)
     out.coalesce(1).write.mode("append").json(f"{root}/history")
     if row[0]["deployment_status"] == "DEPLOYED":
@@ -79,6 +80,36 @@ def retrain(
     return out
 
 
+def save_version(features: PipelineModel, model: models.CalibratedModel, root: str, version: str) -> None:
+    """Features and classifier under the version's own name; nothing in use changes."""
+    features.write().save(f"{root}/models/v={version}/features")
+    model.save(f"{root}/models/v={version}/classifier")
+
+
+def load_version(root: str, version: str) -> tuple[PipelineModel, models.CalibratedModel]:
+    return PipelineModel.load(f"{root}/models/v={version}/features"), models.CalibratedModel.load(f"{root}/models/v={version}/classifier")
+
+
+class DeployedScorer:
+    """Scores with the version that is deployed when it is asked; a version is loaded once."""
+
+    def __init__(self, root: str):
+        self.root, self.version, self.parts = root, None, None
+
+    def score(self, df: DataFrame, message: str = "message") -> DataFrame:
+        """Add prob_anomaly and model_version; keyword scores where there is no text, or no version yet."""
+        version = deployed_version(df.sparkSession, self.root)
+        if version is None:
+            return df.withColumns({"prob_anomaly": keyword_score(F.col(message)), "model_version": F.lit("keywords")})
+        if version != self.version:
+            self.version, self.parts = version, load_version(self.root, version)
+        features, model = self.parts
+        scored = model.transform(stages.featurise(df, features)).drop("features")
+        usable = F.col(message).isNotNull() & F.col("score").isNotNull() & ~F.isnan("score")
+        return scored.withColumn("prob_anomaly", F.coalesce(F.when(usable, F.col("score")), keyword_score(F.col(message)))).drop(
+            "score").withColumn("model_version", F.lit(version))
+
+
 def deployed_version(spark: SparkSession, root: str) -> str | None:
     """Version in use, or none before the first success."""
     try:

@@ -162,3 +162,17 @@ def retraining_run(spark, sf):
     out = retrain.retrain(spark, original, feedback, "seq", scratch_path(spark, "retrain"), "20240201_000000",
                           fit_rows=SEARCH_ROWS)
     return out.withColumn("best_params", F.to_json("best_params"))
+
+
+@query("deployed_model_scores")
+def deployed_model_scores(spark, sf):
+    """Two versions are saved and one is promoted; all messages are scored with that one."""
+    from loghelm.sources.writers import point_to
+    root = scratch_path(spark, "deployed")
+    rows = _labelled(spark, sf)
+    features = stages.fit_features(split.bounded(rows, "id", FIT_ROWS), max_features=TERMS, min_df=2, max_df=0.95, sublinear=True)
+    train = cut_lineage(stages.featurise(split.bounded(rows, "id", SEARCH_ROWS), features).select("id", "label", "features"))
+    for version, trees in (("20240101_000000", 50), ("20240201_000000", 10)):
+        retrain.save_version(features, models.calibrate(train, "random_forest", "id", 3, numTrees=trees), root, version)
+    point_to(spark, f"{root}/models", "20240101_000000", F.lit("20240101_000000"))
+    return retrain.DeployedScorer(root).score(rows).select("id", "model_version", F.round("prob_anomaly", 6).alias("prob_anomaly"))

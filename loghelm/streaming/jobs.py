@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from loghelm.functions import text
 from loghelm.operators import clean
 from loghelm.operators.correlate import SSH_BRUTEFORCE, CorrelationRule, first_rule, matched_pattern, micros
 from loghelm.operators.dedup import row_key
 from loghelm.operators.detect import escalate
+from loghelm.operators.ml.retrain import DeployedScorer
 from loghelm.operators.parse import parse_syslog, source_ip
 from loghelm.sources.writers import batch_sink
 from loghelm.streaming.correlation import counted_events
@@ -37,6 +39,21 @@ def run_available(df: DataFrame, sink, checkpoint: str, mode: str = "append") ->
     query.awaitTermination()
 
 
+def run_every(df: DataFrame, sink, checkpoint: str, seconds: float, mode: str = "append") -> StreamingQuery:
+    """A job that goes on, one batch every ``seconds`` at most; stop the query it returns."""
+    return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(
+        processingTime=f"{seconds} seconds").start()
+
+
+def scoring_sink(root: str, path: str):
+    """Writer that scores each batch with the model version deployed when the batch starts.
+
+    A version promoted while the job runs is picked up by the next batch; a retried batch replaces its own directory.
+    """
+    scorer, write = DeployedScorer(root), plain_sink(path)
+    return lambda df, batch_id: write(scorer.score(df), batch_id)
+
+
 def plain_sink(path: str):
     """Writer for any schema; a retried batch replaces its own directory."""
 

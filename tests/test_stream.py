@@ -96,3 +96,43 @@ def test_csv_export_quotes(spark, tmp_path):
     writers.export_csv(df.coalesce(1), out)
     body = "".join(p.read_text() for p in (tmp_path / "e").glob("part-*"))
     assert body == 'a,b\n"say ""hi""",""\n' or body == '"a","b"\n"say ""hi""",""\n'
+
+
+def test_a_running_job_picks_up_the_promoted_version(spark, tmp_path):
+    """Keyword scores before the first version, then each batch's own version; a failed gate moves nothing."""
+    import time
+
+    from loghelm.operators.ml import models, retrain, stages
+    src, out, state, root = (str(tmp_path / n) for n in ("src", "out", "state", "root"))
+    items = [(i, "2024-01-01 00:00:00", f"failed password {i}" if i % 2 else f"block served {i}", 0.1) for i in range(80)]
+    train = rows(spark, items).select(F.col("event_id").alias("id"), "message", (F.col("event_id") % 2).cast("int").alias("label"))
+    features = stages.fit_features(train, max_features=30)
+    prepared = stages.featurise(train, features).select("id", "label", "features").persist()
+    parts = {}
+    for version, trees in (("1", 3), ("2", 7), ("3", 5)):
+        model = models.calibrate(prepared if version != "2" else prepared.withColumn("label", 1 - F.col("label")), "random_forest", "id", 2, numTrees=trees)
+        retrain.save_version(features, model, root, version)
+        parts[version] = model
+    every = rows(spark, items).drop("prob_anomaly")
+
+    def send(low):
+        every.where(f"event_id >= {low} AND event_id < {low + 20}").coalesce(1).write.mode("append").parquet(src)
+        for _ in range(240):
+            query.processAllAvailable()
+            found = spark.read.option("recursiveFileLookup", True).parquet(out) if list((tmp_path / "out").glob("batch=*")) else None
+            if found is not None and found.where(f"event_id >= {low}").count() == 20:
+                return found.where(f"event_id >= {low}").collect()
+            time.sleep(0.25)
+        raise AssertionError("no batch came")
+    every.limit(0).write.parquet(src)
+    query = jobs.run_every(jobs.new_rows(spark, src, every.schema), jobs.scoring_sink(root, out), state, 0.5)
+    try:
+        assert {r["model_version"] for r in send(0)} == {"keywords"}
+        for low, version in ((20, "1"), (40, "2")):
+            writers.point_to(spark, f"{root}/models", version, F.lit(version))
+            got = {r["event_id"]: (r["model_version"], r["prob_anomaly"]) for r in send(low)}
+            want = parts[version].transform(stages.featurise(every.where(f"event_id >= {low} AND event_id < {low + 20}"), features)).collect()
+            assert got == {r["event_id"]: (version, r["score"]) for r in want}
+        assert {r["model_version"] for r in send(60)} == {"2"}  # version 3 is saved, not promoted
+    finally:
+        query.stop()
