@@ -136,3 +136,29 @@ def test_a_running_job_picks_up_the_promoted_version(spark, tmp_path):
         assert {r["model_version"] for r in send(60)} == {"2"}  # version 3 is saved, not promoted
     finally:
         query.stop()
+
+
+def test_new_records_over_restarts_and_a_cold_start(spark, tmp_path):
+    """A restart from the checkpoint, then a job without one that reads the stored table, equal the batch answer."""
+    from loghelm.operators import dedup
+    from loghelm.streaming import newest
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    every = rows(spark, [(i, "2024-01-01 00:00:00", f"message {i * 7 % 23}", 0.1) for i in range(90)])
+    for run, (low, state) in enumerate(((0, "a"), (30, "a"), (60, "b"))):
+        part = src if state == "a" else src + "-later"
+        every.where(f"event_id >= {low} AND event_id < {low + 30}").coalesce(1).write.mode("append").parquet(part)
+        stored = spark.read.option("recursiveFileLookup", True).parquet(out) if state == "b" else None
+        fresh = newest.new_records(jobs.new_rows(spark, part, every.schema), stored, "event_id")
+        jobs.run_available(fresh, jobs.plain_sink(f"{out}/{state}"), str(tmp_path / f"state-{state}"))
+    got = spark.read.option("recursiveFileLookup", True).parquet(out)
+    want = dedup.first_records(every, ["event_id"])
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in want.collect())
+    assert set(got.columns) == set(every.columns)
+    later = rows(spark, [(200 + i, "2024-01-02 00:00:00", f"message {i}", 0.1) for i in range(3)])
+    short = lambda: newest.new_records(jobs.new_rows(spark, src, every.schema), None, "event_id", 60, "1 minute")
+    for part in (None, later, later.withColumn("event_id", F.col("event_id") + 100)):
+        if part is not None:
+            part.coalesce(1).write.mode("append").parquet(src)
+        jobs.run_available(short(), jobs.plain_sink(str(tmp_path / "short")), str(tmp_path / "state-short"))
+    again = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "short"))
+    assert sorted(r["event_id"] for r in again.where("event_id >= 200").collect()) == [200, 201, 202]
