@@ -57,8 +57,10 @@ def fit(train: DataFrame, name: str, **params):
         model = logistic(float(kept.count()), **params).fit(weighted)
     elif name == "linear_svm":
         raw = F.unwrap_udt(F.col("features"))
-        width = kept.select(F.max(F.coalesce(raw["size"], F.size(raw["values"])))).first()[0]
-        model = fit_squared_hinge(weighted, int(width or 0), **params)
+        size = kept.agg(F.max(F.coalesce(raw["size"], F.size(raw["values"]))).alias("width"), F.count(F.lit(1)).alias("rows")).first()
+        # a pass over few rows costs what its tasks cost to start
+        parts = min(kept.rdd.getNumPartitions(), -(-size["rows"] // 5_000))
+        model = fit_squared_hinge(weighted.coalesce(max(parts, 1)), int(size["width"] or 0), **params)
     else:
         raise ValueError(f"unknown model {name}")
     kept.unpersist()
