@@ -14,6 +14,7 @@ from loghelm.operators.dedup import row_key
 from loghelm.operators.detect import escalate
 from loghelm.operators.ml.retrain import DeployedScorer
 from loghelm.operators.parse import parse_syslog, source_ip
+from loghelm.session import state_store
 from loghelm.sources.writers import batch_sink
 from loghelm.streaming.correlation import counted_events
 
@@ -34,15 +35,17 @@ def parsed_tail(spark: SparkSession, path: str, reference_time: Column) -> DataF
 
 def run_available(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
     """Process everything there is, then stop; a second run continues after it."""
-    query = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(
-        availableNow=True).start()
+    with state_store(df.sparkSession):
+        query = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(
+            availableNow=True).start()
     query.awaitTermination()
 
 
 def run_every(df: DataFrame, sink, checkpoint: str, seconds: float, mode: str = "append") -> StreamingQuery:
     """A job that goes on, one batch every ``seconds`` at most; stop the query it returns."""
-    return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(
-        processingTime=f"{seconds} seconds").start()
+    with state_store(df.sparkSession):
+        return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(
+            processingTime=f"{seconds} seconds").start()
 
 
 def scoring_sink(root: str, path: str):

@@ -162,3 +162,15 @@ def test_new_records_over_restarts_and_a_cold_start(spark, tmp_path):
         jobs.run_available(short(), jobs.plain_sink(str(tmp_path / "short")), str(tmp_path / "state-short"))
     again = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "short"))
     assert sorted(r["event_id"] for r in again.where("event_id >= 200").collect()) == [200, 201, 202]
+
+
+def test_streams_run_in_a_session_with_the_default_state_store(spark, tmp_path):
+    """The default store can't hold keyed state with timers; the session's own setting is left as it was."""
+    plain, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    plain.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    every = rows(plain, [(1, "2024-01-01 00:00:00", "ssh failure 1 from 10.0.0.1", 0.9), (2, "2024-02-01 00:00:00", "end", 0.0)])
+    every.coalesce(1).write.parquet(src)
+    jobs.live_job(jobs.new_rows(plain, src, every.schema), out, state)
+    assert [r["message"] for r in plain.read.parquet(out).collect()] == ["ssh failure 1 from 10.0.0.1"]
+    assert plain.conf.get(key).endswith("HDFSBackedStateStoreProvider")
