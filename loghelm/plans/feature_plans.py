@@ -204,17 +204,21 @@ def number_tokens(spark, sf):
 
 @query("vocabulary", _tfidf_sql(**ops.PRESETS["corpus"]) + "SELECT * FROM vocab")
 def vocabulary(spark, sf):
-    p = ops.PRESETS["corpus"]
-    n = table(spark, sf, "v_messages").count()
-    return ops.vocabulary(_counts(spark, sf), n, p["max_features"], p["min_df"], p["max_df"])
+    vocab, _ = _vocabulary(spark, sf, "corpus")
+    return spark.createDataFrame(vocab, "term string, df long, cf long")
+
+
+def _vocabulary(spark, sf, preset):
+    p, texts = ops.PRESETS[preset], table(spark, sf, "v_messages")
+    words, pairs, both = (ops.term_counts(texts, "id", "message", bigrams=b, singles=s) for b, s in ((False, True), (True, False), (True, True)))
+    n = texts.count()
+    return ops.joint_vocabulary(words, pairs, both, n, p["max_features"], p["min_df"], p["max_df"]), n
 
 
 def _weights(spark, sf, preset):
-    p = ops.PRESETS[preset]
-    counts = _counts(spark, sf)
-    n = table(spark, sf, "v_messages").count()
-    vocab = ops.vocabulary(counts, n, p["max_features"], p["min_df"], p["max_df"])
-    return ops.tf_idf(counts, vocab, "id", n, p["sublinear"]).withColumn("weight", F.round("weight", 6))
+    vocab, n = _vocabulary(spark, sf, preset)
+    out = ops.weights(table(spark, sf, "v_messages"), "id", "message", vocab, n, ops.PRESETS[preset]["sublinear"])
+    return out.withColumn("weight", F.round("weight", 6))
 
 
 _WEIGHTED = "SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw_"
