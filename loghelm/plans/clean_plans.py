@@ -195,8 +195,10 @@ def repair_stored_table(spark, sf):
     path = scratch_path(spark, "stored")
     table(spark, sf, "v_stored").write.option("header", True).option("escape", '"').csv(path)
     fixed = normalize.repair_stored(readers.csv_strings(spark, path), as_of(), text.MESSAGE_LIMIT)
-    fixed = fixed.withColumn("event_id", F.col("event_id").cast("long"))
-    return (fixed.orderBy(F.desc("detected_at"))
+    # A sort reads its input twice: what is repaired is written, so that files are parsed once.
+    repaired = scratch_path(spark, "repaired")
+    fixed.withColumn("event_id", F.col("event_id").cast("long")).write.parquet(repaired)
+    return (spark.read.parquet(repaired).orderBy(F.desc("detected_at"))
             .withColumn("timestamp", normalize.json_text(F.col("timestamp"), "timestamp"))
             .withColumn("detected_at", text.iso(F.col("detected_at")))
             .drop("matched_rule", "active_event_count", "correlation_triggered", "escalation_reason"))

@@ -11,16 +11,34 @@ from pyspark.sql import types as T
 TRAINING_LABELS = ["label", "is_anomaly"]
 
 
+QUOTED_CELL = '(?<![^,])"[^"]*+"(?![^,])'
+
+
+def whole_lines(spark: SparkSession, path: str) -> bool:
+    """Whether every line of the files is a row of its own, so that tasks may share a file.
+
+    A quoted cell with a line break leaves a quote on its first line when doubled quotes and quoted cells are gone.
+    Other lines with a lone quote aren't whole either, nor those with a carriage return or of blanks alone, which the
+    scan by lines reads otherwise.
+    """
+    line = F.col("value")
+    lone = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), QUOTED_CELL, "").contains('"')
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.where((line.contains('"') & lone) | line.contains("\r") | line.rlike("^[\\x00-\\x20]++$")).isEmpty()
+
+
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, empty cells as empty text.
 
     Short rows are padded, rows wider than the header are skipped, quoted line breaks stay in their cell,
-    blank lines go. A file is read by one task, as a line break may be inside a cell.
+    blank lines go. Files are split among tasks if no line break is inside a cell, else a file is read by one task.
     """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
     names = spark.read.options(**options).csv(path).columns
     if not names:
         return spark.createDataFrame([], T.StructType([]))
+    if whole_lines(spark, path):
+        options |= {"multiLine": False, "lineSep": "\n"}
     slots = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{s} string" for s in [*slots, "_bad"])
     rows = spark.read.schema(schema).options(**options, columnNameOfCorruptRecord="_bad").csv(path)
@@ -38,9 +56,10 @@ def csv_strings(spark: SparkSession, path: str) -> DataFrame:
 def csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Typed scan with a given schema, so no pass over the data to infer one.
 
-    Quoted line breaks stay in their cell, so a file is read by one task.
+    Quoted line breaks stay in their cell; a file with any such is read by one task, others are split.
     """
-    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+    options = {"multiLine": False, "lineSep": "\n"} if whole_lines(spark, path) else {"multiLine": True}
+    return spark.read.schema(schema).options(header=True, quote='"', escape='"', **options).csv(path)
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
