@@ -70,7 +70,7 @@ class WordIds:
         if len(self.parts) > WORDS_KEPT:
             self.parts.clear()
         parts, new, letters, others = self.parts, [], set(), set()
-        for word in words - known.keys():
+        for word in words.difference(known):  # looks each word up; "- known.keys()" goes through all that is known
             stem = word.rstrip(MARKS) if self.cuts else b""
             if stem.isalpha():
                 stem = stem.lower()
