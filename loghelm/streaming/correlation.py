@@ -1,10 +1,11 @@
 """Repeat suppression and sliding counts as stateful operators on event time.
 
 A chain of repeats is keyed by its signature, a count by (rule, source, slice of time), so
-neither holds a source's whole delay in one place: a busy source is spread over its
-signatures first and over slices of a few windows then. Events wait in small chunks, one
-map entry each, that are only ever added; a timer at the end of each occupied slice of time
-takes its chunks out once the watermark has passed it.
+neither holds a source's whole delay in one place. Signatures, and slices, are dealt to a
+fixed number of groups by hash, as a call for each of them would cost far more than its events
+do. A group's events wait in small chunks, one map entry each, that end where the time from
+the first event grows eightfold; one timer a group, at the first event that is due, takes out
+all that the watermark has passed.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ KEPT = "rule string, ip string, us long, id long, payload string, released times
 COUNTED = "id long, rule string, active_event_count long, payload string"
 CHUNK_ROWS = 5_000
 WINDOWS_A_SLICE = 4
+GROUPS = 256
 
 
 def hold_micros(rule: CorrelationRule) -> int:
@@ -35,110 +37,161 @@ def slice_micros(rule: CorrelationRule) -> int:
     return WINDOWS_A_SLICE * max(rule.window_seconds, 1) * MICROS
 
 
-class RepeatChain(StatefulProcessor):
-    """Per (rule, ip, sig): an event stays if the last one that stayed lies more than the gap back."""
+class _Waiting(StatefulProcessor):
+    """Rows of a group wait until the watermark has passed their ``due`` instant."""
+
+    columns: dict[str, str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in {"due": "long", **self.columns}.items())
+        self.chunks = handle.getMapState("chunks", "due long, number long", arrays)
+        self.made = handle.getValueState("made", "chunks long")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _keep(self, rows: pd.DataFrame, hold: int) -> None:
+        """Chunks by due instant; each covers eight times the time of the one before, so few rows are written again."""
+        rows = rows.sort_values("due", kind="stable")
+        due = rows["due"].to_numpy()
+        span = np.floor(np.log2((due - due[0]) // hold + 1) / 3)
+        ends = np.append(np.flatnonzero(np.diff(span)) + 1, len(rows))
+        number, begin = self.made.get()[0] if self.made.exists() else 0, 0
+        for end in ends:
+            for at in range(begin, end, CHUNK_ROWS):
+                some = rows.iloc[at:min(at + CHUNK_ROWS, end)]
+                self.chunks.updateValue((int(some["due"].iloc[0]), number), tuple(some[c].tolist() for c in ("due", *self.columns)))
+                number += 1
+            begin = end
+        self.made.update((number,))
+
+    def _wake(self, ms: int) -> None:
+        """One timer waits, the earliest."""
+        if self.timer.exists():
+            (before,) = self.timer.get()
+            if before <= ms:
+                return
+            self.handle.deleteTimer(before)
+        self.timer.update((ms,))
+        self.handle.registerTimer(ms)
+
+    def _wait(self, rows: Iterator[pd.DataFrame], hold: int) -> None:
+        for pdf in rows:
+            if len(pdf):
+                self._keep(pdf, hold)
+                self._wake(int(pdf["due"].min()) // 1000)
+
+    def _take(self, upto: int, hold: int) -> pd.DataFrame:
+        """All rows due, in no order; the next timer is set."""
+        self.timer.clear()
+        taken, left = [], []
+        for due, number in [k for k in self.chunks.keys() if k[0] <= upto]:
+            rows = pd.DataFrame(dict(zip(("due", *self.columns), self.chunks.getValue((due, number)))))
+            self.chunks.removeKey((due, number))
+            passed = (rows["due"] <= upto).to_numpy()
+            taken.append(rows[passed])
+            left.append(rows[~passed])
+        left = [rows for rows in left if len(rows)]
+        if left:
+            self._keep(pd.concat(left, ignore_index=True), hold)
+        first = min((due for due, _ in self.chunks.keys()), default=None)
+        if first is not None:
+            self._wake(first // 1000)
+        return pd.concat(taken, ignore_index=True) if taken else pd.DataFrame(columns=["due", *self.columns])
+
+
+def _passed(timerValues, expiredTimerInfo) -> int:
+    return max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+
+
+class RepeatChain(_Waiting):
+    """Per (ip, sig) of a group of one rule: an event stays if the last one that stayed lies more than the gap back."""
+
+    columns = {"ip": "string", "sig": "string", "us": "long", "id": "long", "payload": "string"}
 
     def __init__(self, rules: list[CorrelationRule]):
         self.rules = {r.name: (r.dedup_seconds * MICROS, hold_micros(r)) for r in rules}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us long")
-        self.chunks = handle.getMapState("chunks", "at long, number int", "us array<long>, id array<long>, payload array<string>")
-        self.heads = handle.getMapState("heads", "at long", "chunks int")
+        super().init(handle)
+        self.last = handle.getValueState("last", "ip array<string>, sig array<string>, us array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         _, hold = self.rules[key[0]]
-        for pdf in rows:
-            for at, part in pdf.groupby(pdf["us"] // hold):
-                at = int(at)
-                number = self.heads.getValue((at,))[0] if self.heads.containsKey((at,)) else 0
-                if number == 0:
-                    self.handle.registerTimer((at + 1) * hold // 1000)
-                # of events at one instant the one with the smallest id stays, whatever came before
-                part = part.sort_values(["us", "id"]).drop_duplicates("us")
-                for begin in range(0, len(part), CHUNK_ROWS):
-                    some = part.iloc[begin:begin + CHUNK_ROWS]
-                    self.chunks.updateValue((at, number), (some["us"].tolist(), some["id"].tolist(), some["payload"].tolist()))
-                    number += 1
-                self.heads.updateValue((at,), (number,))
+        self._wait((pdf.assign(due=(pdf["us"] // hold + 1) * hold) for pdf in rows), hold)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rule, ip, _ = key
-        gap, hold = self.rules[rule]
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        last = self.last.get()[0] if self.last.exists() else None
-        before, kept = last, []
-        for at in sorted(a for (a,) in list(self.heads.keys()) if (a + 1) * hold <= upto):
-            held: list[tuple[int, int, str]] = []
-            for number in range(self.heads.getValue((at,))[0]):
-                held += zip(*self.chunks.getValue((at, number)))
-                self.chunks.removeKey((at, number))
-            self.heads.removeKey((at,))
-            held.sort(key=lambda e: e[:2])
-            times = np.array([e[0] for e in held])
-            place = 0 if last is None else int(np.searchsorted(times, last + gap, "right"))
-            while place < len(held):
-                last = held[place][0]
-                kept.append((rule, ip, *held[place], (at + 1) * hold))
-                place = int(np.searchsorted(times, last + gap, "right"))
-        if last is not None and last + gap < upto:
-            self.last.clear()  # nothing that comes can still repeat it
-        elif last != before:
-            self.last.update((last,))
-            self.handle.registerTimer((last + gap) // 1000 + 1)
-        if kept:
-            out = pd.DataFrame(kept, columns=["rule", "ip", "us", "id", "payload", "released"])
-            yield out.assign(released=pd.to_datetime(out["released"], unit="us", utc=True))
-
-
-class SlidingCount(StatefulProcessor):
-    """Per (rule, ip, slice): events of the window that ends with each of the slice's own events."""
+        gap, hold = self.rules[key[0]]
+        upto = _passed(timerValues, expiredTimerInfo)
+        ips, sigs, times = self.last.get() if self.last.exists() else ([], [], [])
+        last = dict(zip(zip(ips, sigs), times))
+        # of events at one instant the one with the smallest id stays, whatever came before
+        events = self._take(upto, hold).sort_values(["us", "id"])
+        stays = np.zeros(len(events), dtype=bool)
+        for i, (ip, sig, us) in enumerate(zip(events["ip"], events["sig"], events["us"])):
+            before = last.get((ip, sig))
+            if before is None or us > before + gap:
+                last[ip, sig] = us
+                stays[i] = True
+        # of a signature whose last event lies further back, nothing that comes can still be a repeat
+        open_ = [(ip, sig, us) for (ip, sig), us in last.items() if us + gap >= upto]
+        if open_:
+            self.last.update(tuple(map(list, zip(*open_))))
+            self._wake(max(us for _, _, us in open_) // 1000 + gap // 1000 + 1)
+        elif ips:
+            self.last.clear()
+        if stays.any():
+            kept = events[stays]
+            yield pd.DataFrame({"rule": key[0], "ip": kept["ip"], "us": kept["us"], "id": kept["id"], "payload": kept["payload"],
+                                "released": pd.to_datetime(kept["due"], unit="us", utc=True)})
+
+
+class SlidingCount(_Waiting):
+    """Per (ip, slice) of a group of one rule: events of the window that ends with each of the slice's own events."""
+
+    columns = {"ip": "string", "slice": "long", "us": "long", "id": "long", "own": "boolean", "payload": "string"}
 
     def __init__(self, rules: list[CorrelationRule]):
         self.rules = {r.name: (r.window_seconds * MICROS, slice_micros(r), hold_micros(r)) for r in rules}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", "us long, id long, own boolean, payload string")
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rule, _, at = key
-        _, size, hold = self.rules[rule]
-        new = not self.events.exists()
-        for pdf in rows:
-            listed = list(zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["own"].tolist(), pdf["payload"].tolist()))
-            for begin in range(0, len(listed), CHUNK_ROWS):
-                self.events.appendList(listed[begin:begin + CHUNK_ROWS])
-        if new:  # the last of the slice's events is released when its chain's slice has ended
-            self.handle.registerTimer(((at + 1) * size + hold) // 1000)
+        _, size, hold = self.rules[key[0]]
+        # the last of a slice's events is released when its chain's slice has ended
+        self._wait((pdf.assign(due=(pdf["slice"] + 1) * size + hold) for pdf in rows), size)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rule = key[0]
-        window = self.rules[rule][0]
-        events = pd.DataFrame(list(self.events.get()), columns=["us", "id", "own", "payload"]).sort_values(["us", "id"])
-        self.events.clear()
-        us = events["us"].to_numpy()
-        count = np.arange(1, len(us) + 1) - np.searchsorted(us, us - window, "left")
+        window, size, _ = self.rules[key[0]]
+        events = self._take(_passed(timerValues, expiredTimerInfo), size)
+        if events.empty:
+            return
+        events["ip"] = pd.factorize(events["ip"], use_na_sentinel=False)[0]
+        events = events.sort_values(["ip", "slice", "us", "id"])
+        ip, at = events["ip"].to_numpy(), events["slice"].to_numpy()
+        fresh = np.ones(len(events), dtype=bool)
+        fresh[1:] = (ip[1:] != ip[:-1]) | (at[1:] != at[:-1])
+        # slices laid end to end on one line, each begun by the window before it
+        line = (np.cumsum(fresh) - 1) * (size + 2 * window + 1) + (events["us"].to_numpy() - at * size) + 2 * window
+        count = np.arange(1, len(events) + 1) - np.searchsorted(line, line - window, "left")
         own = events["own"].to_numpy(dtype=bool)
         if own.any():
             mine = events[own]
-            yield pd.DataFrame({"id": mine["id"], "rule": rule, "active_event_count": count[own], "payload": mine["payload"]})
+            yield pd.DataFrame({"id": mine["id"], "rule": key[0], "active_event_count": count[own], "payload": mine["payload"]})
 
 
 def _by_rule(rules: list[CorrelationRule], value) -> Column:
     return F.coalesce(*[F.when(F.col("rule") == r.name, F.lit(value(r))) for r in rules])
 
 
-def counted_events(matched: DataFrame, rules: list[CorrelationRule]) -> DataFrame:
+def counted_events(matched: DataFrame, rules: list[CorrelationRule], groups: int = GROUPS) -> DataFrame:
     """id, rule, active_event_count, payload of the events that stay.
 
     Input: rule, ip, sig, us, id, payload, and a column with the watermark. An event of a slice's last window
-    goes to the next slice as well, to be counted there and not given out.
+    goes to the next slice as well, to be counted there and not given out. A job that goes on from a checkpoint
+    needs the number of ``groups`` it was begun with.
     """
-    chained = matched.groupBy("rule", "ip", "sig").transformWithStateInPandas(
+    group = lambda *of: F.pmod(F.xxhash64(*of), F.lit(groups)).cast("int").alias("group")
+    chained = matched.withColumn("group", group("ip", "sig")).groupBy("rule", "group").transformWithStateInPandas(
         RepeatChain(rules), KEPT, "Append", "EventTime", eventTimeColumnName="released")
     size, window = _by_rule(rules, slice_micros), _by_rule(rules, lambda r: r.window_seconds * MICROS)
     own, later = F.floor(F.col("us") / size).cast("long"), F.floor((F.col("us") + window) / size).cast("long")
@@ -147,4 +200,5 @@ def counted_events(matched: DataFrame, rules: list[CorrelationRule]) -> DataFram
         F.when(later != own, F.struct(later.alias("slice"), F.lit(False).alias("own"), F.lit(None).cast("string").alias("shown"))))
     dealt = chained.withColumn("copy", F.explode(F.filter(copies, lambda c: c.isNotNull()))).select(
         "rule", "ip", "copy.slice", "us", "id", "copy.own", F.col("copy.shown").alias("payload"), "released")
-    return dealt.groupBy("rule", "ip", "slice").transformWithStateInPandas(SlidingCount(rules), COUNTED, "Append", "EventTime")
+    return dealt.withColumn("group", group("ip", "slice")).groupBy("rule", "group").transformWithStateInPandas(
+        SlidingCount(rules), COUNTED, "Append", "EventTime")
