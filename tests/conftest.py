@@ -18,6 +18,13 @@ def spark():
     yield session
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_kept(spark):
+    """Tables that one module keeps are gone before the next, which may count them."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture
 def sf():
     return SF
